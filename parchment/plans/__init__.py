@@ -1 +1,5 @@
+"""The named queries, by family: each has a function of session and folder, and SQL where there is one."""
 
+from parchment.plans import catalog, events
+
+PLANS = [catalog.QUERIES, events.QUERIES]

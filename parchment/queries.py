@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parchment.plans import PLANS
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for plan in PLANS for name, (run, _) in plan.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in PLANS for name, (_, sql) in plan.items() if sql}
