@@ -83,7 +83,7 @@ def is_formula_char(char: Column) -> Column:
 
 def parse_pages(spec: Column) -> Column:
     """ "1-3,5,8-" as ranges (first, last), last -1 for an open end; null for an empty text or one in another form."""
-    parts = F.transform(F.split(spec, ","), F.btrim)
+    parts = F.transform(F.split(spec, ","), lambda p: F.btrim(p))
     bounds = lambda p: F.struct(
         F.when(p.rlike("^-"), F.lit(1)).otherwise(F.regexp_extract(p, r"^(\d+)", 1).try_cast("int")).alias("first"),
         F.when(p.endswith("-"), F.lit(-1)).when(p.contains("-"), F.regexp_extract(p, r"(\d+)$", 1).try_cast("int")).otherwise(F.regexp_extract(p, r"^(\d+)", 1).try_cast("int")).alias("last"),

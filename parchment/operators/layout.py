@@ -78,34 +78,48 @@ def touching_below(boxes: DataFrame, page: list[str], box: str) -> DataFrame:
     return met.select(*page, box, F.when(moved < F.col("y1"), moved).otherwise(F.col("y0")).alias("lifted"))
 
 
-def separate_overlaps(boxes: DataFrame, page: list[str], box: str, rounds: int = 50) -> DataFrame:
+def _parted(p: list[list[float]], rounds: int) -> list[list[float]]:
+    """The boxes of one page (x0, y0, x1, y1), in order, after the repair."""
+    for _ in range(min(rounds, len(p) ** 2)):
+        moved = False
+        for i in range(len(p)):
+            for j in range(i + 1, len(p)):
+                (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = p[i], p[j]
+                bottom, top = max(ay0, by0), min(ay1, by1)
+                within = (ay0 >= by0 and ay1 <= by1) or (by0 >= ay0 and by1 <= ay1)
+                if within or top - bottom <= 1e-6 or min(ax1, bx1) - max(ax0, bx0) <= 1e-6:
+                    continue
+                low, high = (i, j) if ay1 < by1 else (j, i)
+                middle = (bottom + top) / 2
+                if p[high][1] < middle < p[low][3]:
+                    p[high][1], p[low][3], moved = middle + 1, middle - 1, True
+        if not moved:
+            break
+    return p
+
+
+def separate_overlaps(boxes: DataFrame, page: str, box: str, rounds: int = 50) -> DataFrame:
     """Boxes of which overlapping ones are parted a unit from the middle of their overlap, pair by pair, until none is left.
 
-    A page's boxes meet in one group: pages are small, and the repair goes on from what it did before.
+    Pages are dealt out and sorted; a task holds one page at a time.
     """
-    schema = boxes.select(*page, box, "x0", "y0", "x1", "y1").schema
-
-    def part(got: pd.DataFrame) -> pd.DataFrame:
-        got = got.sort_values(box, kind="stable").reset_index(drop=True)
-        p = got[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        for _ in range(min(rounds, len(p) ** 2)):
-            moved = False
-            for i, j in zip(*np.triu_indices(len(p), 1), strict=True):
-                low, high = (p[i], p[j]) if p[i][3] < p[j][3] else (p[j], p[i])
-                bottom, top = max(p[i][1], p[j][1]), min(p[i][3], p[j][3])
-                wide = min(p[i][2], p[j][2]) - max(p[i][0], p[j][0])
-                within = (p[i][1] >= p[j][1] and p[i][3] <= p[j][3]) or (p[j][1] >= p[i][1] and p[j][3] <= p[i][3])
-                if within or top - bottom <= 1e-6 or wide <= 1e-6:
-                    continue
-                middle = (bottom + top) / 2
-                if high[1] < middle < low[3]:
-                    high[1], low[3], moved = middle + 1, middle - 1, True
-            if not moved:
-                break
-        got[["x0", "y0", "x1", "y1"]] = p
-        return got[[*page, box, "x0", "y0", "x1", "y1"]]
-
-    return boxes.select(*page, box, "x0", "y0", "x1", "y1").groupBy(*page).applyInPandas(part, schema)
+    rows = boxes.select(page, box, "x0", "y0", "x1", "y1")
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held = None, []
+        done = lambda: [(*k, *c) for k, c in zip([h[:2] for h in held], _parted([list(h[2:]) for h in held], rounds), strict=True)]
+        for got in batches:
+            out = []
+            for row in got.itertuples(index=False, name=None):
+                if row[0] != here:
+                    out += done()
+                    here, held = row[0], []
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(done(), columns=names)
+
+    return rows.repartition(page).sortWithinPartitions(page, box).mapInPandas(run, rows.schema)
 
 
 def scale_cap(scales: DataFrame, by: list[str], scale: str, weight: str) -> DataFrame:

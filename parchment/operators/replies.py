@@ -28,15 +28,15 @@ def mostly_kept(kept: Column, total: Column) -> Column:
     return (kept > 400) & (kept * 5 > total)
 
 
-def batch_items(reply: Column, expected: Column) -> Column:
-    """The items (id, output) of a batch reply, or null if it isn't a list of as many different ids from 0 on."""
-    text = clean_json_output(reply)
+def batch_items(replies: DataFrame, reply: str, expected: Column) -> DataFrame:
+    """items: the items (id, output) of a batch reply, or null if it isn't a list of as many different ids from 0 on."""
     kind = "array<struct<id:string,output:string,input:string>>"
-    items = F.from_json(F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text), kind)
-    out = F.transform(items, lambda r: F.struct(r["id"].try_cast("int").alias("id"), F.coalesce(r["output"], r["input"]).alias("output")))
-    ids = F.array_distinct(F.transform(out, lambda r: r["id"]))
-    good = F.forall(ids, lambda i: i.isNotNull() & (i >= 0) & (i < expected)) & (F.size(ids) == expected)
-    return F.when(good, out)
+    got = replies.withColumns({"__text": clean_json_output(F.col(reply)), "__n": expected})
+    got = got.withColumn("__json", F.from_json(F.when(F.col("__text").startswith("{"), F.concat(F.lit("["), "__text", F.lit("]"))).otherwise(F.col("__text")), kind))
+    got = got.withColumn("__items", F.transform("__json", lambda r: F.struct(r["id"].try_cast("int").alias("id"), F.coalesce(r["output"], r["input"]).alias("output"))))
+    got = got.withColumn("__ids", F.array_distinct(F.col("__items.id")))
+    good = F.forall("__ids", lambda i: i.isNotNull() & (i >= 0) & (i < F.col("__n"))) & (F.size("__ids") == F.col("__n"))
+    return got.withColumn("items", F.when(good, F.col("__items"))).drop("__text", "__n", "__json", "__items", "__ids")
 
 
 def extracted_terms(reply: Column) -> Column:

@@ -1,5 +1,5 @@
 """The named queries, by family: each has a function of session and folder, and SQL where there is one."""
 
-from parchment.plans import catalog, events
+from parchment.plans import catalog, events, layout, texts
 
-PLANS = [catalog.QUERIES, events.QUERIES]
+PLANS = [catalog.QUERIES, events.QUERIES, texts.QUERIES, layout.QUERIES]
