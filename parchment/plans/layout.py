@@ -104,7 +104,7 @@ def unscaled_boxes(spark, d):
 def sampled_pages(spark, d):
     """Up to eight lines of each document: the first three and evenly spaced ones."""
     n = F.size(F.split("text", "\n", -1))
-    spread = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: numbers.round_half_up(3 + i * (n - 4) / 4).cast("int"))
+    spread = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: numbers.round_half_up(i * (n - 1) / 6).cast("int"))
     picked = F.when(n <= 8, F.sequence(F.lit(0), n - 1)).otherwise(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.lit(1), F.lit(2)), spread))))
     return table(spark, d, "documents").select("doc_id", F.array_join(picked.cast("array<string>"), ",").alias("lines"))
 
@@ -136,6 +136,6 @@ m AS (SELECT *, CASE r WHEN 1 THEN [0, -1, 1, 0, 0, 600] WHEN 2 THEN [-1, 0, 0,
 x AS (SELECT l_orderkey, n * p[1] + 0.5::DOUBLE * p[3] AS a, n * p[2] + 0.5::DOUBLE * p[4] AS b, -0.5::DOUBLE * p[1] + k * p[3] AS c, -0.5::DOUBLE * p[2] + k * p[4] AS d, q * p[1] + 3 * p[3] + p[5] AS e, q * p[2] + 3 * p[4] + p[6] AS f FROM m)
 SELECT l_orderkey, least(e, 2 * c + e, 10 * a + e, 10 * a + 2 * c + e) AS x0, least(f, 2 * d + f, 10 * b + f, 10 * b + 2 * d + f) AS y0, greatest(e, 2 * c + e, 10 * a + e, 10 * a + 2 * c + e) AS x1, greatest(f, 2 * d + f, 10 * b + f, 10 * b + 2 * d + f) AS y1, round(degrees(atan2(b, a)), 9) AS angle FROM x"""),
     "unscaled_boxes": (unscaled_boxes, f"WITH {BOXES}, g AS (SELECT least(1024.0::DOUBLE / 612, 800.0::DOUBLE / 792) AS gain) SELECT page, box_idx, ((x0 * 10 - round_even((1024 - 612 * gain) / 2 - 0.1::DOUBLE, 0)) / gain)::FLOAT AS x, round_even(y1, 0) AS y FROM b, g WHERE x1 > 25"),
-    "sampled_pages": (sampled_pages, "WITH n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) SELECT doc_id, CASE WHEN n <= 8 THEN array_to_string(range(n), ',') ELSE array_to_string(list_sort(list_distinct([0, 1, 2] || list_transform(range(5), lambda i: floor(3 + i * (n - 4) / 4 + 0.5)::BIGINT))), ',') END AS lines FROM n"),
+    "sampled_pages": (sampled_pages, "WITH n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) SELECT doc_id, CASE WHEN n <= 8 THEN array_to_string(range(n), ',') ELSE array_to_string(list_sort(list_distinct([0, 1, 2] || list_transform(range(1, 6), lambda i: floor(i * (n - 1) / 6 + 0.5::DOUBLE)::BIGINT))), ',') END AS lines FROM n"),
     "text_layer_gate": (text_layer_gate, "SELECT source, lang, sum(n_chars) < 20000 AND avg(n_chars) < 2500 AS scanned FROM documents GROUP BY source, lang"),
 }
