@@ -95,8 +95,9 @@ def compare(sets: list[np.ndarray], threshold: float, side: np.ndarray | None =
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[shared][order]
     common = np.zeros((len(sets), len(sets)), np.float64)
-    width = max(256, (8 << 20) // max(1, len(sets)))
-    for lo in range(0, int((n > 1).sum()), width):
+    last = int((n > 1).sum())
+    width = min(last, max(256, (8 << 20) // len(sets)))
+    for lo in range(0, last, max(1, width)):
         s, e = np.searchsorted(column, [lo, lo + width])
         part = np.zeros((len(sets), width), np.float32)
         part[owner[s:e], column[s:e] - lo] = 1
