@@ -9,6 +9,7 @@ split again. Runs are repeated until a link at the threshold is found with the t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,7 +175,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Documents with equal sets are one set from the start, found by aggregation, so copies cost no comparisons. Links
     found are exact; a link at the threshold is lost with probability 1 - recall, one of higher similarity more seldom. Nothing
-    is capped: nodes still large at max_depth are cut into blocks, and all pairs of blocks are compared. No links
+    is capped: sets too different in size to be similar never meet, and nodes still large at max_depth are cut into blocks, and all pairs of blocks are compared. No links
     are written out pair by pair: a leaf tells for each set how many links it has that no earlier leaf has,
     and which component it is in. So rows grow with the documents, not with the pairs.
     """
@@ -188,13 +189,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def child(run: Column, coordinate: Column) -> Column:
         return F.xxhash64(run, coordinate, F.substring("sig", coordinate * 8 + 1, F.lit(8)))
 
-    roots = F.array(*[child(F.lit(r), F.lit(2 * r + k)) for r in range(runs) for k in range(2)])
-    members = write_table(classes.select("rep", "n", F.explode(roots).alias("node")), "members")
-    nodes_of = lambda m: m.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.bit_xor(F.xxhash64("rep")).alias("a"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("b")).filter("size > 1")
+    # similar sets differ in size by a factor of 1 / threshold at most, so their size classes are equal or next to
+    # each other: a root holds two classes, and each set is in the root of its class and the next one
+    size_class = F.floor(F.log(F.col("n")) / (math.log(1 / threshold) * 1.001)).cast("int")
+    roots = F.array(*[F.xxhash64(child(F.lit(r), F.lit(2 * r + k)), size_class + c) for r in range(runs) for k in range(2) for c in range(2)])
+    members = write_table(classes.select("rep", "n", F.explode(roots).alias("node"), F.lit(None).cast("long").alias("parent")), "members")
+    nodes_of = lambda m: m.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.max("parent").alias("parent"), F.bit_xor(F.xxhash64("rep")).alias("a"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("b")).filter("size > 1")
     levels, fresh, too_large = [], 2 * runs, (F.col("size") > leaf_sets) | (F.col("tokens") > leaf_tokens)
+    # a node that keeps more than half of its parent is a dense cluster, which more splits would copy and not thin out
+    thins = F.col("parent").isNull() | (2 * F.col("size") <= F.col("parent"))
     for depth in range(max_depth):
         nodes = write_table(nodes_of(members), "nodes")
-        large = nodes.filter(too_large & (F.col("size") > 2)) if depth + 1 < max_depth else nodes.limit(0)
+        large = nodes.filter(too_large & (F.col("size") > 2) & thins) if depth + 1 < max_depth else nodes.limit(0)
         levels.append((members, nodes.join(large.select("node"), "node", "left_anti") if depth + 1 < max_depth else nodes))
         if depth + 1 == max_depth or large.isEmpty():
             break
@@ -202,8 +208,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         span = COORDINATES - fresh
         one = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(span))
         two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(depth), F.lit("two")), F.lit(span - 1)), F.lit(span))
-        below = inside.join(classes.select("rep", "sig"), "rep").select("rep", "n", F.explode(F.array(child(F.col("node"), (fresh + one).cast("int")), child(F.col("node"), (fresh + two).cast("int")))).alias("node"))
-        members = write_table(below.distinct(), "members")
+        below = inside.join(classes.select("rep", "sig"), "rep").select("rep", "n", F.col("size").alias("parent"), F.explode(F.array(child(F.col("node"), (fresh + one).cast("int")), child(F.col("node"), (fresh + two).cast("int")))).alias("node"))
+        members = write_table(below.select("rep", "n", "node", "parent").distinct(), "members")
 
     leaves = None
     for _, nodes in levels:
