@@ -121,11 +121,11 @@ def _components(similar: np.ndarray) -> np.ndarray:
 
 
 def _leaf(rows: list[tuple], threshold: float) -> list[tuple[int, int, int, int]]:
-    """Links of one leaf: rep, the first rep of its component here, links to sets, links to documents.
+    """Links of one leaf: rep, the least rep of its component here, links to sets, links to documents.
 
     A pair that an earlier leaf (of smaller number) holds too is counted there only.
     """
-    rows = list({r["rep"]: r for r in rows}.values())
+    rows = sorted({r["rep"]: r for r in rows}.values(), key=lambda r: r["rep"])
     if len(rows) < 2:
         return []
     parted = rows[0]["i"] != rows[0]["j"]
@@ -149,12 +149,12 @@ def _components_of(edges: DataFrame) -> DataFrame:
     """rep and label for the reps of edges (rep, star): equal labels where stars join them, however many steps away.
 
     Each round gives each star its least label, each rep the least of its stars, and then that label's own label,
-    so that long chains shorten quickly. Stars are leaves' components and thus bounded.
+    so that long chains shorten quickly. A star may join any number of reps: see join_groups.
     """
     labels = write_table(edges.select("rep", F.col("rep").alias("label")).distinct(), "labels")
     while True:
-        stars = edges.join(labels, "rep").groupBy("star").agg(F.min("label").alias("label"))
-        least = write_table(edges.join(stars, "star").groupBy("rep").agg(F.min("label").alias("label")), "labels")
+        stars = write_table(edges.join(labels, "rep").groupBy("star").agg(F.min("label").alias("label"), F.count("*").alias("n")), "stars")
+        least = write_table(join_groups(edges, stars, ["star"], "n", F.xxhash64("rep"), how="inner").groupBy("rep").agg(F.min("label").alias("label")), "labels")
         jumped = least.alias("a").join(least.select(F.col("rep").alias("label"), F.col("label").alias("next")).alias("b"), "label")
         new = write_table(jumped.select("rep", F.col("next").alias("label")), "labels")
         changed = new.join(labels.withColumnRenamed("label", "before"), "rep").filter("label <> before").limit(1).count()
@@ -255,7 +255,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield from flushed()
 
     links = write_table(dealt.mapInArrow(compared, "rep long, first long, leaf long, n_sets long, n_docs long"), "links")
-    edges = write_table(links.select("rep", F.xxhash64("leaf", "first").alias("star")).distinct(), "edges")
+    edges = write_table(links.select("rep", F.col("first").alias("star")).distinct(), "edges")
     labels = _components_of(edges)
 
     linked = links.groupBy("rep").agg(F.sum("n_docs").alias("n_docs"))
