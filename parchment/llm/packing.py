@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchment.llm.common import write_table
+
 #: Permitted lengths, in tokens.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 
@@ -53,11 +55,12 @@ def pack(docs: DataFrame, tokens: Column, id_col: str = "doc_id", lengths: tuple
     by hash into pools of about pool_rows, which are packed apart from each other: memory is bounded, a pool wastes
     a few bins at most, and no key can be hot, as the hash takes in the part. For each pool every permitted length
     is tried as the least to open, and the plan of least total cost is kept. A bin is named "<pool>-<number>".
-    Rows that repeat an id get bins of their own, part by part. No rows give no bins.
+    Rows that repeat an id get bins of their own, part by part. No rows give no bins. Tokens are counted once: ids and
+    counts are written to the shared folder.
     """
     lengths = tuple(sorted(lengths))
     top = lengths[-1]
-    rows = docs.select(F.col(id_col).alias("id"), tokens.cast("long").alias("tokens")).filter("tokens > 0")
+    rows = write_table(docs.select(F.col(id_col).alias("id"), tokens.cast("long").alias("tokens")).filter("tokens > 0"), "token-counts")
     parts = rows.select("id", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tokens - 1) div {top}"))).alias("part"))
     parts = parts.select("id", "part", (F.col("part") * top).alias("start"), F.least(F.lit(top), F.col("tokens") - F.col("part") * top).alias("n_tokens"))
     n = rows.agg(F.sum(F.expr(f"(tokens - 1) div {top} + 1"))).first()[0] or 0
