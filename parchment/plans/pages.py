@@ -15,6 +15,11 @@ def nfkc_spaces(spark, d):
     return docs.select("doc_id", tokens.normalize_spaces(F.col("made")).alias("plain"))
 
 
+def nfkc_texts(spark, d):
+    """Whole texts. NFKC has no SQL, and nfkc_spaces is bound to the first 50 characters by its own."""
+    return table(spark, d, "documents").select("doc_id", tokens.normalize_spaces(F.col("text")).alias("plain"))
+
+
 def _marked(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", r"\bthe\b", "{v1}"), r"\bof\b", "{v2}").alias("text"))
 
@@ -122,6 +127,7 @@ _STARTS = """e AS (SELECT user_id, event_id, floor(value) AS x, row_number() OVE
 
 QUERIES = {
     "nfkc_spaces": (nfkc_spaces, f"SELECT doc_id, regexp_replace('fi 1 ' || left(text, 50), '[{SPACE}]+', ' ', 'g') AS plain FROM documents"),
+    "nfkc_texts": (nfkc_texts, None),
     "placeholder_counts": (placeholder_counts, rf"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_TEXT}, '\{{v\d+\}}')) AS token FROM documents) GROUP BY ALL"),
     "placeholder_cleanup": (placeholder_cleanup, f"SELECT doc_id, replace({_TEXT}, '{{v2}}', '') AS clean, CASE WHEN contains({_TEXT}, '{{v1}}') THEN '{{v3}}' ELSE '{{v1}},{{v3}}' END AS lost FROM documents"),
     "glyph_names": (glyph_names, "WITH h AS (SELECT p_partkey, p_name, printf('%04X', p_partkey % 900 + 65) AS h, chr((p_partkey % 900 + 65)::INT) AS c FROM part) SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'uni' || h || '0041.alt' WHEN 1 THEN 'u' || h WHEN 2 THEN 'fi_A_uni' || h ELSE p_name END AS name, CASE p_partkey % 4 WHEN 0 THEN c || 'A' WHEN 1 THEN c WHEN 2 THEN 'ﬁA' || c END AS text FROM h"),
