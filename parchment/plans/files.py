@@ -62,9 +62,10 @@ def file_intake(spark, d):
 
 
 def stream_once(spark, d):
-    e = logs.read_stream(spark, f"{d}/events.parquet")
-    doubled = e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return logs.collect_stream(logs.once(doubled, ["user_id", "event_id"], "40 days").select("user_id", "event_id", "value"), ["user_id", "event_id"], "value").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_seq"))
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    doubled = lambda rows: rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    once = lambda rows: logs.once(doubled(rows), ["user_id", "event_id"]).select("user_id", "event_id", "value")
+    return logs.collect_in_order(e, F.unix_micros("ts"), once, ["user_id", "event_id"], "value").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_seq"))
 
 
 def stream_throttle(spark, d):
@@ -74,10 +75,10 @@ def stream_throttle(spark, d):
 
 
 def stream_lifecycle(spark, d):
-    e = logs.read_stream(spark, f"{d}/events.parquet")
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     outcome = F.create_map(*[F.lit(x) for kv in _OUTCOMES.items() for x in kv])[F.col("event_type")]
     e = e.select("user_id", F.col("event_id").alias("seq"), F.unix_millis("ts").alias("t_ms"), outcome.alias("outcome"), (F.col("value") > 60).alias("permanent"))
-    return logs.collect_stream(logs.lifecycle(e), ["user_id"], "seq", "update")
+    return logs.collect_in_order(e, F.col("seq"), logs.lifecycle, ["user_id"], "seq", "update")
 
 
 QUERIES = {
