@@ -23,10 +23,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one of least id."""
-    gone = jaccard.jaccard_join(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    """One document of each class stays: one of least id."""
+    found = jaccard.jaccard_join(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.bool_or("kept").alias("__one"), F.bool_and("kept").alias("__all"))
+    found = write_table(found.filter(~F.col("__all")).drop("__all"), "near-duplicates")
     keyed = docs.withColumn("__text", F.xxhash64("text"))
-    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__text"] == gone["__hash"]), "left_anti").select(*docs.columns)
+    same = keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["__text"] == found["__hash"])
+    rest = keyed.join(found, same, "left_anti").select(*docs.columns)
+    if found.filter("__one").isEmpty():
+        return rest
+    # rows that repeat both id and text, of which one stays
+    one = keyed.join(found.filter("__one"), same, "left_semi").groupBy("doc_id", "__text").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return rest.unionByName(one.select("__row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

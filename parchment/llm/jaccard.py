@@ -167,11 +167,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of docs: the id, class_id, n_links, n_copies, kept and text_hash (xxhash64 of the text).
 
     Texts are similar if their sets of word 5-grams have a Jaccard similarity of at least threshold. Classes are
-    what such links join, step by step; class_id is the least id of a class, and its row is kept. n_links is the
+    what such links join, step by step; class_id is the least id of a class (null last), and one row of it is kept. n_links is the
     number of other documents linked to this one directly, n_copies the number of documents with its set of
     5-grams, itself included. Null and empty texts, and texts without words, have no links and stay.
     A text of less than five words is similar to texts of the same words only. Rows that repeat both id and text
-    are counted as copies and kept alike. An empty table gives no rows.
+    are counted as copies; of rows with the least id the one of least text_hash is kept, and of equal ones any one. An empty table gives no rows.
 
     Documents with equal sets are one set from the start, found by aggregation, so copies cost no comparisons. Links
     found are exact; a link at the threshold is lost with probability 1 - recall, one of higher similarity more seldom. Nothing
@@ -182,8 +182,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     runs = runs_needed(threshold, recall)
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    sets = write_table(keyed.select("id", "text_hash", _signed(F.coalesce("text", F.lit(""))).alias("s")).select("id", "text_hash", "s.*"), "sets")
-    classes = sets.filter("n > 0").groupBy("set").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    sets = write_table(keyed.select("id", "text_hash", _signed(F.coalesce("text", F.lit(""))).alias("s")).select("id", "text_hash", F.monotonically_increasing_id().alias("row"), "s.*"), "sets")
+    classes = sets.filter("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "row")).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = write_table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     def child(run: Column, coordinate: Column) -> Column:
@@ -259,18 +259,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = _components_of(edges)
 
     linked = links.groupBy("rep").agg(F.sum("n_docs").alias("n_docs"))
-    named = classes.select("set", "rep", "copies", F.col("first.id").alias("id")).join(labels, "rep", "left").join(linked, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    named = write_table(named.select("set", "copies", "id", "label", (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
-    least = write_table(named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("n_sets")), "class-ids")
-    named = write_table(join_groups(named, least, ["label"], "n_sets", F.xxhash64("set")).select("set", "copies", "class_id", "n_links"), "class-of-set")
+    named = classes.select("set", "rep", "copies", "first").join(labels, "rep", "left").join(linked, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    named = write_table(named.select("set", "copies", "first", "label", (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
+    least = write_table(named.groupBy("label").agg(F.min("first").alias("best"), F.count("*").alias("n_sets")), "class-ids")
+    named = write_table(join_groups(named, least, ["label"], "n_sets", F.xxhash64("set")).select("set", "copies", F.col("best.id").alias("class_id"), F.col("best.row").alias("best"), "n_links"), "class-of-set")
 
-    out = join_groups(sets.select("id", "text_hash", "set"), named, ["set"], "copies", F.xxhash64("id", "text_hash"))
+    out = join_groups(sets.select("id", "text_hash", "row", "set"), named, ["set"], "copies", F.xxhash64("id", "text_hash"))
     alone = F.col("copies").isNull()
     return out.select(
         F.col("id").alias(id_col),
         F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
-        (alone | F.col("class_id").eqNullSafe(F.col("id"))).alias("kept"),
+        (alone | (F.col("best") == F.col("row"))).alias("kept"),
         "text_hash",
     )
