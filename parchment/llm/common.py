@@ -1,46 +1,62 @@
-"""What the operators of this package share: tables, scratch tables in the shared folder, and joins that hold under skew."""
+"""What the operators of this package share: tables, scratch tables in the shared folder, and joins that hold under skew.
 
-from __future__ import annotations
+Operators keep the columns of their input in one struct, packed(), while they work. So no name that they give to a column
+of their own can clash with one of the input, and out() unpacks the struct at the end.
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchment.sources.scratch import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the cluster's spark.checkpoint.dir. Only a local session, where driver and executors are one
-    process, gets a folder of its own when that setting is missing.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: this cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(name: str) -> Column:
+    """The column of this name, whatever signs it has."""
+    return F.col(quoted(name))
+
+
+def without(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of df but for names, whatever the case."""
+    gone = {n.lower() for n in names}
+    return [column(c) for c in df.columns if c.lower() not in gone]
+
+
+def packed(df: DataFrame, *new: str) -> Column:
+    """One struct, named row, of the columns of df but for those that new ones of these names replace."""
+    return F.struct(*without(df, *new)).alias("row")
+
+
+def inside(name: str) -> Column:
+    """A column that packed() put into row."""
+    return F.col(f"row.{quoted(name)}")
+
+
+def unpacked(df: DataFrame) -> list[Column]:
+    """The columns that packed() put into row, to be selected again."""
+    return [inside(c).alias(c) for c in df.schema["row"].dataType.names]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, spread: Column, how: str = "left") -> DataFrame:
     """Join rows to one-row-per-key groups without sending a large group to one task.
 
@@ -48,26 +64,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: s
     partition is heavy. The sizes add up to at most the number of rows, so there are fewer than
     4 x spark.sql.shuffle.partitions heavy groups whatever the data: they are broadcast. The other groups are
     joined by a shuffle, in which the rows that found their heavy group are dealt out by spread.
-    groups is read three times, so it should be a written table. how is "left" or "inner".
+    groups is read three times, so it should be a written table. how is "left" or "inner". Besides the keys, rows and
+    groups have no names in common; columns of any other name are safe.
     """
+    taken = {c.lower() for c in [*rows.columns, *groups.columns]}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    heavy_col, light_col, salt, group = map(free, ("heavy", "light", "salt", "group"))
     parts = shuffle_partitions(rows.sparkSession)
-    total = groups.agg(F.sum(size_col).cast("long")).first()[0] or 0
+    total = groups.agg(F.sum(column(size_col)).cast("long")).first()[0] or 0
     others = [c for c in groups.columns if c not in keys]
-    is_heavy = F.col(size_col) * (4 * parts) > F.lit(total)
-    heavy = groups.filter(is_heavy).select(*keys, F.struct(*others).alias("__heavy"))
-    light = groups.filter(~is_heavy).select(*keys, F.lit(0).cast("long").alias("__salt"), F.struct(*others).alias("__light"))
-    out = (
-        rows.join(F.broadcast(heavy), keys, "left")
-        .withColumn("__salt", F.when(F.col("__heavy").isNotNull(), F.xxhash64(spread)).otherwise(F.lit(0).cast("long")))
-        .join(light, [*keys, "__salt"], "left")
-        .withColumn("__group", F.coalesce("__heavy", "__light"))
-    )
+    is_heavy = column(size_col) * (4 * parts) > F.lit(total)
+    found = F.struct(*map(column, others))
+    heavy = groups.filter(is_heavy).select(*map(column, keys), found.alias(heavy_col))
+    light = groups.filter(~is_heavy).select(*map(column, keys), F.lit(0).cast("long").alias(salt), found.alias(light_col))
+    met = rows.join(F.broadcast(heavy), keys, "left")
+    met = met.withColumn(salt, F.when(column(heavy_col).isNotNull(), F.xxhash64(spread)).otherwise(F.lit(0).cast("long")))
+    met = met.join(light, [*keys, salt], "left").withColumn(group, F.coalesce(column(heavy_col), column(light_col)))
     if how == "inner":
-        out = out.filter(F.col("__group").isNotNull())
-    return out.select(*rows.columns, *[F.col(f"__group.{c}").alias(c) for c in others])
-
-
-def without(df: DataFrame, *names: str) -> list[Column]:
-    """The columns of df but for names, whatever the case."""
-    gone = {n.lower() for n in names}
-    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone]
+        met = met.filter(column(group).isNotNull())
+    return met.select(*map(column, rows.columns), *[F.col(f"{quoted(group)}.{quoted(c)}").alias(c) for c in others])

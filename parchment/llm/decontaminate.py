@@ -1,88 +1,173 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's word windows scans each text once."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's words scans each text once.
+
+A window of 13 words always holds a whole one of the pieces of 7 words that its item is cut into. So the automaton has
+the pieces, not the windows, and is about as large as the items. Where a piece occurs, the words on both sides are
+compared with the item's, and a run of 13 equal words or more is a run of windows.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import without
+from parchment.llm.common import column, inside, packed, unpacked, write_table
 
 #: Bytes that make words, after lower-casing A-Z: digits, letters, and all of other characters; the rest part words.
 _TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_automata: dict[str, ahocorasick.Automaton] = {}
+#: Words of an item in one segment at most; a longer item is several, which overlap by a window less one word.
+SEGMENT_WORDS = 20_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_TO_WORDS).split()
 
 
-def windows_of(items: list[tuple[object, str | None]], width: int) -> dict[bytes, list[str]]:
-    """Each window of consecutive words, joined by spaces, and the items that have it; a shorter item is one window."""
-    out: dict[bytes, list[str]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            own = out.setdefault(b" ".join(words[i : i + width]), [])
-            if str(item) not in own[-1:]:
-                own.append(str(item))
+class Matcher:
+    """An automaton over the pieces of items (id, words), and what it takes to grow a piece found into a run."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], width: int) -> None:
+        self.items, self.width, self.automaton = items, width, ahocorasick.Automaton()
+        step, places = (width + 1) // 2, {}
+        for k, (_, words) in enumerate(items):
+            for at in range(0, len(words) - step + 1, step) if len(words) >= width else (0,):
+                places.setdefault(b" ".join(words[at : at + step] if len(words) >= width else words), []).append((k, at))
+        for piece, found in places.items():
+            self.automaton.add_word(f" {piece.decode('latin-1')} ", (len(piece), found))
+        if places:
+            self.automaton.make_automaton()
+
+    def runs(self, words: list[bytes]) -> Iterator[tuple[int, int, str]]:
+        """First word, last word (not included) and item of each run of windows in a text, in any order."""
+        if not words or not len(self.automaton):
+            return
+        starts, at = [], 1
+        for w in words:
+            starts.append(at)
+            at += len(w) + 1
+        done: dict[tuple[int, int], int] = {}
+        for end, (length, places) in self.automaton.iter(f" {b' '.join(words).decode('latin-1')} "):
+            p = bisect_left(starts, end - length)
+            for k, at in places:
+                item, own = self.items[k]
+                if len(own) < self.width:
+                    yield p, p + len(own), item
+                    continue
+                if done.get((k, p - at), 0) > p:
+                    continue
+                first = last = 0
+                while at - first > 0 and p - first > 0 and own[at - first - 1] == words[p - first - 1]:
+                    first += 1
+                while at + last < len(own) and p + last < len(words) and own[at + last] == words[p + last]:
+                    last += 1
+                done[k, p - at] = p + last
+                if first + last >= self.width:
+                    yield p - first, p + last, item
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(ranges):
+        if out and first <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], last)
+        else:
+            out.append((first, last))
     return out
 
 
-def _automaton(windows: dict[bytes, list[str]]) -> ahocorasick.Automaton:
-    """Built once in each Python worker."""
-    key = hashlib.sha1(repr(sorted(windows.items())).encode()).hexdigest()
-    if key not in _automata:
-        made = ahocorasick.Automaton()
-        for window, items in windows.items():
-            made.add_word(f" {window.decode('latin-1')} ", (len(window), window.count(b" ") + 1, items))
-        made.make_automaton()
-        _automata.clear()
-        _automata[key] = made
-    return _automata[key]
+def in_text(text: str | None, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of words as ranges of code points of the original text."""
+    if not ranges:
+        return []
+    raw = (text or "").encode("utf-8", "replace")
+    place = [(m.start(), m.end()) for m in _WORD.finditer(raw.translate(_TO_WORDS))]
+    return [(len(raw[: place[s][0]].decode()), len(raw[: place[e - 1][1]].decode())) for s, e in ranges]
 
 
-def scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], list[str], list[tuple[int, int]]]:
-    """Number of words, merged ranges of hit words, ids of the items hit, and the ranges as code points of the text.
+_RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_HIT = "struct<n_words:bigint,words:array<struct<first:int,last:int>>,items:array<string>,chars:array<struct<first:int,last:int>>>"
+_HIT_ARROW = pa.struct([("n_words", pa.int64()), ("words", _RANGE), ("items", pa.list_(pa.string())), ("chars", _RANGE)])
+_matchers: dict[str, Matcher] = {}
 
-    The automaton reads the normalised words once, each with a space on both sides. Only where it finds something
-    are the words' places in the original looked up.
-    """
-    coded = (text or "").encode("utf-8", "replace").translate(_TO_WORDS)
-    words = coded.split()
-    flat = f" {b' '.join(words).decode('latin-1')} "
-    ends = [(end - length, n, items) for end, (length, n, items) in automaton.iter(flat)] if words and len(automaton) else []
-    if not ends:
-        return len(words), [], [], []
-    first_word = {}
-    at = 1
-    for i, w in enumerate(words):
-        first_word[at] = i
-        at += len(w) + 1
-    merged: list[list[int]] = []
-    for s, n in sorted((first_word[start], n) for start, n, _ in ends):
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], s + n)
-        else:
-            merged.append([s, s + n])
-    place = [(m.start(), m.end()) for m in _WORD.finditer(coded)]
-    raw = (text or "").encode("utf-8", "replace")
-    chars = [(len(raw[: place[s][0]].decode()), len(raw[: place[e - 1][1]].decode())) for s, e in merged]
-    return len(words), [(s, e) for s, e in merged], sorted({i for _, _, items in ends for i in items}), chars
 
+def _hit(text: str | None, words: list[bytes], ranges: list[tuple[int, int]], items: list[str]) -> dict:
+    pairs = lambda found: [{"first": a, "last": b} for a, b in found]
+    return {"n_words": len(words), "words": pairs(ranges), "items": sorted(set(items)), "chars": pairs(in_text(text, ranges))}
+
+
+def _scanner(block: Broadcast, width: int):
+    name = uuid.uuid4().hex
+
+    @F.arrow_udf(_HIT)
+    def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if name not in _matchers:  # built once in each Python worker; one at a time
+            _matchers.clear()
+            _matchers[name] = Matcher([(item, words.split()) for item, words in block.value], width)
+        for texts in batches:
+            out = []
+            for text in texts.to_pylist():
+                words = words_of(text)
+                runs = list(_matchers[name].runs(words))
+                out.append(_hit(text, words, merged([r[:2] for r in runs]), [r[2] for r in runs]))
+            yield pa.array(out, _HIT_ARROW)
+
+    return scanned
 
-_RANGE = "array<struct<first:int,last:int>>"
-_RANGE_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-_ROW = pa.struct([("n_words", pa.int64()), ("words", _RANGE_ARROW), ("items", pa.list_(pa.string())), ("chars", _RANGE_ARROW)])
+
+def _put_together():
+    @F.arrow_udf(_HIT)
+    def together(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        """Of a text and the hits of all blocks on it, the hits as of one block."""
+        for texts, found in batches:
+            out = []
+            for text, hits in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+                ranges = merged([(r["first"], r["last"]) for h in hits or [] for r in h["words"]])
+                out.append(_hit(text, words_of(text), ranges, [i for h in hits or [] for i in h["items"]]))
+            yield pa.array(out, _HIT_ARROW)
+
+    return together
+
+
+def segments(benchmark: DataFrame, item_col: str, text_col: str, width: int, most: int = SEGMENT_WORDS) -> DataFrame:
+    """The items' words (item, words: joined by spaces, bytes) in segments, each once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            out = []
+            for row in got.to_pylist():
+                words = words_of(row["text"])
+                out += [(str(row["item"]), b" ".join(words[at : at + most])) for at in range(0, max(1, len(words) - width + 1), most - width + 1) if words]
+            items, texts = [i for i, _ in out], [w for _, w in out]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.binary()), pa.array([len(i) + len(w) for i, w in out], pa.int64())], ["item", "words", "bytes"])
+
+    rows = benchmark.select(column(item_col).cast("string").alias("item"), column(text_col).alias("text"))
+    return write_table(rows.mapInArrow(cut, "item string, words binary, bytes long").groupBy("item", "words").agg(F.first("bytes").alias("bytes")), "benchmark-words")
+
+
+def deal(cut: DataFrame, block_bytes: int) -> tuple[Column, int]:
+    """Which block a segment is in, and how many blocks there are: as many as it takes for none to be over block_bytes.
+
+    Segments are different, so their hashes part them; a single segment may be larger than a block.
+    """
+    total, largest = cut.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+    blocks = max(1, -(-total // block_bytes))
+    while True:
+        block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int")
+        if blocks == 1 or (cut.groupBy(block.alias("block")).agg(F.sum("bytes").alias("n")).agg(F.max("n")).first()[0] <= max(block_bytes, largest)):
+            return block, blocks
+        blocks *= 2
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", text_col: str = "text", width: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", text_col: str = "text", width: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
     """docs with n_words, n_hit, items, spans and contaminated.
 
     Texts are lower-cased (A-Z) and cut into words of digits, letters and characters over U+007F. A window is width
@@ -90,45 +175,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "i
     window is hit. items has the ids of the items that occur, as strings and sorted so; spans the hit ranges as code
     points of the original text, first included and last not. A text is contaminated if words are hit and they
     make up a twentieth of all or more. Null and empty texts have no words, and items without words no windows.
-    Columns of docs with the new names are replaced.
+    A null item id is the item "None". Columns of docs with the new names are replaced; other names are free.
 
-    Nothing is shuffled. The benchmark is read to the driver in blocks of whole items of at most block_bytes (more
-    for one longer item): one block, thus one automaton and one scan, for any usual benchmark; more blocks mean as many scans, whose hits are merged.
+    The benchmark's words are broadcast in blocks of at most block_bytes, checked; the automaton takes some 40 bytes for each. With one
+    block, as of any usual benchmark, nothing is shuffled. With more, docs are written with a number for each row, each block is
+    scanned for and its hits written before the next is read, and hits meet their rows by the number.
     """
-    blocks, size = [[]], 0
-    for item, text in benchmark.select(item_col, item_text_col).toLocalIterator():
-        if size and size + len(text or "") > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
-        size += len(text or "")
-
-    def scanner(windows: dict[bytes, list[str]]):
-        @F.arrow_udf(f"struct<n_words:bigint,words:{_RANGE},items:array<string>,chars:{_RANGE}>")
-        def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            automaton = _automaton(windows)
-            for texts in batches:
-                got = (scan(t.as_py(), automaton) for t in texts)
-                pairs = lambda r: [{"first": a, "last": b} for a, b in r]
-                yield pa.array([{"n_words": n, "words": pairs(w), "items": i, "chars": pairs(c)} for n, w, i, c in got], _ROW)
-
-        return scanned
-
-    out = docs.select(*without(docs, "n_words", "n_hit", "items", "spans", "contaminated"))
-    for k, block in enumerate(blocks):
-        out = out.withColumn(f"__hit{k}", scanner(windows_of(block, width))(F.coalesce(F.col(text_col), F.lit(""))))
-    hits = [F.col(f"__hit{k}") for k in range(len(blocks))]
-
-    def merged(name: str):
-        if len(hits) == 1:
-            return hits[0][name]
-        none = F.array().cast(_RANGE)
-        return F.aggregate(
-            F.array_sort(F.concat(*[h[name] for h in hits])),
-            none,
-            lambda done, r: F.when((F.size(done) > 0) & (r["first"] <= F.try_element_at(done, F.lit(-1))["last"]), F.concat(F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1)), F.array(F.struct(F.try_element_at(done, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(done, F.lit(-1))["last"], r["last"]).alias("last"))))).otherwise(F.concat(done, F.array(r))),
-        )
-
-    out = out.withColumn("n_words", hits[0]["n_words"]).withColumn("n_hit", F.aggregate(merged("words"), F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"]))
-    out = out.withColumn("items", F.array_sort(F.array_distinct(F.concat(*[h["items"] for h in hits])))).withColumn("spans", merged("chars"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop(*[f"__hit{k}" for k in range(len(blocks))])
+    cut = segments(benchmark, item_col, item_text_col, width)
+    block, blocks = deal(cut, block_bytes)
+    new = ("n_words", "n_hit", "items", "spans", "contaminated")
+
+    def scan(k: int) -> Column:
+        held = cut.filter(block == k).select("item", "words").collect()
+        return _scanner(docs.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["words"])) for r in held]), width)(text)
+
+    rows, text = docs.select(packed(docs, *new)), F.coalesce(inside(text_col), F.lit(""))
+    if blocks == 1:
+        met = rows.withColumn("hit", scan(0))
+    else:
+        rows = write_table(rows.withColumn("at", F.monotonically_increasing_id()), "texts")
+        hits = None
+        for k in range(blocks):
+            found = write_table(rows.select("at", scan(k).alias("hit")).filter(F.size("hit.items") > 0), "hits")
+            hits = found if hits is None else hits.unionByName(found)
+        met = rows.join(hits.groupBy("at").agg(F.collect_list("hit").alias("hits")), "at", "left")
+        met = met.withColumn("hit", _put_together()(text, F.col("hits")))
+    n_hit = F.aggregate("hit.words", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+    met = met.select("row", "hit", n_hit.alias("n_hit"))
+    dirty = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("hit.n_words"))
+    return met.select(*unpacked(met), F.col("hit.n_words").alias("n_words"), "n_hit", F.col("hit.items").alias("items"), F.col("hit.chars").alias("spans"), dirty.alias("contaminated"))

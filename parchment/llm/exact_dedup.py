@@ -1,7 +1,8 @@
 """Exact dedup by progressive refinement: length, then a hash of the first characters, then a hash of the whole text.
 
-Counts decide at each level which rows go on. A row whose length is its own is a text of its own, and so is a row
-whose length and prefix hash are its own. Only the rest has its whole text hashed and grouped.
+Counts decide at each level which rows go on. A row whose length is its own is a text of its own and has nothing
+hashed. Rows of shared lengths have their first characters hashed, and a row whose length and prefix hash are its own
+ends there. Only the rest has its whole text hashed and grouped.
 """
 
 from __future__ import annotations
@@ -9,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import join_groups, without, write_table
+from parchment.llm.common import column, inside, join_groups, packed, unpacked, write_table
 
 WHITESPACE = " \t\n\x0b\x0c\r"
 
 
 def normalised(text_col: str = "text") -> Column:
     """The text without spaces and the characters U+0009 to U+000D; null counts as empty."""
-    return F.translate(F.coalesce(F.col(text_col), F.lit("")), WHITESPACE, "")
+    return F.translate(F.coalesce(column(text_col), F.lit("")), WHITESPACE, "")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128) -> DataFrame:
@@ -24,34 +25,39 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when their normalised forms are. Of equal texts the row with the most code points in the original
     text stays, then the one with the smallest id (a null id comes first), then one of the rows that repeat it.
-    Null and empty texts are equal. An empty table gives no rows. Columns of docs named as the new ones are replaced.
+    Null and empty texts are equal. An empty table gives no rows. Columns of docs named as the new ones are replaced;
+    other names are free.
 
-    One scan counts the rows by length and prefix hash, and those counts alone settle the first two levels. The
-    second shuffles texts by length and prefix hash, so that a text is hashed where its group is at least two rows.
+    The first scan takes length and first characters of each text; the first two levels count those. The
+    second scan deals texts by length and prefix hash, so that a text is hashed where its group is at least two rows.
     Groups larger than a quarter of a partition are never dealt by their key: see join_groups.
     """
+    bare = normalised(text_col)
+    heads = write_table(docs.select(F.char_length(bare).alias("len"), F.substring(bare, 1, prefix_chars).alias("head")), "exact-heads")
+    lengths = write_table(heads.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1"), "exact-lengths")
+    shared = join_groups(heads.withColumn("at", F.monotonically_increasing_id()), lengths, ["len"], "n", F.col("at"), how="inner")
+    cells = shared.groupBy("len", F.xxhash64("head").alias("prefix")).agg(F.count("*").alias("cell")).filter("cell > 1")
+    cells = write_table(cells, "exact-cells")
+
     rows = docs.select(
-        *without(docs, "keep_id", "group_size", "kept"),
-        F.char_length(normalised(text_col)).alias("__len"),
-        F.xxhash64(F.substring(normalised(text_col), 1, prefix_chars)).alias("__prefix"),
-        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("__chars"),
-        F.monotonically_increasing_id().alias("__row"),
+        packed(docs, "keep_id", "group_size", "kept"),
+        column(id_col).alias("id"),
+        F.char_length(bare).alias("len"),
+        F.xxhash64(F.substring(bare, 1, prefix_chars)).alias("prefix"),
+        F.monotonically_increasing_id().alias("at"),
     )
-    cells = write_table(rows.groupBy("__len", "__prefix").agg(F.count("*").alias("__n")), "exact-cells")
-    lengths = cells.groupBy("__len").agg(F.sum("__n").alias("__same_length")).filter("__same_length > 1")
-    open_cells = write_table(cells.filter("__n > 1").join(lengths.select("__len"), "__len", "left_semi"), "exact-open")
-
-    hashed = join_groups(rows, open_cells, ["__len", "__prefix"], "__n", F.col("__row"))
-    full = F.when(F.col("__n").isNotNull(), F.sha2(F.encode(normalised(text_col), "utf-8"), 256))
-    hashed = write_table(hashed.withColumn("__full", F.coalesce(full, F.concat(F.lit("row "), F.col("__row")))).drop("__n", "__len", "__prefix"), "exact-hashed")
-
-    best = F.min(F.struct((-F.col("__chars")).alias("chars"), F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("best")
-    groups = hashed.filter(~F.col("__full").startswith("row ")).groupBy("__full").agg(best, F.count("*").alias("__size"))
-    groups = write_table(groups.filter("__size > 1"), "exact-groups")
+    hashed = join_groups(rows, cells, ["len", "prefix"], "cell", F.col("at"))
+    text = F.coalesce(inside(text_col), F.lit(""))
+    full = F.when(F.col("cell").isNotNull(), F.sha2(F.encode(F.translate(text, WHITESPACE, ""), "utf-8"), 256))
+    hashed = write_table(hashed.select("row", "id", "at", F.char_length(text).alias("chars"), full.alias("full")), "exact-hashed")
+
+    best = F.min(F.struct((-F.col("chars")).alias("chars"), F.col("id"), F.col("at"))).alias("best")
+    groups = hashed.filter(F.col("full").isNotNull()).groupBy("full").agg(best, F.count("*").alias("size"))
+    groups = write_table(groups.filter("size > 1"), "exact-groups")
     alone = F.col("best").isNull()
-    return join_groups(hashed, groups, ["__full"], "__size", F.col("__row")).select(
-        *without(hashed, "__chars", "__row", "__full"),
-        F.when(alone, F.col(id_col)).otherwise(F.col("best.id")).alias("keep_id"),
-        F.coalesce(F.col("__size"), F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("best.row") == F.col("__row"))).alias("kept"),
+    return join_groups(hashed, groups, ["full"], "size", F.col("at")).select(
+        *unpacked(hashed),
+        F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
+        F.coalesce(F.col("size"), F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("best.at") == F.col("at"))).alias("kept"),
     )

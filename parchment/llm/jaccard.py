@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructType
 
-from parchment.llm.common import join_groups, write_table
+from parchment.llm.common import column, join_groups, write_table
 from parchment.llm.textnum import WORDS, blocks, mix, word_hashes
 
-COORDINATES = 32
+COORDINATES = 64
 _FACTORS = [mix(np.uint64([0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)]))[0] for k in range(COORDINATES)]
 _A = np.array([f | np.uint64(1) for f in _FACTORS])
 _B = mix(_A)
@@ -72,52 +72,84 @@ def _signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], ["n", "set", "sig"])
 
 
-def runs_needed(threshold: float, recall: float, fanout: int = 2) -> int:
-    """How many runs find a link at the threshold with probability recall, however deep the trees are.
+def lost_share(threshold: float, runs: int, levels: int, fanout: int = 2) -> float:
+    """With which probability a link at the threshold is in no leaf of any run, when trees are so many levels deep.
 
-    A run loses the link below a node if in each sampled coordinate the two sets differ or are lost further down.
+    A run loses the link below a node if in each sampled coordinate the two sets differ or are lost further down. The
+    roots of runs sample coordinates of their own. All nodes below draw from the rest, of which the two sets
+    agree in a number that is the same for all runs, so the chance is taken over that number.
     """
-    lost = 0.0
-    for _ in range(100):
-        lost = (1 - threshold * (1 - lost)) ** fanout
-    return int(np.ceil(np.log(1 - recall) / np.log(lost)))
+    pool, lost = COORDINATES - fanout * runs, 0.0
+    for agree in range(pool + 1):
+        below = 0.0
+        for _ in range(levels - 1):
+            below = (1 - agree / pool * (1 - below)) ** fanout
+        weight = math.comb(pool, agree) * threshold**agree * (1 - threshold) ** (pool - agree)
+        lost += weight * (1 - threshold * (1 - below)) ** (fanout * runs)
+    return lost
+
+
+def runs_needed(threshold: float, recall: float, levels: int = 4, fanout: int = 2) -> int:
+    """How many runs find a link at the threshold with probability recall in trees of so many levels."""
+    return next((n for n in range(1, COORDINATES // fanout // 2) if lost_share(threshold, n, levels, fanout) <= 1 - recall), COORDINATES // fanout // 2)
+
+
+#: Rows of a matrix of similar sets that are worked out at once.
+_TILE = 512
 
 
 def compare(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> np.ndarray:
     """Which sets are similar, as a matrix. With sides, only sets of different sides are compared.
 
-    Intersections are counted exactly, by products of matrices over the tokens that two sets at least have.
+    Sets so near to the first one that their differences from it can't add up to too many are similar without being
+    compared. Of all others the intersections are counted exactly, by products of matrices over the tokens
+    that two sets at least have.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     tokens, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
+    pivot = np.zeros(len(tokens), bool)
+    pivot[at[: sizes[0]]] = True
+    with_pivot = np.bincount(owner, pivot[at], len(sets))
+    # A and B differ in at most |A - P| + |P - A| + |B - P| + |P - B| tokens, and may differ in share * (|A| + |B|)
+    share = (1 - threshold) / (1 + threshold)
+    near = share * sizes - (sizes + sizes[0] - 2 * with_pivot) >= 1e-6
+    far = np.flatnonzero(~near)
+
     shared = n[at] > 1
     column = (np.cumsum(n > 1) - 1)[at[shared]]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[shared][order]
-    common = np.zeros((len(sets), len(sets)), np.float64)
     last = int((n > 1).sum())
-    width = min(last, max(256, (8 << 20) // len(sets)))
-    for lo in range(0, last, max(1, width)):
-        s, e = np.searchsorted(column, [lo, lo + width])
-        part = np.zeros((len(sets), width), np.float32)
-        part[owner[s:e], column[s:e] - lo] = 1
-        common += part @ part.T
-    similar = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
+    width = min(last, max(256, (4 << 20) // len(sets)))
+    similar = near[:, None] & near[None, :]
+    common = np.zeros((len(far), len(sets)), np.float32)
+    if len(far):
+        for lo in range(0, last, max(1, width)):
+            s, e = np.searchsorted(column, [lo, lo + width])
+            part = np.zeros((len(sets), width), np.float32)
+            part[owner[s:e], column[s:e] - lo] = 1
+            common += part[far] @ part.T
+        for lo in range(0, len(far), _TILE):
+            rows = far[lo : lo + _TILE]
+            similar[rows] = common[lo : lo + _TILE] * (1 + threshold) >= threshold * (sizes[rows, None] + sizes[None, :]) - 1e-6
+            similar[:, rows] = similar[rows].T
     np.fill_diagonal(similar, False)
     return similar if side is None else similar & (side[:, None] != side[None, :])
 
 
 def _components(similar: np.ndarray) -> np.ndarray:
     """For each row the first row that it is joined to, however many steps away."""
-    label = np.arange(len(similar))
-    while True:
-        low = np.where(similar, label[None, :], len(similar)).min(axis=1)
-        new = np.minimum(label, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    label = np.full(len(similar), -1)
+    for i in range(len(similar)):
+        front = np.array([i] if label[i] < 0 else [], int)
+        while len(front):
+            label[front] = i
+            reached = np.zeros(len(similar), bool)
+            for lo in range(0, len(front), _TILE):
+                reached |= similar[front[lo : lo + _TILE]].any(axis=0)
+            front = np.flatnonzero(reached & (label < 0))
+    return label
 
 
 def _leaf(rows: list[tuple], threshold: float) -> list[tuple[int, int, int, int]]:
@@ -132,17 +164,19 @@ def _leaf(rows: list[tuple], threshold: float) -> list[tuple[int, int, int, int]
     similar = compare(shingle_sets([r["text"] for r in rows]), threshold, np.array([r["block"] for r in rows]) if parted else None)
     if not similar.any():
         return []
+    any_here, first = similar.any(axis=1), _components(similar)
     earlier: dict[int, list[int]] = {}
     for k, r in enumerate(rows):
         for other in r["leaves"]:
             if other < r["leaf"]:
                 earlier.setdefault(other, []).append(k)
-    fresh = similar.copy()
     for members in earlier.values():
         if len(members) > 1:
-            fresh[np.ix_(members, members)] = False
-    copies, first = np.array([r["copies"] for r in rows], np.int64), _components(similar)
-    return [(r["rep"], rows[first[k]]["rep"], int(fresh[k].sum()), int(copies[fresh[k]].sum())) for k, r in enumerate(rows) if similar[k].any()]
+            similar[np.ix_(members, members)] = False
+    copies = np.array([r["copies"] for r in rows], np.float64)
+    n_docs = np.concatenate([similar[lo : lo + _TILE] @ copies for lo in range(0, len(rows), _TILE)])
+    n_sets = similar.sum(axis=1)
+    return [(r["rep"], rows[first[k]]["rep"], int(n_sets[k]), int(n_docs[k])) for k, r in enumerate(rows) if any_here[k]]
 
 
 def _components_of(edges: DataFrame) -> DataFrame:
@@ -163,7 +197,7 @@ def _components_of(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.9999, leaf_sets: int = 1024, leaf_tokens: int = 2 << 20, max_depth: int = 8) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.9999, leaf_sets: int = 1024, leaf_tokens: int = 2 << 20, max_depth: int = 8, block_sets: int = 4096) -> DataFrame:
     """One row for each row of docs: the id, class_id, n_links, n_copies, kept and text_hash (xxhash64 of the text).
 
     Texts are similar if their sets of word 5-grams have a Jaccard similarity of at least threshold. Classes are
@@ -179,9 +213,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are written out pair by pair: a leaf tells for each set how many links it has that no earlier leaf has,
     and which component it is in. So rows grow with the documents, not with the pairs.
     """
-    spark = docs.sparkSession
     runs = runs_needed(threshold, recall)
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    keyed = docs.select(column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("text_hash"), column(text_col).alias("text"))
     sets = write_table(keyed.select("id", "text_hash", _signed(F.coalesce("text", F.lit(""))).alias("s")).select("id", "text_hash", F.monotonically_increasing_id().alias("row"), "s.*"), "sets")
     classes = sets.filter("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "row")).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = write_table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
@@ -193,8 +226,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # each other: a root holds two classes, and each set is in the root of its class and the next one
     size_class = F.floor(F.log(F.col("n")) / (math.log(1 / threshold) * 1.001)).cast("int")
     roots = F.array(*[F.xxhash64(child(F.lit(r), F.lit(2 * r + k)), size_class + c) for r in range(runs) for k in range(2) for c in range(2)])
-    members = write_table(classes.select("rep", "n", F.explode(roots).alias("node"), F.lit(None).cast("long").alias("parent")), "members")
-    nodes_of = lambda m: m.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.max("parent").alias("parent"), F.bit_xor(F.xxhash64("rep")).alias("a"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("b")).filter("size > 1")
+    members = write_table(classes.select("rep", "n", F.explode(roots).alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("used")), "members")
+    nodes_of = lambda m: m.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.max("parent").alias("parent"), F.max("used").alias("used"), F.bit_xor(F.xxhash64("rep")).alias("a"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("b")).filter("size > 1")
     levels, fresh, too_large = [], 2 * runs, (F.col("size") > leaf_sets) | (F.col("tokens") > leaf_tokens)
     # a node that keeps more than half of its parent is a dense cluster, which more splits would copy and not thin out
     thins = F.col("parent").isNull() | (2 * F.col("size") <= F.col("parent"))
@@ -204,19 +237,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         levels.append((members, nodes.join(large.select("node"), "node", "left_anti") if depth + 1 < max_depth else nodes))
         if depth + 1 == max_depth or large.isEmpty():
             break
-        inside = join_groups(members, write_table(large.select("node", "size"), "large"), ["node"], "size", F.xxhash64("rep"), how="inner")
-        span = COORDINATES - fresh
-        one = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(span))
-        two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(depth), F.lit("two")), F.lit(span - 1)), F.lit(span))
-        below = inside.join(classes.select("rep", "sig"), "rep").select("rep", "n", F.col("size").alias("parent"), F.explode(F.array(child(F.col("node"), (fresh + one).cast("int")), child(F.col("node"), (fresh + two).cast("int")))).alias("node"))
-        members = write_table(below.select("rep", "n", "node", "parent").distinct(), "members")
+        # each node draws two of the coordinates that no node above it has drawn
+        unused = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - fresh - 1)), lambda c: F.call_function("shiftrightunsigned", F.col("used"), c).bitwiseAND(F.lit(1).cast("long")) == 0)
+        drawn = F.array_sort(F.transform(unused, lambda c: F.struct(F.xxhash64("node", c).alias("hash"), c.alias("at"))))
+        large = large.select("node", "size", "used", F.transform(F.slice(drawn, 1, 2), lambda d: d["at"]).alias("drawn"))
+        large = large.withColumn("spent", F.aggregate("drawn", F.col("used"), lambda u, c: u.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c)))).drop("used")
+        met = join_groups(members.drop("used"), write_table(large, "large"), ["node"], "size", F.xxhash64("rep"), how="inner")
+        below = met.join(classes.select("rep", "sig"), "rep").select("rep", "n", F.col("size").alias("parent"), F.col("spent").alias("used"), F.explode(F.transform("drawn", lambda c: child(F.col("node"), (c + fresh).cast("int")))).alias("node"))
+        members = write_table(below.select("rep", "n", "node", "parent", "used").distinct(), "members")
 
     leaves = None
     for _, nodes in levels:
         leaves = nodes if leaves is None else leaves.unionByName(nodes)
     # nodes with the same members are one leaf
     leaves = leaves.groupBy("size", "tokens", "a", "b").agg(F.min("node").alias("node"))
-    parts = F.greatest(F.ceil(F.col("size") * 2 / leaf_sets), F.ceil(F.col("tokens") * 2 / leaf_tokens))
+    parts = F.greatest(F.ceil(F.col("size") * 2 / min(block_sets, 4 * leaf_sets)), F.ceil(F.col("tokens") / leaf_tokens))
     leaves = write_table(leaves.select("node", "size", F.when(too_large & (F.col("size") > 2), parts).otherwise(F.lit(1)).cast("int").alias("parts")), "leaves")
     held = None
     for m, _ in levels:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import join_groups, without, write_table
+from parchment.llm.common import column, inside, join_groups, packed, write_table
 
 #: What is cut from both ends of a line before it is compared; a line of these only is blank.
 BLANKS = " \t\r"
+_RANGES = "array<struct<first:int,last:int>>"
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
@@ -19,52 +20,50 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays, and every other one is covered from its first line to its last, blank lines between included. Covered
     lines go; overlapping covers merge. removed has the covered ranges of line numbers, from 0, first and last.
     A text without three such lines has no window. Null texts stay null. Rows that repeat both id and text count as
-    one document and stay alike. Columns of docs with the new names are replaced.
+    one document and stay alike. Columns of docs with the new names are replaced; other names are free.
 
     Windows travel as two 64-bit hashes; texts are shuffled once, to meet the cuts of their document. A window
-    that very many documents share is found by counting, then broadcast: see join_groups.
+    that very many documents share is found by counting, then broadcast: see join_groups. Time and memory of a document
+    are in proportion to its lines.
     """
     line_hashes = F.filter(
         F.transform(
-            F.split(F.col(text_col), "\n", -1),
+            F.split(column(text_col), "\n", -1),
             lambda x, i: F.struct(i.alias("at"), (F.btrim(x, F.lit(BLANKS)) != "").alias("filled"), F.xxhash64(F.btrim(x, F.lit(BLANKS))).alias("a"), F.xxhash64(F.lit("b"), F.btrim(x, F.lit(BLANKS))).alias("b")),
         ),
         lambda x: x["filled"],
     )
-    lines = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), line_hashes.alias("__lines")).filter(F.size("__lines") >= window)
-    at = lambda i, name: F.element_at("__lines", i)[name]
+    lines = docs.select(column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("text"), line_hashes.alias("lines")).filter(F.size("lines") >= window)
+    at = lambda i, name: F.element_at("lines", i)[name]
     windows = lines.select(
-        "__id",
-        "__text",
+        "id",
+        "text",
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.size("__lines") - window + 1),
+                F.sequence(F.lit(1), F.size("lines") - window + 1),
                 lambda i: F.struct(
                     at(i, "at").alias("first"), at(i + window - 1, "at").alias("last"), F.xxhash64(*[at(i + k, "a") for k in range(window)]).alias("a"), F.xxhash64(*[at(i + k, "b") for k in range(window)]).alias("b")
                 ),
             )
         ).alias("w"),
-    ).select("__id", "__text", "w.*")
+    ).select("id", "text", "w.*")
     windows = write_table(windows, "windows")
 
-    where = F.struct("__id", "__text", "first")
-    repeated = windows.groupBy("a", "b").agg(F.count("*").alias("__n"), F.min(where).alias("__keep")).filter("__n > 1")
+    where = F.struct("id", "text", "first")
+    repeated = windows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(where).alias("keep")).filter("n > 1")
     repeated = write_table(repeated, "repeated-windows")
-    cuts = join_groups(windows, repeated, ["a", "b"], "__n", F.xxhash64(where), how="inner").filter(~F.col("__keep").eqNullSafe(where))
-    cuts = cuts.groupBy("__id", "__text").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__cuts"))
+    cuts = join_groups(windows, repeated, ["a", "b"], "n", F.xxhash64(where), how="inner").filter(~F.col("keep").eqNullSafe(where))
+    cuts = cuts.groupBy(F.col("id").alias("cut_id"), F.col("text").alias("cut_text")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cuts"))
 
-    keyed = docs.select(*without(docs, "n_lines", "n_removed", "removed"), F.xxhash64(text_col).alias("__text"))
-    met = keyed.join(cuts, keyed[id_col].eqNullSafe(cuts["__id"]) & (keyed["__text"] == cuts["__text"]), "left").drop(cuts["__text"])
-    merged = F.aggregate(
-        "__cuts",
-        F.lit(None).cast("array<struct<first:int,last:int>>"),
-        lambda done, c: F.when(done.isNull(), F.array(c))
-        .when(c["first"] <= F.element_at(done, -1)["last"] + 1, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], c["last"]).alias("last")))))
-        .otherwise(F.concat(done, F.array(c))),
-    )
-    met = met.withColumn("__all", F.split(F.col(text_col), "\n", -1)).withColumn("removed", F.coalesce(merged, F.array().cast("array<struct<first:int,last:int>>")))
+    keyed = docs.select(packed(docs, "n_lines", "n_removed", "removed"), column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("text"))
+    met = keyed.join(cuts, F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("text") == F.col("cut_text")), "left").select("row", F.coalesce("cuts", F.array().cast(_RANGES)).alias("cuts"))
+    # later cuts end no earlier than earlier ones, so a merged cover starts where a cut doesn't reach the one before it,
+    # and ends where one isn't reached by the next
+    starts = F.filter("cuts", lambda c, i: (i == 0) | (c["first"] > F.get("cuts", i - 1)["last"] + 1))
+    ends = F.filter("cuts", lambda c, i: (i == F.size("cuts") - 1) | (F.get("cuts", i + 1)["first"] > c["last"] + 1))
+    met = met.select("row", F.zip_with(starts, ends, lambda s, e: F.struct(s["first"].alias("first"), e["last"].alias("last"))).alias("removed"), F.split(inside(text_col), "\n", -1).alias("lines"))
     gone = F.flatten(F.transform("removed", lambda c: F.sequence(c["first"], c["last"])))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), gone)
-    text = F.when(F.size("removed") == 0, F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("__all", i + 1)), "\n"))
-    met = met.withColumns({"__new": text, "n_lines": F.coalesce(F.size("__all"), F.lit(0)).cast("long"), "n_removed": F.size(gone).cast("long")})
-    return met.select(*[F.col("__new").alias(c) if c == text_col else F.col(f"`{c}`") for c in keyed.columns if c != "__text"], "n_lines", "n_removed", "removed")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
+    text = F.when(F.size("removed") == 0, inside(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("lines", i + 1)), "\n"))
+    columns = [(text if c.lower() == text_col.lower() else inside(c)).alias(c) for c in met.schema["row"].dataType.names]
+    return met.select(*columns, F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), "removed")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import write_table
+from parchment.llm.common import column, write_table
 
 #: Permitted lengths, in tokens.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -53,16 +53,17 @@ def pack(docs: DataFrame, tokens: Column, id_col: str = "doc_id", lengths: tuple
     tokens is the number of tokens of a row; null or less than 1 makes no part. A text longer than the greatest
     length is cut into parts of that length and a rest; start is the first token of a part. Parts are dealt evenly
     by hash into pools of about pool_rows, which are packed apart from each other: memory is bounded, a pool wastes
-    a few bins at most, and no key can be hot, as the hash takes in the part. For each pool every permitted length
+    a few bins at most, and no key can be hot, as the hash takes in the part and the place of the row in the table of counts,
+    in which rows that repeat another have places of their own. For each pool every permitted length
     is tried as the least to open, and the plan of least total cost is kept. A bin is named "<pool>-<number>".
     Rows that repeat an id get bins of their own, part by part. No rows give no bins. Tokens are counted once: ids and
     counts are written to the shared folder.
     """
     lengths = tuple(sorted(lengths))
     top = lengths[-1]
-    rows = write_table(docs.select(F.col(id_col).alias("id"), tokens.cast("long").alias("tokens")).filter("tokens > 0"), "token-counts")
-    parts = rows.select("id", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tokens - 1) div {top}"))).alias("part"))
-    parts = parts.select("id", "part", (F.col("part") * top).alias("start"), F.least(F.lit(top), F.col("tokens") - F.col("part") * top).alias("n_tokens"))
+    rows = write_table(docs.select(column(id_col).alias("id"), tokens.cast("long").alias("tokens")).filter("tokens > 0"), "token-counts")
+    parts = rows.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tokens - 1) div {top}"))).alias("part"))
+    parts = parts.select("id", "row", "part", (F.col("part") * top).alias("start"), F.least(F.lit(top), F.col("tokens") - F.col("part") * top).alias("n_tokens"))
     n = rows.agg(F.sum(F.expr(f"(tokens - 1) div {top} + 1"))).first()[0] or 0
     pools = max(1, round(n / pool_rows))
 
@@ -74,7 +75,7 @@ def pack(docs: DataFrame, tokens: Column, id_col: str = "doc_id", lengths: tuple
             {"id": got["id"], "part": got["part"], "start": got["start"], "n_tokens": got["n_tokens"], "bin": [f"{p}-{b}" for p, b in zip(got["pool"], bins, strict=True)], "bin_length": chosen[bins], "bin_tokens": contents[bins], "bin_offset": offsets}
         )
 
-    id_type = dict(docs.dtypes)[id_col]
-    dealt = parts.withColumn("pool", F.pmod(F.xxhash64("id", "part", "n_tokens"), F.lit(pools)))
+    id_type = dict(rows.dtypes)["id"]
+    dealt = parts.withColumn("pool", F.pmod(F.xxhash64("id", "part", "row"), F.lit(pools))).drop("row")
     out = dealt.groupBy("pool").applyInPandas(packed, f"id {id_type}, part long, start long, n_tokens long, bin string, bin_length long, bin_tokens long, bin_offset long")
     return out.withColumnRenamed("id", id_col)

@@ -15,8 +15,8 @@ HARMS = ["low_quality", "toxic"]
 
 
 def held_out() -> Column:
-    """A fifth of the documents, by their id, is held out from training."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    """A fifth of the documents, by their id, is held out from training; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
 def words(text_col: str = "text") -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchment.llm.common import without
+from parchment.llm.common import column, join_groups, packed, unpacked, without, write_table
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -16,38 +16,71 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(k), key).alias("hash"), F.lit(k).alias("shard")) for k in range(shards)]))["shard"]
 
 
-def shuffle_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def fisher_yates(items: Column, n: Column, draw) -> Column:
+    """An array of n numbers in random order: from the last place to the second, each swaps with one of those up to it.
+
+    draw(i) is a number of 64 random bits for place i. The fold copies the array for each place, so it is for short ones.
+    """
+
+    places = F.when(n < 2, F.array().cast("array<int>")).otherwise(F.sequence(n, F.least(n, F.lit(2)), F.lit(-1)))
+    swaps = F.transform(places, lambda i: F.struct(i.alias("i"), (F.pmod(draw(i), i) + 1).cast("int").alias("j")))
+
+    def swap(done: Column, s: Column) -> Column:
+        return F.transform(done, lambda x, at: F.when(at + 1 == s["i"], F.element_at(done, s["j"])).when(at + 1 == s["j"], F.element_at(done, s["i"])).otherwise(x))
+
+    return F.aggregate(swaps, items, swap)
+
+
+def shuffle_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = 20, bucket_bytes: int = 16 << 20, bucket_rows: int = 256) -> DataFrame:
     """All columns of docs, and size, shard, bucket, slot and grown_shard; a row has its place in a random order of its shard.
 
-    First pass: the id alone decides the shard, and a seeded hash of id and text scatters the rows of a shard evenly
-    over buckets of about bucket_bytes. Second pass: each bucket is put in a fixed order and shuffled (shuffle()
-    makes a Fisher-Yates shuffle from the seed), and its rows take the slots after those of the buckets before it.
+    First pass: the id alone decides the shard, and a seeded hash of the row scatters the rows of a shard evenly
+    over buckets of about bucket_bytes, or bucket_rows rows if that is less. Second pass: each bucket is put in the order of another hash,
+    shuffled by Fisher and Yates with draws hashed from seed, shard, bucket and place, and its rows take the slots after those
+    of the buckets before it. So a row's slot depends on the seed and the table's rows, not on files, partitions or tries.
     size is the UTF-8 bytes of the text plus 1; grown_shard is the shard if there were one shard more.
 
-    A null text has size 1, null ids share a shard. Rows that repeat another go to the same bucket and are shuffled
-    with it. Ties in the hash go to the highest shard number. Shards may be empty, then they have no rows.
-    Columns of docs with the new names are replaced.
+    A null text has size 1, null ids share a shard. Ties in the hash go to the highest shard number. Shards may be empty, then
+    they have no rows. Rows equal in all columns are counted, and where there are more than a quarter of bucket_rows the
+    copies are numbered and scattered like other rows. Columns of docs with the new names are replaced; other names are free.
     """
+    rest = [c for c, name in zip(without(docs, id_col, text_col), [c for c in docs.columns if c.lower() not in (id_col.lower(), text_col.lower())], strict=True) if name.lower() not in ("size", "shard", "bucket", "slot", "grown_shard")]
+    whole = [column(id_col), column(text_col), *([F.to_json(F.struct(*rest))] if rest else [])]
     rows = docs.select(
-        *without(docs, "size", "shard", "bucket", "slot", "grown_shard"),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
-        shard_of(F.col(id_col), shards, seed).alias("shard"),
-        shard_of(F.col(id_col), shards + 1, seed).alias("grown_shard"),
+        packed(docs, "size", "shard", "bucket", "slot", "grown_shard"),
+        (F.coalesce(F.octet_length(column(text_col)), F.lit(0)) + 1).cast("long").alias("size"),
+        shard_of(column(id_col), shards, seed).alias("shard"),
+        shard_of(column(id_col), shards + 1, seed).alias("grown_shard"),
+        F.xxhash64(F.lit(seed + 1), *whole).alias("a"),
+        F.xxhash64(F.lit(seed + 2), *whole).alias("b"),
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), id_col, text_col), F.lit(buckets)).cast("int"))
-    columns = [c for c in rows.columns if c not in ("shard", "bucket")]
+    counted = write_table(rows.groupBy("a", "b").agg(F.first("shard").alias("shard"), F.count("*").alias("n"), F.sum("size").alias("bytes")), "row-hashes")
+    total = counted.agg(F.sum("bytes").cast("long").alias("bytes"), F.sum("n").cast("long").alias("n")).first()
+    buckets = max(1, -(-(total["bytes"] or 0) // (shards * bucket_bytes)), -(-(total["n"] or 0) // (shards * bucket_rows)))
+    often = F.col("n") > max(1, bucket_rows // 4)
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 3), "a", "b", "copy"), F.lit(buckets)).cast("int").alias("bucket")
 
+    cells = counted.select("shard", "a", "b", F.explode(F.when(often, F.sequence(F.lit(1).cast("long"), "n")).otherwise(F.array(F.lit(0).cast("long")))).alias("copy"), F.when(often, 1).otherwise(F.col("n")).alias("n"))
     places = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("shard", "bucket").agg(F.count("*").alias("__n"))
-    offsets = offsets.select("shard", "bucket", F.coalesce(F.sum("__n").over(places), F.lit(0)).alias("__offset"))
+    offsets = cells.select("shard", bucket, "n").groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
+    offsets = offsets.select("shard", "bucket", F.coalesce(F.sum("n").over(places), F.lit(0)).alias("offset"))
+
+    scattered = rows.withColumn("copy", F.lit(0).cast("long"))
+    repeated = counted.filter(often).select("a", "b", "n")
+    if not repeated.isEmpty():
+        met = join_groups(rows.withColumn("at", F.monotonically_increasing_id()), write_table(repeated, "repeated-rows"), ["a", "b"], "n", F.col("at")).drop("at")
+        one = met.filter(F.col("n").isNotNull()).groupBy("a", "b").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("row", "size", "shard", "grown_shard")])
+        one = one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+        scattered = met.filter(F.col("n").isNull()).withColumn("copy", F.lit(0).cast("long")).select(*scattered.columns).unionByName(one.select(*scattered.columns))
 
-    full = rows.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), id_col, text_col).alias("__order"), F.struct(*[f"`{c}`" for c in columns]).alias("__row")))).alias("__rows"))
+    entry = F.struct(F.xxhash64(F.lit(seed + 4), "a", "b", "copy").alias("order"), "row", "size", "grown_shard")
+    full = scattered.select("shard", bucket, entry.alias("entry")).groupBy("shard", "bucket").agg(F.collect_list("entry").alias("entries"))
     full = full.join(offsets, ["shard", "bucket"]).sortWithinPartitions("shard", "bucket")
-    full = full.withColumn("__rows", F.shuffle("__rows", seed))
-    out = full.select("shard", "bucket", "__offset", F.posexplode("__rows").alias("__at", "__entry"))
-    return out.select(*[F.col(f"__entry.__row.`{c}`").alias(c) for c in columns], "shard", "bucket", (F.col("__offset") + F.col("__at")).cast("long").alias("slot"))
+    in_order = F.transform(F.array_sort(F.transform("entries", lambda e, i: F.struct(e["order"].alias("order"), (i + 1).alias("at")))), lambda e: e["at"])
+    places = fisher_yates(in_order, F.size("entries"), lambda i: F.xxhash64(F.lit(seed), "shard", "bucket", i))
+    out = full.select("shard", "bucket", "offset", F.posexplode(F.transform(places, lambda p: F.element_at("entries", p))).alias("at", "entry"))
+    out = out.select(F.col("entry.row").alias("row"), "entry.size", "shard", "bucket", (F.col("offset") + F.col("at")).cast("long").alias("slot"), "entry.grown_shard")
+    return out.select(*unpacked(out), "size", "grown_shard", "shard", "bucket", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import without
+from parchment.llm.common import column, packed, unpacked
 from parchment.llm.linear import Features, Ftrl, margins, sigmoid
 from parchment.llm.quality import labelled_sample
 
@@ -48,10 +48,9 @@ class ToxicityChain:
                 yield pd.DataFrame(chain.probabilities(texts.tolist()), columns=[f"p_{c}" for c in chain.categories])
 
         new = [n for c in self.categories for n in (f"p_{c}", c)]
-        got = docs.select(*without(docs, *new), scored(F.coalesce(F.col(text_col), F.lit(""))).alias("__p"))
-        for c in self.categories:
-            got = got.withColumns({f"p_{c}": F.col(f"__p.p_{c}"), c: F.col(f"__p.p_{c}") >= self.thresholds[c]})
-        return got.drop("__p")
+        got = docs.select(packed(docs, *new), scored(F.coalesce(column(text_col), F.lit(""))).alias("p"))
+        found = [x for c in self.categories for x in (F.col(f"p.p_{c}"), (F.col(f"p.p_{c}") >= self.thresholds[c]).alias(c))]
+        return got.select(*unpacked(got), *found)
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -61,15 +60,16 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(grid[len(grid) - 1 - int(np.argmax(f1[::-1]))]) if y.any() else 0.5
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = 8000, folds: int = 4, alpha: float = 5.0, l1: float = 0.5) -> ToxicityChain:
+def train_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = 8000, max_train_bytes: int = 256 << 20, folds: int = 4, alpha: float = 5.0, l1: float = 0.5) -> ToxicityChain:
     """Fit the chain on a bounded sample of the labels that usable lets through; the categories are columns of labels.
 
     For each category the models without one fold and the one on all rows are fitted in tasks of their own, each of
-    which holds the sample (max_train_rows bounds it). Without any label all probabilities are 0.5.
+    which holds the sample (max_train_rows and max_train_bytes bound it: see labelled_sample). Without any label all probabilities are 0.5.
     """
-    sample = labelled_sample(docs, labels, categories, id_col, text_col, max_train_rows, usable)
+    sample = labelled_sample(docs, labels, categories, id_col, text_col, max_train_rows, max_train_bytes, usable)
     copies = sample.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds))))
     features, dim, weights, thresholds, seen = FEATURES, 1 << FEATURES.bits, [], {}, {}
+
     def fitter(k: int, category: str, seen: dict[int, tuple[float, ...]]):
         def fit(got: pd.DataFrame) -> pd.DataFrame:
             got, fold = got.sort_values("key", kind="stable").reset_index(drop=True), int(got["fold"].iloc[0])

@@ -7,7 +7,9 @@ storage; the pieces of an archive in order of chunk are the bytes of a .warc.gz
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -16,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import join_groups, write_table
+from parchment.llm.common import column, join_groups, write_table
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PIECE = 1 << 16
@@ -26,6 +28,17 @@ def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _hex(named: str | None) -> str | None:
+    """A SHA-1 digest as a record names it, in base 32 or hexadecimal, as lower-case hexadecimal; null for any other."""
+    kind, _, value = (named or "").strip().partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        return value.lower() if re.fullmatch("[0-9a-fA-F]{40}", value) else base64.b32decode(value, casefold=True).hex()
+    except binascii.Error:
+        return None
+
+
 def _urn(page: object) -> str:
     return f"<urn:page:{'' if page is None else page}>"
 
@@ -83,7 +96,9 @@ class _Stream:
         return b""
 
     def until(self, mark: bytes) -> bytes:
-        while (at := self.ready.find(mark)) < 0:
+        seen = 0
+        while (at := self.ready.find(mark, seen)) < 0:
+            seen = max(0, len(self.ready) - len(mark) + 1)
             if not (piece := self.more()):
                 raise ValueError("a record ends inside its head")
             self.ready += piece
@@ -100,25 +115,32 @@ class _Stream:
 
 
 def read_records(chunks: Iterable[bytes], keep_payload: bool = True) -> Iterator[dict]:
-    """Each record of an archive given in pieces of any size: headers, payload, payload_bytes, payload_digest, verified.
-
-    Only one record is in memory, and without keep_payload only a piece of it. The payload is what follows the
-    HTTP head of a block. verified: the block, and for records with a payload that too, has the digest that the
-    record names. For a revisit payload_bytes and payload_digest are those that it names. A stream that is cut off,
-    or framed otherwise than by Content-Length and two line ends, raises ValueError; an empty one has no records.
+    """Each record of an archive given in pieces of any size: type, id, refers_to, uri, headers, payload, payload_bytes, payload_digest, verified.
+
+    Only one record is in memory, and without keep_payload only a piece of it. Names of headers count whatever their
+    case; headers has them as they are written. A line that begins with a blank goes on with the header before it. The payload of an HTTP message is
+    what follows its head, of any other record its whole block. For a revisit payload_bytes and payload_digest are
+    those that it names, 0 and null if it names none. verified: the digests of block and payload that the record names are right; null if it names none that is a
+    SHA-1. A stream that is cut off, or framed otherwise than by Content-Length and two line ends, raises ValueError; an
+    empty one has no records.
     """
     stream = _Stream(chunks)
     while stream.next_member():
-        lines = stream.until(b"\r\n\r\n").decode().split("\r\n")
+        lines = re.sub(r"\r\n[ \t]+", " ", stream.until(b"\r\n\r\n").decode("utf-8", "replace")).split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
-        head = dict(line.split(": ", 1) for line in lines[1:])
-        block, payload, length, kept, http = hashlib.sha1(), hashlib.sha1(), 0, [], b""
-        for piece in stream.take(int(head["Content-Length"])):
+        named_as = {name.strip(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
+        head = {name.lower(): value for name, value in named_as.items()}
+        if not head.get("content-length", "").isdigit():
+            raise ValueError("a record has no Content-Length")
+        kind, http = head.get("warc-type", ""), b"" if head.get("content-type", "").lower().startswith("application/http") else None
+        block, payload, length, kept, seen = hashlib.sha1(), hashlib.sha1(), 0, [], 0
+        for piece in stream.take(int(head["content-length"])):
             block.update(piece)
             if http is not None:
                 http += piece
-                if (at := http.find(b"\r\n\r\n")) < 0:
+                if (at := http.find(b"\r\n\r\n", seen)) < 0:
+                    seen = max(0, len(http) - 3)
                     continue
                 piece, http = http[at + 4 :], None
             payload.update(piece)
@@ -130,39 +152,45 @@ def read_records(chunks: Iterable[bytes], keep_payload: bool = True) -> Iterator
             rest += piece
         if rest != b"\r\n\r\n":
             raise ValueError("a record isn't framed by its Content-Length")
-        named, coded = head.get("WARC-Payload-Digest", ""), lambda h: "sha1:" + base64.b32encode(h.digest()).decode()
-        revisit = head["WARC-Type"] == "revisit"
+        revisit, named = kind == "revisit", _hex(head.get("warc-payload-digest"))
+        checks = [(_hex(head.get("warc-block-digest")), block), *([] if revisit else [(named, payload)])]
+        checks = [want == h.hexdigest() for want, h in checks if want is not None]
+        full = head.get("x-payload-length", "")
         yield {
-            "headers": head, "payload": b"".join(kept) if keep_payload and not revisit else None, "payload_bytes": int(head["X-Payload-Length"]) if revisit and "X-Payload-Length" in head else length,
-            "payload_digest": base64.b32decode(named.removeprefix("sha1:")).hex() if revisit else payload.hexdigest(), "verified": coded(block) == head.get("WARC-Block-Digest") and (revisit or coded(payload) == named),
+            "type": kind, "id": head.get("warc-record-id"), "refers_to": head.get("warc-refers-to"), "uri": head.get("warc-target-uri"), "headers": named_as, "payload": b"".join(kept) if keep_payload and not revisit else None, "payload_bytes": (int(full) if full.isdigit() else 0) if revisit else length,
+            "payload_digest": named if revisit else payload.hexdigest(), "verified": all(checks) if checks else None,
         }
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, chunk_bytes: int = 1 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, chunk_bytes: int = 1 << 20, archive_bytes: int = 256 << 20) -> DataFrame:
     """Archives of one record for each row of pages, as pieces: archive long, chunk int, data binary.
 
     The payload is the HTML in UTF-8, null as empty. Of rows with equal payloads of at least least_bytes, the one
     with the largest id is a response (so are rows that repeat that id), the others revisit it. Payloads are compared by SHA-1
-    and length. Each task writes an archive of its own. Very many equal payloads are not dealt by their digest: see
-    join_groups. An empty table makes no pieces.
+    and length. Each task writes archives of its own, and begins a new one once one has archive_bytes. Very many equal payloads are not dealt by their digest: see
+    join_groups. Null URLs are empty, null ids make records without one. An empty table makes no pieces.
     """
-    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
-    rows = pages.select(F.col(id_col).cast("string").alias("page"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    payload = F.encode(F.coalesce(column(html_col), F.lit("")), "utf-8")
+    rows = pages.select(column(id_col).cast("string").alias("page"), column(id_col).alias("id"), column(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload")})
-    equal = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("id").alias("original"), F.count("*").alias("__n")).filter("__n > 1")
+    equal = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("id").alias("original"), F.count("*").alias("n")).filter("n > 1")
     equal = write_table(equal, "equal-payloads")
-    rows = join_groups(rows, equal, ["digest", "bytes"], "__n", F.xxhash64("page", "url"))
+    rows = join_groups(rows, equal, ["digest", "bytes"], "n", F.xxhash64("page", "url"))
     rows = rows.select("page", "url", "payload", F.when(F.col("original") != F.col("id"), F.col("original")).cast("string").alias("original"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        archive, chunk, held = TaskContext.get().partitionId(), 0, bytearray()
+        archive, chunk, held, written = TaskContext.get().partitionId() << 32, 0, bytearray(), 0
         for batch in batches:
             for page, url, payload, original in batch.itertuples(index=False):
                 held += record(page, url, bytes(payload), original)
                 while len(held) >= chunk_bytes:
                     yield pd.DataFrame({"archive": [archive], "chunk": [chunk], "data": [bytes(held[:chunk_bytes])]})
                     del held[:chunk_bytes]
-                    chunk += 1
+                    chunk, written = chunk + 1, written + chunk_bytes
+                if written + len(held) >= archive_bytes:
+                    yield pd.DataFrame({"archive": [archive], "chunk": [chunk], "data": [bytes(held)]})
+                    held.clear()
+                    archive, chunk, written = archive + 1, 0, 0
         if held:
             yield pd.DataFrame({"archive": [archive], "chunk": [chunk], "data": [bytes(held)]})
 
@@ -172,7 +200,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 def read_archives(pieces: DataFrame, keep_payload: bool = True) -> DataFrame:
     """The records of archives in pieces: page, record_type, refers_to, url, payload, payload_bytes, payload_digest, verified.
 
-    An archive is read by one task from its first piece to its last, without being held as a whole.
+    An archive is read by one task from its first piece to its last, without being held as a whole. Pieces may come in any
+    order; rows with a null archive or chunk are left out, and a piece of the same archive and chunk as another breaks it. page and refers_to are the ids of
+    records that write_archives made, and the whole record ids of others.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,8 +219,7 @@ def read_archives(pieces: DataFrame, keep_payload: bool = True) -> DataFrame:
         while following is not None:
             out, size = [], 0
             for r in read_records(chunks(), keep_payload):
-                h = r["headers"]
-                out.append((_page(h["WARC-Record-ID"]), h["WARC-Type"], _page(h.get("WARC-Refers-To")), h.get("WARC-Target-URI"), r["payload"], r["payload_bytes"], r["payload_digest"], r["verified"]))
+                out.append((_page(r["id"]), r["type"], _page(r["refers_to"]), r["uri"], r["payload"], r["payload_bytes"], r["payload_digest"], r["verified"]))
                 size += len(r["payload"] or b"") + 200
                 if size > 4 << 20:
                     yield pd.DataFrame(out, columns=names)
@@ -198,5 +227,5 @@ def read_archives(pieces: DataFrame, keep_payload: bool = True) -> DataFrame:
             yield pd.DataFrame(out, columns=names)
 
     names = ["page", "record_type", "refers_to", "url", "payload", "payload_bytes", "payload_digest", "verified"]
-    dealt = pieces.select("archive", "chunk", "data").repartition("archive").sortWithinPartitions("archive", "chunk")
+    dealt = pieces.select("archive", "chunk", "data").dropna(subset=["archive", "chunk"]).repartition("archive").sortWithinPartitions("archive", "chunk")
     return dealt.mapInPandas(read, "page string, record_type string, refers_to string, url string, payload binary, payload_bytes long, payload_digest string, verified boolean")
