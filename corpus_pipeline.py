@@ -2,46 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.llm import decontaminate, jaccard, line_dedup, packing, toxicity
-from parchment.llm.common import table, without, write_table
+from parchment.llm.common import inside, packed, table, unpacked, without, write_table
 from parchment.llm.queries import HARMS, harms, held_out, words
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all columns but the text in one struct, so that no name of an operator's columns touches them."""
+    return docs.select("doc_id", "text", F.struct(*without(docs, "text")).alias("row"))
+
+
+def together(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs, in their order, of what an operator made of apart(docs); new ones take the place of theirs."""
+    return found.select(*[new.get(c.lower(), F.col("text") if c.lower() == "text" else inside(c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain, trained on the labelled ones of the given tables, finds toxic go."""
+    """Documents that the chain, trained on the labelled ones of the given tables, finds toxic go. Null texts count as empty."""
     raw = table(spark, sf_dir, "documents")
     chain = toxicity.train_toxicity(raw, harms(table(spark, sf_dir, "labels")), HARMS, usable=~held_out())
-    return chain.score(docs).filter(~F.col("toxic")).select(*docs.columns)
+    return together(chain.score(apart(docs)).filter(~F.col("toxic")), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go, the documents stay; n_chars follows the text."""
-    return line_dedup.line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Repeated passages go, the documents stay, also those that are then empty; n_chars follows the text."""
+    return together(line_dedup.line_dedup(apart(docs)), docs, n_chars=F.char_length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: one of least id."""
-    found = jaccard.jaccard_join(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.bool_or("kept").alias("__one"), F.bool_and("kept").alias("__all"))
-    found = write_table(found.filter(~F.col("__all")).drop("__all"), "near-duplicates")
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["__text"] == found["__hash"])
-    rest = keyed.join(found, same, "left_anti").select(*docs.columns)
-    if found.filter("__one").isEmpty():
-        return rest
-    # rows that repeat both id and text, of which one stays
-    one = keyed.join(found.filter("__one"), same, "left_semi").groupBy("doc_id", "__text").agg(F.first(F.struct(*docs.columns)).alias("__row"))
-    return rest.unionByName(one.select("__row.*"))
+    """One row of each class stays: the one that jaccard_join keeps. Documents without words are no class and stay."""
+    found = jaccard.jaccard_join(docs.select("doc_id", "text"))
+    found = found.groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_text")).agg(F.bool_or("kept").alias("one"), F.bool_and("kept").alias("all"))
+    found = write_table(found.filter(~F.col("all")).drop("all"), "near-duplicates")
+    keyed = docs.select(packed(docs), "doc_id", F.xxhash64("text").alias("text"))
+    same = keyed["doc_id"].eqNullSafe(found["found_id"]) & (keyed["text"] == found["found_text"])
+    rest = keyed.join(found, same, "left_anti")
+    if not found.filter("one").isEmpty():
+        # rows that repeat both id and text, of which one stays
+        one = keyed.join(found.filter("one"), same, "left_semi").groupBy("doc_id", "text").agg(F.first("row").alias("row"))
+        rest = rest.unionByName(one)
+    return rest.select(*unpacked(rest))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~F.col("contaminated")).select(*without(docs))
+    """Documents of whose words a twentieth or more lies in windows of the benchmark go. Texts without words stay."""
+    found = decontaminate.find_contamination(apart(docs), table(spark, sf_dir, "benchmark"))
+    return together(found.filter(~F.col("contaminated")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's words go; a text, also an empty or null one, has one token more to end it. Repeated rows are packed each."""
     return packing.pack(docs.select("doc_id", "text"), words())
 
 
@@ -58,6 +71,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents: an empty table gives none, and columns besides those of documents pass through."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
