@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.common import column, inside, packed, unpacked, write_table
+from parchment.sources.scratch import scratch_path
 
 #: Bytes that make words, after lower-casing A-Z: digits, letters, and all of other characters; the rest part words.
 _TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -154,15 +155,15 @@ def segments(benchmark: DataFrame, item_col: str, text_col: str, width: int, mos
 
 
 def deal(cut: DataFrame, block_bytes: int) -> tuple[Column, int]:
-    """Which block a segment is in, and how many blocks there are: as many as it takes for none to be over block_bytes.
+    """Which block a segment is in, and how many blocks there are: as many as it takes for none to be over twice block_bytes.
 
-    Segments are different, so their hashes part them; a single segment may be larger than a block.
+    Segments are different, so their hashes part them. Where single ones are larger than a block, four such may be one.
     """
     total, largest = cut.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
     blocks = max(1, -(-total // block_bytes))
     while True:
         block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int")
-        if blocks == 1 or (cut.groupBy(block.alias("block")).agg(F.sum("bytes").alias("n")).agg(F.max("n")).first()[0] <= max(block_bytes, largest)):
+        if blocks == 1 or (cut.groupBy(block.alias("block")).agg(F.sum("bytes").alias("n")).agg(F.max("n")).first()[0] <= max(2 * block_bytes, 4 * largest)):
             return block, blocks
         blocks *= 2
 
@@ -177,7 +178,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "i
     make up a twentieth of all or more. Null and empty texts have no words, and items without words no windows.
     A null item id is the item "None". Columns of docs with the new names are replaced; other names are free.
 
-    The benchmark's words are broadcast in blocks of at most block_bytes, checked; the automaton takes some 40 bytes for each. With one
+    The benchmark's words are broadcast in blocks of about block_bytes, of which deal() checks the size; the automaton takes some 40 bytes for each. With one
     block, as of any usual benchmark, nothing is shuffled. With more, docs are written with a number for each row, each block is
     scanned for and its hits written before the next is read, and hits meet their rows by the number.
     """
@@ -194,10 +195,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "i
         met = rows.withColumn("hit", scan(0))
     else:
         rows = write_table(rows.withColumn("at", F.monotonically_increasing_id()), "texts")
-        hits = None
+        path = scratch_path(docs.sparkSession, "hits")
         for k in range(blocks):
-            found = write_table(rows.select("at", scan(k).alias("hit")).filter(F.size("hit.items") > 0), "hits")
-            hits = found if hits is None else hits.unionByName(found)
+            found = rows.select("at", scan(k).alias("hit")).filter(F.size("hit.items") > 0)
+            found.write.mode("append").parquet(path)
+        hits = docs.sparkSession.read.schema(found.schema).parquet(path)
         met = rows.join(hits.groupBy("at").agg(F.collect_list("hit").alias("hits")), "at", "left")
         met = met.withColumn("hit", _put_together()(text, F.col("hits")))
     n_hit = F.aggregate("hit.words", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
