@@ -69,7 +69,7 @@ def retry_after_ms(header: Column, now: Column) -> Column:
     seconds = header.try_cast("double")
     date = F.try_to_timestamp(F.regexp_replace(header, r"^\w{3}, (.*) GMT$", "$1"), F.lit("dd MMM yyyy HH:mm:ss"))
     ms = F.when(seconds >= 0, seconds * 1000).otherwise((F.unix_millis(date) - F.unix_millis(now)).cast("double"))
-    return F.least(F.lit(float(LONGEST_WAIT_MS)), F.greatest(F.lit(0.0), ms.cast("double"))) + ms * 0
+    return F.when(ms.isNotNull(), F.least(F.lit(float(LONGEST_WAIT_MS)), F.greatest(F.lit(0.0), ms)))
 
 
 def backoff_ms(attempt: Column, retry_after: Column, jitter: Column | float = 0) -> Column:

@@ -120,11 +120,6 @@ def document_id(at: Column, hex6: Column) -> Column:
     return F.concat(F.date_format(at, "yyyyMMdd'T'HHmmss"), F.lit("-"), F.left(F.rpad(hex6, 6, "0"), F.lit(6)))
 
 
-def numbered_name(name: Column, rank: Column) -> Column:
-    """The first of equal names stays as it is, the next get #1, #2 and so on; rank counts from 1."""
-    return F.when(rank == 1, name).otherwise(F.concat(name, F.lit("#"), rank - 1))
-
-
 def hit_ratio(text: Column, pattern: str) -> Column:
     """Which share of the text's code points lies in matches of the pattern, each match counting once; 0 for none."""
     n = F.regexp_count(text, F.lit(pattern))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from unicodedata import normalize
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,8 +72,31 @@ def key_optional(url: Column) -> Column:
 
 
 def merged_settings(base: Column, extra: Column) -> Column:
-    """One level of settings (maps) over another: what both have is taken from extra."""
-    return F.map_zip_with(base, extra, lambda _, a, b: F.coalesce(b, a))
+    """One level of settings (maps) over another: what extra has counts, also where it is null."""
+    return F.map_zip_with(base, extra, lambda k, a, b: F.when(F.map_contains_key(extra, k), b).otherwise(a))
+
+
+def merged_json(base: Column, extra: Column) -> Column:
+    """Settings as JSON objects, merged level by level: objects merge, all else of extra (null and lists too) replaces what base has.
+
+    A text that is no object counts as {} in base, and changes nothing in extra.
+    """
+
+    def merged(a: dict, b: dict) -> dict:
+        return a | {k: merged(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
+
+    def read(text: str | None) -> dict:
+        try:
+            return got if isinstance(got := json.loads(text or ""), dict) else {}
+        except ValueError:
+            return {}
+
+    @F.arrow_udf("string")
+    def over(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield pa.array([json.dumps(merged(read(x), read(y)), ensure_ascii=False) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.string())
+
+    return over(base, extra)
 
 
 def request_body(kind: Column, model: Column, system: Column, user: Column) -> Column:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.operators.machines import fold
+
 #: Tokens and paragraphs that a batch may pass before it is closed: for term extraction and for translation.
 TERMS, TRANSLATE = (600, 12), (200, 5)
 #: Labels of running text.
@@ -25,25 +31,30 @@ def pack(items: Column, max_tokens: int, max_items: int) -> Column:
     """Batches of items (ord, tokens), which are in order: array of tokens and ords.
 
     An item is added to the open batch, which is closed when it then has more than max_tokens or max_items. So a
-    batch has up to max_items + 1 items. Zero items make no batch. The fold runs inside the row.
+    batch has up to max_items + 1 items. Zero items make no batch, null items null. Batches are found in the running sums of tokens, a jump for
+    each batch, so time is in proportion to the items.
     """
-    batch = "struct<tokens:bigint,ords:array<int>>"
-    start = F.struct(F.array().cast(f"array<{batch}>").alias("done"), F.lit(0).cast("long").alias("tokens"), F.array().cast("array<int>").alias("ords"))
-
-    def add(state: Column, item: Column) -> Column:
-        tokens, ords = state["tokens"] + item["tokens"], F.concat(state["ords"], F.array(item["ord"]))
-        full = (tokens > max_tokens) | (F.size(ords) > max_items)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(F.struct(tokens.alias("tokens"), ords.alias("ords"))))).otherwise(state["done"]).alias("done"),
-            F.when(full, F.lit(0).cast("long")).otherwise(tokens).alias("tokens"),
-            F.when(full, F.array().cast("array<int>")).otherwise(ords).alias("ords"),
-        )
-
-    def close(state: Column) -> Column:
-        rest = F.array(F.struct(state["tokens"].alias("tokens"), state["ords"].alias("ords")))
-        return F.when(F.size(state["ords"]) > 0, F.concat(state["done"], rest)).otherwise(state["done"])
-
-    return F.aggregate(items, start, add, close)
+    kind = pa.list_(pa.struct([("tokens", pa.int64()), ("ords", pa.list_(pa.int32()))]))
+
+    @F.arrow_udf("array<struct<tokens:bigint,ords:array<int>>>")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            out = []
+            for row in rows:
+                if not row.is_valid:
+                    out.append(None)
+                    continue
+                ords, sums = row.values.field("ord").to_pylist(), np.concatenate(([0], np.cumsum(row.values.field("tokens").to_numpy(zero_copy_only=False))))
+                at, made = 0, []
+                while at < len(ords):
+                    over = int(np.searchsorted(sums, sums[at] + max_tokens, side="right"))
+                    end = min(over, at + max_items + 1, len(ords))
+                    made.append({"tokens": int(sums[end] - sums[at]), "ords": ords[at:end]})
+                    at = end
+                out.append(made)
+            yield pa.array(out, kind)
+
+    return packed(F.transform(items, lambda x: F.struct(x["ord"].cast("int").alias("ord"), x["tokens"].cast("long").alias("tokens"))))
 
 
 def pack_lines(docs: DataFrame, max_tokens: int, max_items: int, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,25 +111,40 @@ def cross_column_pairs(rows: DataFrame, by: list[str], order: str, top: str, jum
     return looked.filter(F.col("__jump") & F.col("__odd")).select(*by, order, F.col("__next").alias("pair"))
 
 
-def style_runs(chars: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Runs of consecutive characters of one style (font, size and graphics state), which formulas break.
+def style_runs(chars: DataFrame, by: list[str], order: str, slack: float = 0.02) -> DataFrame:
+    """Runs of consecutive characters of one style (kind, font, size and graphics state), which formulas break.
 
-    The size is compared with the run's first character by steps of 0.02, so equal steps make equal runs.
+    A character goes on with a run if its size differs by less than slack from that of the run's first one. Characters are read in
+    order, with a state of that one's style.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    style = F.struct("font", F.round(F.col("size") / 0.02).alias("size"), "gstate", F.col("kind"))
-    marked = chars.withColumn("__style", style).withColumn("__new", F.coalesce(~F.lag("__style").over(w).eqNullSafe(F.col("__style")), F.lit(True)).cast("int"))
-    runs = marked.withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min_by("font", order).alias("font"), F.min_by("size", order).alias("size"), F.count("*").alias("n"))
+
+    def step(s: dict, c: tuple) -> tuple:
+        style = (c.kind, c.font, c.gstate)
+        if style != s["style"] or c.size is None or s["size"] is None or abs(c.size - s["size"]) >= slack:
+            s.update(style=style, size=c.size, run=s["run"] + 1)
+        return (s["run"],)
+
+    rows = chars.select(*by, order, "kind", "font", "size", "gstate")
+    numbered = fold(rows, by, [order, "kind", "font", "size", "gstate"], lambda: {"style": None, "size": None, "run": 0}, step, "run long")
+    return numbered.groupBy(*by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min_by("font", order).alias("font"), F.min_by("size", order).alias("size"), F.count("*").alias("n"))
 
 
 def wrap_lines(words: Column, width: int) -> Column:
     """Greedy line layout: words (text) one after another, a line closed when the next does not fit; array of lines."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
-
-    def add(s: Column, w: Column) -> Column:
-        fits = (s["line"] == "") | (F.length(s["line"]) + 1 + F.length(w) <= width)
-        joined = F.when(s["line"] == "", w).otherwise(F.concat(s["line"], F.lit(" "), w))
-        return F.struct(F.when(fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["line"]))).alias("done"), F.when(fits, joined).otherwise(w).alias("line"))
 
-    return F.aggregate(words, start, add, lambda s: F.when(s["line"] != "", F.concat(s["done"], F.array(s["line"]))).otherwise(s["done"]))
+    @F.arrow_udf("array<string>")
+    def wrapped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            out = []
+            for row in rows.to_pylist():
+                lines, line, size = [], [], -1
+                for word in row or []:
+                    if line and size + 1 + len(word) > width:
+                        lines.append(" ".join(line))
+                        line, size = [], -1
+                    line.append(word)
+                    size += 1 + len(word)
+                out.append(None if row is None else [*lines, " ".join(line)] if line else lines)
+            yield pa.array(out, pa.list_(pa.string()))
+
+    return wrapped(words)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions.predicates import in_bucket, is_cancellable, matches_query, status_bucket
 from parchment.functions.text import suggested_names
+from parchment.operators.machines import fold
 
 
 def list_documents(docs: DataFrame, bucket: str = "all", query: str = "") -> DataFrame:
@@ -62,12 +63,17 @@ def enabled_translators(providers: DataFrame) -> DataFrame:
     return usable.select("provider_id", F.explode("models").alias("model"))
 
 
-def update_when(docs: DataFrame, changes: DataFrame, keep: list[str]) -> DataFrame:
-    """Compare and set: a change (id, expected, and new values) applies if the document's status is the expected one."""
-    new = changes.select("id", "expected", *[F.col(c).alias(f"__{c}") for c in keep])
-    met = docs.join(new, "id", "left")
-    holds = F.col("status") == F.col("expected")
-    return met.select(*[F.when(holds, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in keep else F.col(c) for c in docs.columns], F.coalesce(holds, F.lit(False)).alias("changed"))
+def update_when(docs: DataFrame, changes: DataFrame, keep: list[str], order: str | None = None) -> DataFrame:
+    """Compare and set: a change (id, expected, and new values) applies if the document's status is the expected one.
+
+    Of several that would apply to a document the first by order does, or else the one of least values; there is one row for each document.
+    """
+    new = F.struct(*[F.col(c) for c in keep])
+    first = F.min_by(new, F.struct(F.col(order), new)) if order else F.min(new)
+    one = changes.groupBy(F.col("id").alias("change_id"), "expected").agg(first.alias("new"))
+    met = docs.select(F.struct("*").alias("doc")).join(one, (F.col("doc.id") == F.col("change_id")) & (F.col("doc.status") == F.col("expected")), "left")
+    holds = F.col("change_id").isNotNull()
+    return met.select(*[(F.when(holds, F.col(f"new.{c}")).otherwise(F.col(f"doc.{c}")) if c in keep else F.col(f"doc.{c}")).alias(c) for c in docs.columns], holds.alias("changed"))
 
 
 def recover(docs: DataFrame) -> DataFrame:
@@ -79,3 +85,22 @@ def promote_due(docs: DataFrame, now) -> DataFrame:
     """Documents whose time to try again has come are queued."""
     due = (F.col("status") == "retrying") & (F.coalesce("next_attempt_at", F.lit(now)) <= F.lit(now))
     return docs.withColumn("status", F.when(due, "queued").otherwise(F.col("status")))
+
+
+def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """order, and unique: the name, or if it is taken by a row before, the name with the first free one of #1, #2 and so on.
+
+    Names can only meet others that differ in such endings, so rows are dealt out by the name without them. The state of a task is
+    the names given to one such group.
+    """
+
+    def step(s: dict, row: tuple) -> tuple:
+        found = row.wanted
+        while found in s["taken"]:
+            s["next"][row.wanted] = s["next"].get(row.wanted, 0) + 1
+            found = f"{row.wanted}#{s['next'][row.wanted]}"
+        s["taken"].add(found)
+        return (found,)
+
+    stems = rows.select(F.regexp_replace(F.coalesce(name, F.lit("")), r"(#\d+)+$", "").alias("stem"), F.col(order), F.coalesce(name, F.lit("")).alias("wanted"))
+    return fold(stems, "stem", [order], lambda: {"taken": set(), "next": {}}, step, "unique string").select(order, "unique")

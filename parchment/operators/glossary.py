@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.text import ascii_fold, collapse_spaces, normalize_source
+from parchment.sources.scratch import scratch_path, written
 
-#: Terms looked for in one pass over the texts, and in all: a glossary is a stated set, read to the driver in blocks.
-BLOCK, MOST_TERMS = 500, 20_000
+_TERMS = "array<struct<ord:bigint,source:string,target:string>>"
+_TERMS_ARROW = pa.list_(pa.struct([("ord", pa.int64()), ("source", pa.string()), ("target", pa.string())]))
+_automata: dict[str, ahocorasick.Automaton] = {}
 
 
 def dedupe(entries: DataFrame, by: list[str], source: str = "source", order: str = "ord") -> DataFrame:
@@ -17,22 +25,62 @@ def dedupe(entries: DataFrame, by: list[str], source: str = "source", order: str
     return entries.withColumn("__at", F.row_number().over(first)).filter("__at = 1").drop("__at")
 
 
-def matches(texts: DataFrame, entries: DataFrame, text_col: str = "text") -> DataFrame:
+def _finder(block: Broadcast):
+    name = uuid.uuid4().hex
+
+    @F.arrow_udf(_TERMS)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if name not in _automata:  # built once in each Python worker; one at a time
+            _automata.clear()
+            made = ahocorasick.Automaton()
+            for term in block.value:
+                made.get(term[0], None) or made.add_word(term[0], [])
+                made.get(term[0]).append(term[1:])
+            if len(made):
+                made.make_automaton()
+            _automata[name] = made
+        automaton = _automata[name]
+        for texts in batches:
+            out = []
+            for text in texts.to_pylist():
+                terms = {t for _, own in automaton.iter(text) for t in own} if text and len(automaton) else ()
+                out.append([dict(zip(("ord", "source", "target"), t, strict=True)) for t in sorted(terms, key=lambda t: t[:2])])
+            yield pa.array(out, _TERMS_ARROW)
+
+    return found
+
+
+def matches(texts: DataFrame, entries: DataFrame, text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """texts with terms: the entries (ord, source, target) whose source is somewhere in the text, in their order.
 
-    Blanks in a row count as one space, and A to Z match a to z. Each text is looked through once for each block
-    of terms, where it lies; no rows are joined. Glossaries of more than MOST_TERMS entries are refused.
+    Blanks in a row count as one space, and A to Z match a to z. Entries without a source are never found. One automaton of all terms reads each text once,
+    where it lies. The glossary is broadcast in blocks of about block_bytes, whose sizes are checked; a larger one
+    takes as many scans, and the terms they find meet at a number that each text has.
     """
-    got = entries.select("ord", "source", "target").orderBy("ord").limit(MOST_TERMS + 1).collect()
-    if len(got) > MOST_TERMS:
-        raise ValueError(f"a glossary may have {MOST_TERMS} terms")
-    hay = texts.withColumn("__hay", ascii_fold(collapse_spaces(F.col(text_col))))
-    kind = "array<struct<ord:bigint,source:string,target:string>>"
-    found: list[Column] = []
-    for at in range(0, len(got), BLOCK):
-        terms = F.array(*[F.struct(F.lit(r.ord).cast("long").alias("ord"), F.lit(r.source).alias("source"), F.lit(r.target).alias("target")) for r in got[at : at + BLOCK]])
-        found.append(F.filter(terms, lambda t: (t["source"] != "") & F.contains(F.col("__hay"), ascii_fold(t["source"]))))
-    return hay.withColumn("terms", F.concat(*found).cast(kind) if found else F.array().cast(kind)).drop("__hay")
+    spark = texts.sparkSession
+    folded = ascii_fold(F.col("source"))
+    kept = entries.filter(F.col("source") != "").select(folded.alias("folded"), F.col("ord").cast("long").alias("ord"), "source", "target", (F.octet_length("source") * 2 + F.coalesce(F.octet_length("target"), F.lit(0)) + 16).alias("bytes"))
+    kept = written(kept.distinct(), "glossary")
+    total, largest = kept.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+    blocks = max(1, -(-total // block_bytes))
+    of = lambda n: F.pmod(F.xxhash64("ord", "source", "target"), F.lit(n)).cast("int")
+    while blocks > 1 and kept.groupBy(of(blocks)).agg(F.sum("bytes").alias("n")).agg(F.max("n")).first()[0] > max(2 * block_bytes, 4 * largest):
+        blocks *= 2
+    hay = ascii_fold(collapse_spaces(F.col(text_col)))
+
+    def find(k: int) -> Column:
+        held = kept.filter(of(blocks) == k).select("folded", "ord", "source", "target").collect()
+        return _finder(spark.sparkContext.broadcast([tuple(r) for r in held]))(hay)
+
+    if blocks == 1:
+        return texts.withColumn("terms", find(0))
+    numbered = written(texts.select(F.struct("*").alias("row"), F.col(text_col), F.monotonically_increasing_id().alias("at")), "texts")
+    path = scratch_path(spark, "found")
+    for k in range(blocks):
+        found = numbered.select("at", find(k).alias("terms")).filter(F.size("terms") > 0)
+        found.write.mode("append").parquet(path)
+    met = spark.read.schema(found.schema).parquet(path).groupBy("at").agg(F.array_sort(F.flatten(F.collect_list("terms"))).alias("terms"))
+    return numbered.join(met, "at", "left").select("row.*", F.coalesce("terms", F.array().cast(_TERMS)).alias("terms"))
 
 
 def most_frequent(pairs: DataFrame, source: str, target: str, order: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +37,21 @@ def box_classes(chars: DataFrame, boxes: DataFrame, page: list[str], char: str =
 
 
 def coverage(boxes: DataFrame, page: list[str], grid: int = GRID) -> DataFrame:
-    """The share of a page's grid cells whose centre lies in a box: each box tells its cells, and equal ones count once."""
+    """The share of a page's grid cells, of at most 64 x 64, whose centre lies in a box.
+
+    A box tells for each of its rows which cells of it are in, as the bits of a number. Those are or-ed by page and row, partly
+    before they are shuffled, so a page has at most grid rows whatever its boxes.
+    """
+    if not 0 < grid <= 64:
+        raise ValueError("a grid has 1 to 64 rows")
     cw, ch = F.col("page_w") / grid, F.col("page_h") / grid
     first = lambda lo, size: F.greatest(F.lit(0), F.ceil(lo / size - 0.5)).cast("int")
     last = lambda hi, size: F.least(F.lit(grid - 1), F.floor(hi / size - 0.5)).cast("int")
-    span = lambda lo, hi, size: F.when(first(lo, size) <= last(hi, size), F.sequence(first(lo, size), last(hi, size)))
-    cells = boxes.select(*page, span(F.col("x0"), F.col("x1"), cw).alias("xs"), span(F.col("y0"), F.col("y1"), ch).alias("ys"))
-    cells = cells.select(*page, F.explode_outer("xs").alias("cx"), "ys").select(*page, "cx", F.explode_outer("ys").alias("cy")).distinct()
-    return cells.groupBy(*page).agg((F.count_if(F.col("cx").isNotNull() & F.col("cy").isNotNull()) / (grid * grid)).alias("coverage"))
+    x0, x1, y0, y1 = first(F.col("x0"), cw), last(F.col("x1"), cw), first(F.col("y0"), ch), last(F.col("y1"), ch)
+    bits = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(63) - (x1 - x0)), x0)
+    rows = boxes.select(*page, F.when(x0 <= x1, bits).alias("bits"), F.explode_outer(F.when((x0 <= x1) & (y0 <= y1), F.sequence(y0, y1))).alias("row"))
+    rows = rows.groupBy(*page, "row").agg(F.bit_or(F.when(F.col("row").isNotNull(), F.col("bits"))).alias("bits"))
+    return rows.groupBy(*page).agg((F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)) / (grid * grid)).alias("coverage"))
 
 
 def nearest_right(boxes: DataFrame, page: list[str], box: str, edge: str = "page_w") -> DataFrame:
@@ -78,9 +86,9 @@ def touching_below(boxes: DataFrame, page: list[str], box: str) -> DataFrame:
     return met.select(*page, box, F.when(moved < F.col("y1"), moved).otherwise(F.col("y0")).alias("lifted"))
 
 
-def _parted(p: list[list[float]], rounds: int) -> list[list[float]]:
-    """The boxes of one page (x0, y0, x1, y1), in order, after the repair."""
-    for _ in range(min(rounds, len(p) ** 2)):
+def _parted(p: list[list[float]]) -> list[list[float]]:
+    """The boxes of one page (x0, y0, x1, y1), in order, after the repair; it takes as many rounds as there are pairs at most."""
+    for _ in range(len(p) ** 2):
         moved = False
         for i in range(len(p)):
             for j in range(i + 1, len(p)):
@@ -98,28 +106,32 @@ def _parted(p: list[list[float]], rounds: int) -> list[list[float]]:
     return p
 
 
-def separate_overlaps(boxes: DataFrame, page: str, box: str, rounds: int = 50) -> DataFrame:
+def separate_overlaps(boxes: DataFrame, page: str, box: str) -> DataFrame:
     """Boxes of which overlapping ones are parted a unit from the middle of their overlap, pair by pair, until none is left.
 
     Pages are dealt out and sorted; a task holds one page at a time.
     """
     rows = boxes.select(page, box, "x0", "y0", "x1", "y1")
-    names = rows.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, held = None, []
-        done = lambda: [(*k, *c) for k, c in zip([h[:2] for h in held], _parted([list(h[2:]) for h in held], rounds), strict=True)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, here, held = None, (), []
+
+        def done() -> pa.RecordBatch:
+            moved = _parted([list(h[2:]) for h in held])
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(*h[:2], *m) for h, m in zip(held, moved, strict=True)], strict=True), kind, strict=True)], schema=kind)
+
         for got in batches:
-            out = []
-            for row in got.itertuples(index=False, name=None):
-                if row[0] != here:
-                    out += done()
-                    here, held = row[0], []
+            kind = got.schema
+            for row in zip(*(c.to_pylist() for c in got.columns), strict=True):
+                if held and row[:1] != here:
+                    yield done()
+                    held = []
+                here = row[:1]
                 held.append(row)
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(done(), columns=names)
+        if held:
+            yield done()
 
-    return rows.repartition(page).sortWithinPartitions(page, box).mapInPandas(run, rows.schema)
+    return rows.repartition(page).sortWithinPartitions(page, box).mapInArrow(run, rows.schema)
 
 
 def scale_cap(scales: DataFrame, by: list[str], scale: str, weight: str) -> DataFrame:

@@ -6,34 +6,41 @@ any number of events. Each machine is a step from state and event to state and r
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 COOLDOWN_MS, BENCH_MS, MAX_ATTEMPTS, RETRY_BASE_S, REJECTED_LIMIT, SUBMIT_ATTEMPTS = 10_000, 600_000, 3, 20, 6, 8
 
 
-def fold(events: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, tuple], tuple], out: str) -> DataFrame:
+def fold(events: DataFrame, key: str | list[str], order: list[str], start: Callable[[], dict], step: Callable[[dict, tuple], tuple], out: str) -> DataFrame:
     """Rows key, order and the results of step (named and typed by out) for each event, the state starting anew for each key.
 
-    step changes the state in place. It gets the event as a named tuple.
+    step changes the state in place. It gets the event as a named tuple. Batches are read as Arrow has them, so nulls are
+    None and keys of any size stay what they are; null is a key too.
     """
-    schema = ", ".join([*[f"{c} {t}" for c, t in events.select(key, *order).dtypes], out])
-    names = [x.split()[0] for x in schema.split(", ")]
+    keys = [key] if isinstance(key, str) else key
+    through, made = [*keys, *order], StructType.fromDDL(out)
+    kinds, at = to_arrow_schema(made), [events.columns.index(k) for k in keys]
+    Event = namedtuple("Event", events.columns, rename=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, state = None, start()
         for got in batches:
             rows = []
-            for e in got.itertuples(index=False):
-                if getattr(e, key) != here:
-                    here, state = getattr(e, key), start()
-                rows.append((here, *[getattr(e, o) for o in order], *step(state, e)))
-            yield pd.DataFrame(rows, columns=names)
+            for e in map(Event._make, zip(*(c.to_pylist() for c in got.columns), strict=True)):
+                if (now := [e[k] for k in at]) != here:
+                    here, state = now, start()
+                rows.append(step(state, e))
+            results = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*(got.column(c) for c in through), *(pa.array(c, f.type) for c, f in zip(results, kinds, strict=True))], [*through, *kinds.names])
 
-    return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    schema = StructType([*events.select(*through).schema.fields, *made.fields])
+    return events.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def concurrency(events: DataFrame, key: str, order: list[str], configured: int) -> DataFrame:
@@ -88,7 +95,7 @@ def retry_ladder(attempts: DataFrame, key: str, order: list[str]) -> DataFrame:
         if s["over"]:
             return "skipped", None
         s["try"] += 1
-        kind = e.kind if isinstance(e.kind, str) else None
+        kind = e.kind
         if kind is None:
             s.update({"try": 0, "rejected": 0})
             return "done", None
@@ -103,17 +110,20 @@ def retry_ladder(attempts: DataFrame, key: str, order: list[str]) -> DataFrame:
             s["over"] = True
             return "document ends", None
         base = min(2 ** (s["try"] - 1), 32) * 1000
-        asked = base if e.retry_after_ms is None or e.retry_after_ms != e.retry_after_ms else e.retry_after_ms
+        asked = base if e.retry_after_ms is None else e.retry_after_ms
         return "retry", float(max(asked, base / 2))
 
     return fold(attempts, key, order, lambda: {"try": 0, "rejected": 0, "over": False}, step, "decision string, wait_ms double")
 
 
 def job_step(s: dict, outcome: str, permanent: bool, t_ms: int) -> None:
-    """One event in the life of a job: start, done, error, cancel or recover; what doesn't fit its status changes nothing."""
+    """One event in the life of a job: start, done, error, cancel or recover; what doesn't fit its status changes nothing.
+
+    Work that is done counts even if the job was cancelled meanwhile.
+    """
     if outcome == "start" and (s["status"] == "queued" or s["status"] == "retrying" and s["due"] <= t_ms):
         s["status"] = "processing"
-    elif outcome == "done" and s["status"] == "processing":
+    elif outcome == "done" and s["status"] in ("processing", "cancelled"):
         s["status"] = "completed"
     elif outcome == "cancel" and s["status"] in ("queued", "processing", "retrying"):
         s["status"] = "cancelled"
@@ -133,8 +143,3 @@ def job_lifecycle(events: DataFrame, key: str, order: list[str]) -> DataFrame:
         return s["status"], s["attempts"]
 
     return fold(events, key, order, lambda: {"status": "queued", "attempts": 0, "due": 0}, step, "status string, attempts long")
-
-
-def aggregate_usage(replies: DataFrame, key: str) -> DataFrame:
-    """Tokens in and out by key."""
-    return replies.groupBy(key).agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.sources.scratch import written
+
 #: Points within which two starts are the same, and the share of starts that must be.
 NEAR, AGREEMENT = 1.0, 0.95
 
@@ -61,15 +63,15 @@ def match_in_order(firsts: DataFrame, operators: DataFrame, page: str) -> DataFr
     Pages are dealt out and sorted, operators first; a task holds the operators of one page.
     """
     both = firsts.select(page, F.lit(1).alias("side"), "seq", "x", "y").unionByName(operators.select(page, F.lit(0).alias("side"), "seq", "x", "y"))
-    names = [page, "seq", "op_seq"]
+    schema = both.select(page, "seq", F.col("seq").alias("op_seq")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, held, cursor = None, [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, cursor = (), [], 0
         for got in batches:
             out = []
-            for p, side, seq, x, y in got.itertuples(index=False, name=None):
-                if p != here:
-                    here, held, cursor = p, [], 0
+            for p, side, seq, x, y in zip(*(c.to_pylist() for c in got.columns), strict=True):
+                if (p,) != here:
+                    here, held, cursor = (p,), [], 0
                 if side == 0:
                     held.append((seq, x, y))
                     continue
@@ -77,19 +79,19 @@ def match_in_order(firsts: DataFrame, operators: DataFrame, page: str) -> DataFr
                 if at is not None:
                     out.append((p, seq, held[at][0]))
                     cursor = at + 1
-            yield pd.DataFrame(out, columns=names)
+            kinds = [got.schema.field(page), got.schema.field("seq"), got.schema.field("seq").with_name("op_seq")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 3, kinds, strict=True)], [f.name for f in kinds])
 
-    kind = dict(both.dtypes)
-    return both.repartition(page).sortWithinPartitions(page, "side", "seq").mapInPandas(run, f"{page} {kind[page]}, seq {kind['seq']}, op_seq {kind['seq']}")
+    return both.repartition(page).sortWithinPartitions(page, "side", "seq").mapInArrow(run, schema)
 
 
 def descend(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
     """depth of each node under the roots (null parents), level by level; nodes of a cycle have none and are left out."""
-    nodes = nodes.select(node, parent).checkpoint()
+    nodes = written(nodes.select(node, parent), "nodes")
     level = nodes.filter(F.col(parent).isNull()).select(node, F.lit(0).alias("depth"))
     found = level
     for depth in range(1, most):
-        level = nodes.join(level.select(F.col(node).alias(parent)), parent).select(node, F.lit(depth).alias("depth")).checkpoint()
+        level = written(nodes.join(level.select(F.col(node).alias(parent)), parent).select(node, F.lit(depth).alias("depth")), "level")
         if level.isEmpty():
             break
         found = found.unionByName(level)

@@ -95,11 +95,7 @@ def filename_sanitize(spark, d):
 
 
 def unique_names(spark, d):
-    from pyspark.sql import Window
-
-    parts = table(spark, d, "part")
-    rank = F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey"))
-    return parts.select("p_partkey", text.numbered_name(F.col("p_name"), rank).alias("name"))
+    return catalog.unique_names(table(spark, d, "part"), "p_name", "p_partkey").select("p_partkey", F.col("unique").alias("name"))
 
 
 def document_ids(spark, d):

@@ -102,10 +102,15 @@ def retry_ladder(spark, d):
     return machines.retry_ladder(e, "user_id", ["seq"])
 
 
-def job_lifecycle(spark, d):
+def job_outcome():
+    """What an event means to a job; clicks of small value cancel it."""
     names = {"view": "start", "click": "start", "error": "error", "purchase": "done", "signup": "recover"}
     outcome = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_type")]
-    e = _outcomes(spark, d).select("user_id", "seq", "t_ms", outcome.alias("outcome"), (F.col("value") > 60).alias("permanent"))
+    return F.when((F.col("event_type") == "click") & (F.col("value") < 20), "cancel").otherwise(outcome)
+
+
+def job_lifecycle(spark, d):
+    e = _outcomes(spark, d).select("user_id", "seq", "t_ms", job_outcome().alias("outcome"), (F.col("value") > 60).alias("permanent"))
     return machines.job_lifecycle(e, "user_id", ["seq"])
 
 
@@ -165,7 +170,7 @@ WITH RECURSIVE {_NUMBERED}, f AS (
   SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS seq, 'queued' AS status, 0::BIGINT AS attempts, 0::BIGINT AS due FROM n GROUP BY user_id
   UNION ALL
   SELECT user_id, i, seq,
-    CASE WHEN event_type IN ('view', 'click') AND (status = 'queued' OR (status = 'retrying' AND due <= t_ms)) THEN 'processing' WHEN event_type = 'purchase' AND status = 'processing' THEN 'completed'
+    CASE WHEN event_type = 'click' AND value < 20 THEN CASE WHEN status IN ('queued', 'processing', 'retrying') THEN 'cancelled' ELSE status END WHEN event_type IN ('view', 'click') AND (status = 'queued' OR (status = 'retrying' AND due <= t_ms)) THEN 'processing' WHEN event_type = 'purchase' AND status IN ('processing', 'cancelled') THEN 'completed'
       WHEN event_type = 'signup' AND status IN ('processing', 'retrying') THEN 'queued' WHEN event_type = 'error' AND status = 'processing' THEN CASE WHEN value <= 60 AND attempts + 1 < 3 THEN 'retrying' ELSE 'failed' END ELSE status END,
     CASE WHEN event_type = 'error' AND status = 'processing' THEN attempts + 1 ELSE attempts END,
     CASE WHEN event_type = 'error' AND status = 'processing' THEN CASE WHEN value <= 60 AND attempts + 1 < 3 THEN t_ms + 20000 * (attempts + 1) ELSE 0 END ELSE due END

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from parchment.plans.base import table
 from parchment.plans.events import QUERIES as EVENTS
+from parchment.plans.events import job_outcome
 from parchment.sources import library
 from parchment.sources.scratch import scratch_path
 from parchment.streaming import logs
 
-_OUTCOMES = {"view": "start", "click": "start", "error": "error", "purchase": "done", "signup": "recover"}
-
 
 def _lines(spark, d):
     """Events as lines of JSON; some broken, some blank, some that break a rule."""
@@ -76,8 +75,7 @@ def stream_throttle(spark, d):
 
 def stream_lifecycle(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    outcome = F.create_map(*[F.lit(x) for kv in _OUTCOMES.items() for x in kv])[F.col("event_type")]
-    e = e.select("user_id", F.col("event_id").alias("seq"), F.unix_millis("ts").alias("t_ms"), outcome.alias("outcome"), (F.col("value") > 60).alias("permanent"))
+    e = e.select("user_id", F.col("event_id").alias("seq"), F.unix_millis("ts").alias("t_ms"), job_outcome().alias("outcome"), (F.col("value") > 60).alias("permanent"))
     return logs.collect_in_order(e, F.col("seq"), logs.lifecycle, ["user_id"], "seq", "update")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -68,23 +70,25 @@ def scan_vote(spark, d):
 
 
 def style_runs(spark, d):
-    chars = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 1000 + F.col("l_partkey")).alias("ord"), F.col("l_returnflag").alias("font"), F.when(F.col("l_quantity") > 45, 12.0).otherwise(10.0).alias("size"), F.lit(None).cast("string").alias("gstate"), F.lit("char").alias("kind")).distinct()
+    chars = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 1000 + F.col("l_partkey")).alias("ord"), F.col("l_returnflag").alias("font"), (F.when(F.col("l_quantity") > 45, 12.0).otherwise(10.0) + F.pmod("l_orderkey", F.lit(4)) * 0.0078125).alias("size"), F.lit(None).cast("string").alias("gstate"), F.lit("char").alias("kind")).distinct()
     chars = chars.groupBy("l_suppkey", "ord", "gstate", "kind").agg(F.min("font").alias("font"), F.min("size").alias("size"))
     return batching.style_runs(chars, ["l_suppkey"], "ord").select("l_suppkey", F.col("run").cast("long").alias("run"), "first", "last", "font", "size", "n")
 
 
 def page_similarity(spark, d):
-    """The embeddings as rows of gray images, against themselves with the first rows blanked."""
+    """The embeddings as gray images, whole and from the first value on again to fill a square, against themselves with the first rows blanked."""
     pixels = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.round(v * 400 + 128))).cast("int"))
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.slice(pixels, 1, 64).alias("p"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), pixels.alias("p")).filter(F.size("p") > 0)
+
+    side = max(7, math.isqrt((e.agg(F.max(F.size("p"))).first()[0] or 1) - 1) + 1)
 
     def images(batches):
         for got in batches:
-            before = [np.asarray(p, np.uint8).tobytes() for p in got["p"]]
-            yield pd.DataFrame({"key": got["key"], "before": before, "after": [bytes(16) + b[16:] for b in before]})
+            before = [np.resize(np.asarray(p, np.uint8), side * side).tobytes() for p in got["p"]]
+            yield pd.DataFrame({"key": got["key"], "before": before, "after": [bytes(2 * side) + b[2 * side :] for b in before]})
 
-    pairs = e.filter(F.size("p") == 64).mapInPandas(images, "key long, before binary, after binary")
-    return layout.page_similarity(pairs, 8, 8)
+    pairs = e.mapInPandas(images, "key long, before binary, after binary")
+    return layout.page_similarity(pairs, side, side)
 
 
 def matrices(spark, d):
@@ -129,7 +133,13 @@ c AS (SELECT page, box_idx AS char_id, {_CELL % 'x1'} AS x, {_CELL % '(120 - y0
     "scale_cap_mode": (scale_cap_mode, "WITH s AS (SELECT l_suppkey, l_discount AS scale, sum(l_linenumber) AS w FROM lineitem GROUP BY ALL), c AS (SELECT l_suppkey, scale AS cap FROM s QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY w DESC, scale) = 1) SELECT l_suppkey, max(cap) AS cap, count_if(l_discount > cap)::BIGINT AS cut FROM lineitem JOIN c USING (l_suppkey) GROUP BY l_suppkey"),
     "second_gap": (second_gap, "WITH g AS (SELECT l_orderkey, list_sort(list_distinct(list(l_quantity / 10) FILTER (WHERE l_quantity / 10 > 1))) AS g FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN coalesce(len(g), 0) = 0 THEN 1.0::DOUBLE WHEN len(g) = 1 THEN g[1] ELSE g[2] END AS gap FROM g"),
     "scan_vote": (scan_vote, "WITH v AS (SELECT event_id // 12 AS \"group\", event_id, (event_type <> 'error')::INT AS yes FROM events), r AS (SELECT *, count(*) OVER g AS n, coalesce(sum(yes) OVER w, 0) AS y, coalesce(sum(1 - yes) OVER w, 0) AS no FROM v WINDOW g AS (PARTITION BY \"group\"), w AS (PARTITION BY \"group\" ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), t AS (SELECT *, greatest(n * 0.8::DOUBLE, 1) AS t FROM r), k AS (SELECT *, y < t AND no < n - t AS seen FROM t) SELECT \"group\", max(n) AS total, count_if(seen)::BIGINT AS checked, sum(CASE WHEN seen THEN yes ELSE 0 END)::BIGINT AS scanned_pages, sum(CASE WHEN seen THEN yes ELSE 0 END) >= max(t) AS scanned FROM k GROUP BY \"group\""),
-    "style_runs": (style_runs, "WITH c AS (SELECT l_suppkey, l_orderkey * 1000 + l_partkey AS ord, min(l_returnflag) AS font, min(CASE WHEN l_quantity > 45 THEN 12.0::DOUBLE ELSE 10.0::DOUBLE END) AS size FROM lineitem GROUP BY 1, 2), m AS (SELECT *, coalesce((font <> lag(font) OVER w OR size <> lag(size) OVER w)::INT, 1) AS new FROM c WINDOW w AS (PARTITION BY l_suppkey ORDER BY ord)), r AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY ord ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM m) SELECT l_suppkey, run, min(ord) AS first, max(ord) AS last, arg_min(font, ord) AS font, arg_min(size, ord) AS size, count(*) AS n FROM r GROUP BY l_suppkey, run"),
+    "style_runs": (style_runs, """WITH RECURSIVE c AS (SELECT l_suppkey, l_orderkey * 1000 + l_partkey AS ord, min(l_returnflag) AS font, min(CASE WHEN l_quantity > 45 THEN 12.0::DOUBLE ELSE 10.0::DOUBLE END + (l_orderkey % 4) * 0.0078125::DOUBLE) AS size FROM lineitem GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY ord) AS i FROM c), r AS (
+  SELECT l_suppkey, i, ord, font, size, font AS head, size AS head_size, 1::BIGINT AS run FROM n WHERE i = 1
+  UNION ALL
+  SELECT l_suppkey, i, ord, font, size, CASE WHEN same THEN head ELSE font END, CASE WHEN same THEN head_size ELSE size END, run + (NOT same)::BIGINT
+  FROM (SELECT n.*, r.head, r.head_size, r.run, n.font = r.head AND abs(n.size - r.head_size) < 0.02::DOUBLE AS same FROM r JOIN n ON n.l_suppkey = r.l_suppkey AND n.i = r.i + 1)
+) SELECT l_suppkey, run, min(ord) AS first, max(ord) AS last, arg_min(font, ord) AS font, arg_min(size, ord) AS size, count(*) AS n FROM r GROUP BY l_suppkey, run"""),
     "page_similarity": (page_similarity, None),
     "matrices": (matrices, """WITH o AS (SELECT l_orderkey, sum(l_quantity) AS q, count(*)::DOUBLE AS n, max(l_linenumber)::DOUBLE AS k, l_orderkey % 4 AS r FROM lineitem GROUP BY l_orderkey),
 m AS (SELECT *, CASE r WHEN 1 THEN [0, -1, 1, 0, 0, 600] WHEN 2 THEN [-1, 0, 0, -1, 600, 800] WHEN 3 THEN [0, 1, -1, 0, 800, 0] ELSE [1, 0, 0, 1, 0, 0] END::DOUBLE[] AS p FROM o),

@@ -11,12 +11,12 @@ from parchment.plans.base import SPACE, table
 
 
 def nfkc_spaces(spark, d):
-    docs = table(spark, d, "documents").withColumn("made", F.concat(F.lit("ﬁ ①　"), F.left("text", F.lit(50))))
+    docs = table(spark, d, "documents").withColumn("made", F.concat(F.lit("ﬁ ①　"), F.col("text")))
     return docs.select("doc_id", tokens.normalize_spaces(F.col("made")).alias("plain"))
 
 
 def nfkc_texts(spark, d):
-    """Whole texts. NFKC has no SQL, and nfkc_spaces is bound to the first 50 characters by its own."""
+    """Texts alone. NFKC has no SQL; that of nfkc_spaces knows what becomes of its first signs, and that the given texts are in that form."""
     return table(spark, d, "documents").select("doc_id", tokens.normalize_spaces(F.col("text")).alias("plain"))
 
 
@@ -126,7 +126,7 @@ _TEXT = r"regexp_replace(regexp_replace(text, '\bthe\b', '{v1}', 'g'), '\bof\b',
 _STARTS = """e AS (SELECT user_id, event_id, floor(value) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, CASE WHEN user_id % 3 = 1 THEN CASE WHEN event_id % 7 = 0 THEN 5.0::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.0::DOUBLE END AS shift FROM events)"""
 
 QUERIES = {
-    "nfkc_spaces": (nfkc_spaces, f"SELECT doc_id, regexp_replace('fi 1 ' || left(text, 50), '[{SPACE}]+', ' ', 'g') AS plain FROM documents"),
+    "nfkc_spaces": (nfkc_spaces, f"SELECT doc_id, regexp_replace('fi 1 ' || text, '[{SPACE}]+', ' ', 'g') AS plain FROM documents"),
     "nfkc_texts": (nfkc_texts, None),
     "placeholder_counts": (placeholder_counts, rf"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_TEXT}, '\{{v\d+\}}')) AS token FROM documents) GROUP BY ALL"),
     "placeholder_cleanup": (placeholder_cleanup, f"SELECT doc_id, replace({_TEXT}, '{{v2}}', '') AS clean, CASE WHEN contains({_TEXT}, '{{v1}}') THEN '{{v3}}' ELSE '{{v1}},{{v3}}' END AS lost FROM documents"),

@@ -73,9 +73,9 @@ def wrapped_lines(spark, d):
 
 
 def _terms(spark, d):
-    """The names of parts as source terms, their words' second letters as a stand-in for a translation."""
-    names = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.explode(F.split("p_name", " ")).alias("source"), F.upper("p_name").alias("target"))
-    return names.select("ord", F.concat(F.left("source", F.lit(3))).alias("source"), "target")
+    """The names of parts and their words as source terms, the name in capitals as a stand-in for a translation."""
+    words = F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_name")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.explode(words).alias("source"), F.upper("p_name").alias("target"))
 
 
 def glossary_dedupe(spark, d):
@@ -253,7 +253,7 @@ f AS (
   SELECT item_id, ws, i + 1, CASE WHEN length(line) + 1 + length(ws[i + 1]) <= 60 THEN n ELSE n + 1 END, CASE WHEN length(line) + 1 + length(ws[i + 1]) <= 60 THEN line || ' ' || ws[i + 1] ELSE ws[i + 1] END FROM f WHERE i < len(ws)
 ) SELECT item_id, max(n) AS n_lines, arg_max(line, i) FILTER (WHERE n = 1) AS first_line, arg_max(line, i) AS last_line FROM f GROUP BY item_id"""),
     "glossary_dedupe": (glossary_dedupe, "SELECT p_partkey AS ord, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name || '  ' END AS source, p_brand FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) = 1"),
-    "glossary_match": (glossary_match, rf"WITH t AS (SELECT p_partkey, left(unnest(string_split(p_name, ' ')), 3) AS s FROM part), g AS (SELECT s, min(p_partkey) AS o FROM t GROUP BY s), h AS (SELECT doc_id, {_FOLD % f'''regexp_replace(text, '[{SPACE}]+', ' ', 'g')'''} AS hay FROM documents), m AS (SELECT doc_id, s, o FROM h JOIN g ON contains(hay, {_FOLD % 's'})) SELECT documents.doc_id, count(s) AS n_terms, coalesce(string_agg(s, ',' ORDER BY o, s), '') AS sources FROM documents LEFT JOIN m USING (doc_id) GROUP BY documents.doc_id"),
+    "glossary_match": (glossary_match, rf"WITH t AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' ') || [p_name])) AS s FROM part), g AS (SELECT s, min(p_partkey) AS o FROM t GROUP BY s), h AS (SELECT doc_id, {_FOLD % f'''regexp_replace(text, '[{SPACE}]+', ' ', 'g')'''} AS hay FROM documents), m AS (SELECT doc_id, s, o FROM h JOIN g ON contains(hay, {_FOLD % 's'})) SELECT documents.doc_id, count(s) AS n_terms, coalesce(string_agg(s, ',' ORDER BY o, s), '') AS sources FROM documents LEFT JOIN m USING (doc_id) GROUP BY documents.doc_id"),
     "glossary_mode": (glossary_mode, "WITH c AS (SELECT p_name, p_brand, count(*) AS n, min(l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey) AS o FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name, p_brand) SELECT p_name, p_brand, n AS votes FROM c QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY n DESC, o) = 1"),
     "glossary_tables": (glossary_tables, "SELECT p_type, string_agg('| ' || p_name || ' | ' || p_brand || ' |', chr(10) ORDER BY p_name, p_brand) AS lines FROM (SELECT DISTINCT p_type, p_name, p_brand FROM part) GROUP BY p_type"),
     "key_lists": (key_lists, f"WITH k AS (SELECT page_id, url, {_PARTS} AS ks FROM pages) SELECT page_id, len(ks)::BIGINT AS n, '••••••••' || CASE WHEN length(ks[1]) >= 12 THEN right(ks[1], 4) ELSE '' END || CASE WHEN len(ks) > 1 THEN '（共 ' || len(ks) || ' 个）' ELSE '' END AS masked, replace(replace(url, 'example', '[redacted]'), 'www', '[redacted]') AS redacted, CASE WHEN length(url) <= 20 THEN url ELSE left(url, 20) || '…' END AS snippet FROM k"),
