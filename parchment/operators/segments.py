@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.operators.machines import fold
 from parchment.sources.scratch import written
 
 #: Points within which two starts are the same, and the share of starts that must be.
@@ -36,6 +37,27 @@ def base_style(chars: DataFrame, by: list[str], order: str) -> DataFrame:
     return out
 
 
+def merged_style(chars: DataFrame, by: list[str], order: str, slack: float = 0.02) -> DataFrame:
+    """The style (font, size, gstate) that a group's characters share.
+
+    Styles merge one after another: what differs (sizes by slack or more) is open, and a merged style of open size gives way to the next
+    character's. Of what is open at the end, font and size are those that most characters have (base_style), gstate is null.
+    """
+
+    def step(s: dict, c: tuple) -> tuple:
+        if s["size"] is None:
+            s.update(font=c.font, size=c.size, gstate=c.gstate)
+        elif c.size is not None:
+            s.update(font=s["font"] if s["font"] == c.font else None, size=s["size"] if abs(s["size"] - c.size) < slack else None, gstate=s["gstate"] if s["gstate"] == c.gstate else None)
+        return s["font"], s["size"], s["gstate"]
+
+    rows = chars.select(*by, order, "font", "size", "gstate")
+    merged = fold(rows, by, [order], lambda: {"font": None, "size": None, "gstate": None}, step, "font string, size double, gstate string")
+    last = merged.groupBy(*by).agg(F.max_by(F.struct("font", "size", "gstate"), order).alias("last"))
+    most = base_style(chars, by, order).withColumnsRenamed({"font": "most_font", "size": "most_size"})
+    return last.join(most, by).select(*by, F.coalesce("last.font", "most_font").alias("font"), F.coalesce("last.size", "most_size").alias("size"), F.col("last.gstate").alias("gstate"))
+
+
 def glyph_runs(glyphs: DataFrame, by: list[str], order: str, slack: float = 0.5) -> DataFrame:
     """Glyphs (text, x0, x1, y, font, size) merged into runs of one font, size and base line that leave no gap in between."""
     w = Window.partitionBy(*by).orderBy(order)

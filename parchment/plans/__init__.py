@@ -1,5 +1,5 @@
 """The named queries, by family: each has a function of session and folder, and SQL where there is one."""
 
-from parchment.plans import catalog, events, files, layout, pages, texts
+from parchment.plans import catalog, events, files, layout, pages, texts, units
 
-PLANS = [catalog.QUERIES, events.QUERIES, texts.QUERIES, layout.QUERIES, files.QUERIES, pages.QUERIES]
+PLANS = [catalog.QUERIES, events.QUERIES, texts.QUERIES, layout.QUERIES, files.QUERIES, pages.QUERIES, units.QUERIES]
