@@ -204,7 +204,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ord) AS i FR
   UNION ALL
   SELECT n.l_orderkey, n.i, CASE WHEN r.size IS NULL OR r.font = n.font THEN n.font END, CASE WHEN r.size IS NULL THEN n.size WHEN abs(r.size - n.size) < 0.02::DOUBLE THEN r.size END, CASE WHEN r.size IS NULL OR r.gstate = n.gstate THEN n.gstate END FROM r JOIN n ON n.l_orderkey = r.l_orderkey AND n.i = r.i + 1
 ), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY i DESC) = 1),
-f AS (SELECT l_orderkey, font FROM n GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, min(ord)) = 1), s AS (SELECT l_orderkey, size FROM n GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, min(ord)) = 1)
+f AS (SELECT l_orderkey, font FROM n GROUP BY l_orderkey, font QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, min(ord)) = 1), s AS (SELECT l_orderkey, size FROM n GROUP BY l_orderkey, size QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, min(ord)) = 1)
 SELECT l_orderkey, coalesce(l.font, f.font) AS font, coalesce(l.size, s.size) AS size, l.gstate FROM l JOIN f USING (l_orderkey) JOIN s USING (l_orderkey)"""),
     "small_numbers": (small_numbers, "SELECT o_orderkey, printf('%04x', o_orderkey % 65536) AS code, printf('%.6f', o_custkey / 8) AS fixed, 10 + floor(least(1.0::DOUBLE, (o_orderkey % 90) / 80.0::DOUBLE) * 15 + 0.5::DOUBLE)::BIGINT AS progress, greatest(120000, (o_orderkey % 100) * 3000) AS limit_ms, (CASE o_orderkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 0.75 * 0.5 END)::DOUBLE AS green FROM orders"),
 }
