@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import column, inside, join_groups, packed, unpacked, write_table
+from parchment.llm.common import column, join_groups, write_table
 
 WHITESPACE = " \t\n\x0b\x0c\r"
 
@@ -39,24 +39,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cells = shared.groupBy("len", F.xxhash64("head").alias("prefix")).agg(F.count("*").alias("cell")).filter("cell > 1")
     cells = write_table(cells, "exact-cells")
 
+    # columns travel by number rather than in a struct, so that those that nobody asks for are never shuffled
+    names = [c for c in docs.columns if c.lower() not in ("keep_id", "group_size", "kept")]
+    numbers = [f"c{k}" for k in range(len(names))]
     rows = docs.select(
-        packed(docs, "keep_id", "group_size", "kept"),
+        *[column(c).alias(k) for c, k in zip(names, numbers, strict=True)],
         column(id_col).alias("id"),
         F.char_length(bare).alias("len"),
         F.xxhash64(F.substring(bare, 1, prefix_chars)).alias("prefix"),
         F.monotonically_increasing_id().alias("at"),
     )
     hashed = join_groups(rows, cells, ["len", "prefix"], "cell", F.col("at"))
-    text = F.coalesce(inside(text_col), F.lit(""))
+    text = F.coalesce(F.col(numbers[[c.lower() for c in names].index(text_col.lower())]), F.lit(""))
     full = F.when(F.col("cell").isNotNull(), F.sha2(F.encode(F.translate(text, WHITESPACE, ""), "utf-8"), 256))
-    hashed = write_table(hashed.select("row", "id", "at", F.char_length(text).alias("chars"), full.alias("full")), "exact-hashed")
+    hashed = write_table(hashed.select(*numbers, "id", "at", F.char_length(text).alias("chars"), full.alias("full")), "exact-hashed")
 
     best = F.min(F.struct((-F.col("chars")).alias("chars"), F.col("id"), F.col("at"))).alias("best")
     groups = hashed.filter(F.col("full").isNotNull()).groupBy("full").agg(best, F.count("*").alias("size"))
     groups = write_table(groups.filter("size > 1"), "exact-groups")
     alone = F.col("best").isNull()
     return join_groups(hashed, groups, ["full"], "size", F.col("at")).select(
-        *unpacked(hashed),
+        *[F.col(k).alias(c) for c, k in zip(names, numbers, strict=True)],
         F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce(F.col("size"), F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("best.at") == F.col("at"))).alias("kept"),
