@@ -54,17 +54,17 @@ class ToxicityChain:
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where out-of-fold predictions have the highest F1; 0.5 if the category never occurs. Ties: the highest."""
+    """Where out-of-fold predictions have the highest F1. Ties: the highest. A category that never occurs is never found: 1."""
     grid = np.arange(1, 20) / 20
     f1 = [2 * ((p >= t) & (y == 1)).sum() / max(1, (p >= t).sum() + (y == 1).sum()) for t in grid]
-    return float(grid[len(grid) - 1 - int(np.argmax(f1[::-1]))]) if y.any() else 0.5
+    return float(grid[len(grid) - 1 - int(np.argmax(f1[::-1]))]) if y.any() else 1.0
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = 8000, max_train_bytes: int = 256 << 20, folds: int = 4, alpha: float = 5.0, l1: float = 0.5) -> ToxicityChain:
     """Fit the chain on a bounded sample of the labels that usable lets through; the categories are columns of labels.
 
     For each category the models without one fold and the one on all rows are fitted in tasks of their own, each of
-    which holds the sample (max_train_rows and max_train_bytes bound it: see labelled_sample). Without any label all probabilities are 0.5.
+    which holds the sample (max_train_rows and max_train_bytes bound it: see labelled_sample). Without any label all probabilities are 0.5 and nothing is found.
     """
     sample = labelled_sample(docs, labels, categories, id_col, text_col, max_train_rows, max_train_bytes, usable)
     copies = sample.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds))))
