@@ -8,9 +8,7 @@ from unicodedata import normalize
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from parchment import queries as engine
-from parchment.llm.jaccard import jaccard_join
 from parchment.operators import machines
 from parchment.plans import base
 from parchment.streaming import logs
@@ -60,16 +58,3 @@ def test_ranges_of_a_log_follow_one_another(spark, tmp_path):
     got = {r.user_id: (r.seq, r.status, r.attempts) for r in logs.collect_in_order(jobs, F.col("seq"), logs.lifecycle, ["user_id"], "seq", "update", rows=50).collect()}
     want = machines.job_lifecycle(jobs, "user_id", ["seq"]).orderBy("seq").collect()
     assert got == {r.user_id: (r.seq, r.status, r.attempts) for r in want}
-
-
-def test_one_row_of_each_near_duplicate_class_stays(spark):
-    words = [f"w{i}" for i in range(60)]
-    near = " ".join([*words, "z"])
-    rows = [(1, "a " * 9 + " ".join(words), "x"), (1, "a " * 9 + near, "y"), (2, near + " v", "x"), (2, near + " v", "x"), (3, "only " + "b c d e f g h", "x")]
-    rows += [(None, " ".join(words[::-1]), "x")] * 3 + [(4, "j k l m n o p", "x")] * 2 + [(5, "", "x"), (5, "", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = jaccard_join(docs).collect()
-    assert sorted((r.class_id or 0) for r in got if r.kept) == [0, 1, 3, 4, 5, 5]
-    assert {r.class_id for r in got if r.doc_id == 2} == {1}
-    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
-    assert sorted(r.doc_id or 0 for r in left) == [0, 1, 3, 4, 5, 5]
