@@ -33,15 +33,16 @@ def marked_text(parts: Column, text: Column) -> Column:
     taken = lambda shape: F.coalesce(F.regexp_extract(text, f"(?i)^{shape}", 1).try_cast("int"), F.lit(-1))
 
     def build(styled: bool) -> Column:
-        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"), F.array().cast(_MARKS).alias("marks"))
+        # what the text begins with is looked up once and goes along
+        start = F.struct(F.lit(1).alias("next"), taken(FORMULA_MARK).alias("formula"), taken(OPEN_MARK).alias("open"), F.array().cast("array<string>").alias("out"), F.array().cast(_MARKS).alias("marks"))
 
         def add(s: Column, p: Column) -> Column:
             formula, rich = p["kind"] == "formula", (p["kind"] != "formula") & ~p["plain"] if styled else F.lit(False)
-            number = s["next"] + F.when(s["next"] == F.when(formula, taken(FORMULA_MARK)).otherwise(taken(OPEN_MARK)), 1).otherwise(0)
+            number = s["next"] + F.when(s["next"] == F.when(formula, s["formula"]).otherwise(s["open"]), 1).otherwise(0)
             shown = F.when(formula, F.concat(F.lit("{v"), number, F.lit("}"))).when(rich, F.concat(F.lit("<style id='"), number, F.lit("'>"), p["text"], F.lit(CLOSE))).otherwise(p["text"])
             mark = F.struct(F.when(formula, "formula").otherwise("run").alias("kind"), number.cast("int").alias("id"), p["at"].alias("part"), p["text"].alias("text"))
             return F.struct(
-                F.when(formula, number + 1).when(rich, number + 2).otherwise(s["next"]).cast("int").alias("next"), F.array_append(s["out"], shown).alias("out"), F.when(formula | rich, F.array_append(s["marks"], mark)).otherwise(s["marks"]).alias("marks")
+                F.when(formula, number + 1).when(rich, number + 2).otherwise(s["next"]).cast("int").alias("next"), s["formula"].alias("formula"), s["open"].alias("open"), F.array_append(s["out"], shown).alias("out"), F.when(formula | rich, F.array_append(s["marks"], mark)).otherwise(s["marks"]).alias("marks")
             )
 
         numbered = F.transform(parts, lambda p, i: F.struct(p["kind"].alias("kind"), p["text"].alias("text"), p["plain"].alias("plain"), i.alias("at")))
@@ -49,8 +50,8 @@ def marked_text(parts: Column, text: Column) -> Column:
 
     only = F.get(parts, F.lit(0))
     whole = F.struct(text.alias("text"), F.array().cast(_MARKS).alias("marks"))
-    styled = build(True)
-    return F.when(F.size(parts) == 0, F.lit(None)).when(F.size(parts) == 1, F.when(only["kind"] != "formula", whole)).when(F.size(styled["marks"]) > MOST_MARKS, build(False)).otherwise(styled)
+    built = F.get(F.transform(F.array(build(True)), lambda s: F.when(F.size(s["marks"]) > MOST_MARKS, build(False)).otherwise(s)), F.lit(0))
+    return F.when(F.size(parts) == 0, F.lit(None)).when(F.size(parts) == 1, F.when(only["kind"] != "formula", whole)).otherwise(built)
 
 
 def _known(marks: list[dict]) -> tuple[dict[str, dict], dict[str, dict]]:
