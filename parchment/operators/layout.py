@@ -63,6 +63,15 @@ def nearest_right(boxes: DataFrame, page: list[str], box: str, edge: str = "page
     return met.groupBy(*[F.col(f"a.{c}") for c in [*page, box]]).agg(F.min(F.least(F.col(f"a.{edge}"), F.coalesce("b.x0", F.col(f"a.{edge}")))).alias("max_x"))
 
 
+def nearest_below(boxes: DataFrame, page: list[str], box: str, edge: float | Column = 0.0) -> DataFrame:
+    """min_y for each box: where the nearest box below it (y grows upwards) ends among those above or under it, or the page's edge."""
+    a, b = boxes.withColumn("__edge", edge if isinstance(edge, Column) else F.lit(edge)).alias("a"), boxes.alias("b")
+    same = [F.col(f"a.{p}") == F.col(f"b.{p}") for p in page]
+    under = (F.col("b.y1") < F.col("a.y0")) & ~((F.col("b.x0") >= F.col("a.x1")) | (F.col("b.x1") <= F.col("a.x0")))
+    met = a.join(b, [*same, under], "left")
+    return met.groupBy(*[F.col(f"a.{c}") for c in [*page, box]]).agg(F.max(F.greatest("a.__edge", F.coalesce("b.y1", "a.__edge"))).alias("min_y"))
+
+
 def overlapping_pairs(boxes: DataFrame, page: list[str], box: str) -> DataFrame:
     """Pairs of boxes of a page that overlap, neither between the other's top and bottom: first, second, height, width."""
     a, b = boxes.alias("a"), boxes.alias("b")

@@ -42,6 +42,10 @@ def nearest_right(spark, d):
     return layout.nearest_right(boxes(spark, d), ["page"], "box_idx").select("page", F.col("box_idx").cast("long").alias("box_idx"), "max_x")
 
 
+def nearest_below(spark, d):
+    return layout.nearest_below(boxes(spark, d), ["page"], "box_idx", 5.0).select("page", F.col("box_idx").cast("long").alias("box_idx"), "min_y")
+
+
 def overlap_pairs(spark, d):
     return layout.overlapping_pairs(boxes(spark, d), ["page"], "box_idx").select("page", F.col("first").cast("long").alias("first"), F.col("second").cast("long").alias("second"), "height", "width")
 
@@ -127,6 +131,7 @@ QUERIES = {
 c AS (SELECT page, box_idx AS char_id, {_CELL % 'x1'} AS x, {_CELL % '(120 - y0 - 2)'} AS y FROM b) SELECT c.page, c.char_id, coalesce(arg_max(cls, rank), 1)::BIGINT AS cls FROM c LEFT JOIN r ON r.page = c.page AND x >= l AND x < rt AND y >= bt AND y < tp GROUP BY ALL"""),
     "coverage_share": (coverage_share, f"WITH {BOXES}, g AS (SELECT x, y FROM range(64) t(x), range(64) s(y)) SELECT page, count(DISTINCT CASE WHEN x IS NOT NULL THEN x * 64 + y END) / 4096 AS coverage FROM b LEFT JOIN g ON (x + 0.5::DOUBLE) * (120 / 64) BETWEEN x0 AND x1 AND (y + 0.5::DOUBLE) * (120 / 64) BETWEEN y0 AND y1 GROUP BY page"),
     "nearest_right": (nearest_right, f"WITH {BOXES} SELECT a.page, a.box_idx, min(least(a.page_w::DOUBLE, coalesce(o.x0, a.page_w::DOUBLE))) AS max_x FROM b a LEFT JOIN b o ON a.page = o.page AND o.x0 > a.x0 AND NOT (o.y0 >= a.y1 OR o.y1 <= a.y0) GROUP BY a.page, a.box_idx"),
+    "nearest_below": (nearest_below, f"WITH {BOXES} SELECT a.page, a.box_idx, max(greatest(5.0::DOUBLE, coalesce(o.y1, 5.0::DOUBLE))) AS min_y FROM b a LEFT JOIN b o ON a.page = o.page AND o.y1 < a.y0 AND NOT (o.x0 >= a.x1 OR o.x1 <= a.x0) GROUP BY a.page, a.box_idx"),
     "overlap_pairs": (overlap_pairs, f"WITH {BOXES} SELECT a.page, a.box_idx AS first, o.box_idx AS second, least(a.y1, o.y1) - greatest(a.y0, o.y0) AS height, least(a.x1, o.x1) - greatest(a.x0, o.x0) AS width FROM b a JOIN b o ON a.page = o.page AND a.box_idx < o.box_idx AND a.x0 < o.x1 AND a.x1 > o.x0 AND a.y0 < o.y1 AND a.y1 > o.y0 AND NOT ((a.y0 >= o.y0 AND a.y1 <= o.y1) OR (o.y0 >= a.y0 AND o.y1 <= a.y1))"),
     "lifted_boxes": (lifted_boxes, f"WITH {BOXES}, g AS (SELECT *, CASE WHEN y1 - y0 < 36 THEN 0.5::DOUBLE ELSE 3.0::DOUBLE END AS gap FROM b), t AS (SELECT a.page, a.box_idx, any_value(a.y0) AS y0, any_value(a.y1) AS y1, max(o.y1) + any_value(a.gap) AS moved FROM g a LEFT JOIN b o ON a.page = o.page AND {_TOUCH} GROUP BY a.page, a.box_idx) SELECT page, box_idx, CASE WHEN moved < y1 THEN moved ELSE y0 END AS lifted FROM t"),
     "separated_overlaps": (separated_overlaps, None),
