@@ -101,6 +101,31 @@ def code_hex(code: Column, width: int) -> Column:
     return F.lpad(F.lower(F.hex(code)), 2 * width, "0")
 
 
+#: Blanks of a PDF file, and a length that names the object holding it.
+PDF_BLANK = r"[\x00\t\n\f\r ]"
+LENGTH_REFERENCE = rf"/Length{PDF_BLANK}+(\d+){PDF_BLANK}+(\d+){PDF_BLANK}+R"
+
+
+def inline_lengths(source: Column) -> Column:
+    """The source of a PDF file with lengths in place of references to them, filled up with blanks, so that every byte stays where it is.
+
+    source has a character for each byte (decode it as ISO-8859-1). Of objects of one number the last counts. A reference to no number, or to
+    one that takes more room than the reference, stays.
+    """
+    found = F.regexp_extract_all(source, F.lit(rf"(?<![\d.])(\d+{PDF_BLANK}+\d+{PDF_BLANK}+obj{PDF_BLANK}*\d+){PDF_BLANK}*endobj"), F.lit(1))
+    name = lambda x, pattern: F.concat_ws(" ", F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2))
+    objects = F.array_sort(F.transform(found, lambda x, i: F.struct(name(x, rf"^(\d+){PDF_BLANK}+(\d+)").alias("name"), i.alias("at"), F.regexp_extract(x, r"(\d+)$", 1).alias("value"))))
+    last = F.filter(objects, lambda o, i: ~F.coalesce(F.get(objects, i + 1)["name"] == o["name"], F.lit(False)))
+    values = F.map_from_entries(F.transform(last, lambda o: F.struct(o["name"], o["value"])))
+    parts = F.regexp_extract_all(source, F.lit(rf"(?s)({LENGTH_REFERENCE}|.+?(?={LENGTH_REFERENCE}|\z))"), F.lit(1))
+
+    def patched(part: Column) -> Column:
+        text = F.concat(F.lit("/Length "), F.try_element_at(values, name(part, f"^{LENGTH_REFERENCE}$")))
+        return F.when(part.startswith("/Length") & (F.length(text) <= F.length(part)), F.rpad(text, F.length(part), " ")).otherwise(part)
+
+    return F.when(source.contains("/Length"), F.array_join(F.transform(parts, patched), "")).otherwise(source)
+
+
 def substitute(template: Column, values: dict[str, Column]) -> Column:
     """$name by its value, and $$ by $; other text stays. Values are not looked through again."""
     parts = F.regexp_extract_all(template, F.lit(r"(\$\$|\$[_a-zA-Z][_a-zA-Z0-9]*|[^$]+|\$)"), F.lit(1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parchment.functions import text
 from parchment.operators import fonts
 from parchment.operators import paragraphs as P
 from parchment.plans.base import table
@@ -31,6 +32,13 @@ def page_formulas(spark, d):
     return P.formulas(_marked(spark, d), ["l_suppkey"], "ord")
 
 
+def inlined_lengths(spark, d):
+    """Orders as files of two numbers and one reference, which may be to neither; five digits fit into its place."""
+    k = F.col("o_orderkey")
+    source = F.concat(F.lit("0 0 obj 77 endobj "), (k % 3).cast("string"), F.lit(" 0 obj\n"), (k * 7).cast("string"), F.lit("\nendobj << /Length "), (k % 4).cast("string"), F.lit(" 0 R >> stream"))
+    return table(spark, d, "orders").select("o_orderkey", text.inline_lengths(source).alias("source"))
+
+
 def unicode_maps(spark, d):
     """Forty parts are a font, whose map says something of a few codes for each of them, in one of four kinds of blocks."""
     h = lambda n: F.concat(F.lit("<"), F.lpad(F.hex(n), 4, "0"), F.lit(">"))
@@ -68,6 +76,9 @@ r AS (
   FROM (SELECT r.*, c.* EXCLUDE (l_suppkey), CASE WHEN t = ' ' AND para >= 0 THEN cls WHEN t = '•' THEN 0 ELSE cc END AS k FROM r JOIN c ON r.l_suppkey = c.l_suppkey AND c.n = r.i + 1)))))))))) )"""
 
 QUERIES = {
+    "inlined_lengths": (inlined_lengths, r"""WITH o AS (SELECT o_orderkey, o_orderkey % 3 AS name, o_orderkey % 4 AS meant, o_orderkey * 7 AS n FROM orders),
+v AS (SELECT *, CASE WHEN meant = name THEN n WHEN meant = 0 THEN 77 END AS found FROM o)
+SELECT o_orderkey, '0 0 obj 77 endobj ' || name || E' 0 obj\n' || n || E'\nendobj << ' || CASE WHEN found < 100000 THEN rpad('/Length ' || found, 13, ' ') ELSE '/Length ' || meant || ' 0 R' END || ' >> stream' AS source FROM v"""),
     "unicode_maps": (unicode_maps, """WITH p AS (SELECT p_partkey AS p, p_partkey // 40 AS font, p_partkey % 61 AS code, CASE WHEN p_partkey % 7 = 0 THEN 160 WHEN p_partkey % 5 = 0 THEN 32 ELSE p_partkey % 90 + 34 END AS sign FROM part),
 s AS (SELECT font, p, code + k AS cid, sign + CASE WHEN p % 4 = 2 THEN k * 7 ELSE k END AS u FROM p, range(4) t(k) WHERE k < ([1, 4, 2, 3])[p % 4 + 1]),
 f AS (SELECT font, cid, arg_max(u, p) AS last, arg_max(u, p) FILTER (WHERE u <> 160) AS other FROM s GROUP BY ALL)

@@ -1,5 +1,8 @@
-"""Maps of fonts from codes to text."""
+"""Maps of fonts from codes to text, and lengths of streams."""
 
+from pyspark.sql import functions as F
+
+from parchment.functions import text
 from parchment.operators import fonts
 
 
@@ -26,3 +29,15 @@ def test_last_text_counts_but_blanks_stay(spark):
     entry = lambda *texts: "beginbfchar " + " ".join(f"<01> <{t}>" for t in texts) + " endbfchar"
     assert read(spark, entry("0041", "0042")) == {1: "B"} and read(spark, entry("0020", "00A0", "00A0")) == {1: " "}
     assert read(spark, entry("0041", "00A0")) == {1: "\u00a0"} and read(spark, entry("00A0", "0020")) == {1: " "} and read(spark, entry("0020", "0041", "00A0")) == {1: "\u00a0"}
+
+
+def test_lengths_stay_in_place(spark):
+    def patched(source):
+        return spark.createDataFrame([(source,)], "s string").select(text.inline_lengths(F.col("s")).alias("s")).first().s
+
+    assert patched("<< /Length 5 0 R >> x 5 0 obj 42 endobj") == "<< /Length 42    >> x 5 0 obj 42 endobj"
+    assert patched("5 0 obj 1 endobj /Length\n5\x000 R /Length 5 1 R 5 0 obj\n2\nendobj") == "5 0 obj 1 endobj /Length 2     /Length 5 1 R 5 0 obj\n2\nendobj"
+    for same in ("/Length 5 0 R 5 0 obj 1234567 endobj", "/Length 5 0 R 15 0 obj 1 endobj 1.5 0 obj 1 endobj", "/Length\u00a05 0 R 5 0 obj 1 endobj", "no", "", None, "/Length 3"):
+        assert patched(same) == same
+    long = "x" * 300_000 + "/Length 5 0 R" + "y" * 300_000 + " 5 0 obj 9 endobj"
+    assert patched(long) == long.replace("5 0 R", "9    ")
