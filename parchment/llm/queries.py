@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import chat, decontaminate, exact_dedup, jaccard, line_dedup, packing, quality, sharding, toxicity, warc
+from parchment.llm import chat, codes, decontaminate, exact_dedup, fingerprints, jaccard, line_dedup, packing, quality, sharding, toxicity, warc
 from parchment.llm.common import table, write_table
 
 #: What the tables label: two harms, the milder one first in the chain.
@@ -96,7 +96,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "verified")
 
 
-_OPERATORS = (op1_exact_dedup, op2_quality, op3_toxicity, op4_line_dedup, op5_chat_formatting, op6_sharding, op7_decontamination, op8_packing, op9_jaccard_join, op10_warc)
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = rows.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text"))).withColumn("edited_vector", fingerprints.vector(F.col("edited")))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+        fingerprints.written(F.col("vector")).alias("fingerprint"),
+        fingerprints.written(F.col("edited_vector")).alias("edited_fingerprint"),
+        fingerprints.vector_likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
+        fingerprints.vector_likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    coded = codes.with_group_error(coded, "label")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+_OPERATORS = (op1_exact_dedup, op2_quality, op3_toxicity, op4_line_dedup, op5_chat_formatting, op6_sharding, op7_decontamination, op8_packing, op9_jaccard_join, op10_warc, op11_fingerprints, op12_vector_codes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
