@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import chat, codes, decontaminate, exact_dedup, fingerprints, jaccard, line_dedup, packing, quality, sharding, toxicity, warc
+from parchment.llm import chat, codes, decontaminate, exact_dedup, fingerprints, jaccard, line_dedup, packing, phrases, quality, sharding, toxicity, warc
 from parchment.llm.common import table, write_table
 
 #: What the tables label: two harms, the milder one first in the chain.
@@ -116,7 +116,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
 
 
-_OPERATORS = (op1_exact_dedup, op2_quality, op3_toxicity, op4_line_dedup, op5_chat_formatting, op6_sharding, op7_decontamination, op8_packing, op9_jaccard_join, op10_warc, op11_fingerprints, op12_vector_codes)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (op1_exact_dedup, op2_quality, op3_toxicity, op4_line_dedup, op5_chat_formatting, op6_sharding, op7_decontamination, op8_packing, op9_jaccard_join, op10_warc, op11_fingerprints, op12_vector_codes, op13_phrases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

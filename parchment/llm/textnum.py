@@ -17,7 +17,7 @@ WORDS_AND_SIGNS = WORDS.copy()
 WORDS_AND_SIGNS[[c for c in range(0x21, 0x7F) if not WORDS[c]]] = 2
 
 
-def _tables(n: int) -> list[np.ndarray]:
+def tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         size = 1 << (n - 1).bit_length()
         for k, base in enumerate((_BASE, _INVERSE)):
@@ -47,7 +47,7 @@ def word_hashes(texts: list[bytes], classes: np.ndarray, prefixes: tuple[int, ..
     starts, ends = edges[:-1], edges[1:]
     real = kind[starts + 1] != 0 if len(edges) else np.zeros(0, bool)
     starts, ends = starts[real], ends[real]
-    power, inverse = _tables(len(block) + 1)
+    power, inverse = tables(len(block) + 1)
     sums = np.zeros(len(block) + 1, np.uint64)
     np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[: len(block)], out=sums[1:])
     of = lambda s, e: mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
