@@ -147,7 +147,7 @@ def _cut_points(keys: DataFrame, ranges: int) -> tuple[list[int], list[int]]:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """id, text, vector, next_text and next_vector: each document beside the next one by descending id (after the last: the first).
 
-    Ids are whole numbers; null ids come last, equal ids are in order of a hash of the text, null texts count as empty. Rows that
+    Ids are whole numbers; null ids (and -2**63) come last, equal ids are in order of a hash of the text, null texts count as empty. Rows that
     repeat id and text follow each other. One document is its own next.
 
     Ids are cut into ranges, 8 for each shuffle partition unless ranges says otherwise; the driver has the least id of each. The first row of a

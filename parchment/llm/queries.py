@@ -200,5 +200,51 @@ FROM g
 """
 
 
+def _op12(rounds: int = 6) -> str:
+    """Each round is a pair of tables: a(r), the nearest entry of each part, and b(r + 1), the codebooks after it."""
+    nearest = """a{r} AS (
+  SELECT vec_id, p, x, e, d FROM (
+    SELECT vec_id, parts.p AS p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN b{r} ON parts.p = b{r}.p
+  ) QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1
+)"""
+    moved = """s{r} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+    SELECT p, e, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY p, e, i
+  ) GROUP BY p, e
+), b{next} AS (SELECT p, e, coalesce(s{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN s{r} USING (p, e))"""
+    steps = [part.format(r=r, next=r + 1) for r in range(rounds) for part in (nearest, moved)] + [nearest.format(r=rounds)]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (SELECT vec_id, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM kept, range(8) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 16),
+{", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), books
+"""
+
+
+_OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+spots AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE len(w) > 0),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM spots, range(1, 5) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+inside AS (SELECT lang, array_to_string(w[i : i + j - 1], ' ') AS phrase, max(a) AS longer FROM cand, range(2, 4) t(j), range(1, 4) u(i) WHERE j < k AND i + j - 1 <= k GROUP BY ALL),
+kept AS (SELECT cand.* FROM cand LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+cuts AS (
+  SELECT kept.lang, kept.phrase, a, c, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS c FROM kept) kept
+  JOIN f x ON x.lang = kept.lang AND x.phrase = array_to_string(w[1 : c], ' ') JOIN f y ON y.lang = kept.lang AND y.phrase = array_to_string(w[c + 1 : kept.k], ' ')
+), scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op4_line_dedup": _OP4, "op5_chat_formatting": _OP5, "op7_decontamination": _OP7, "op10_warc": _OP10}
+    return {"op1_exact_dedup": _OP1, "op4_line_dedup": _OP4, "op5_chat_formatting": _OP5, "op7_decontamination": _OP7, "op10_warc": _OP10, "op12_vector_codes": _op12(), "op13_phrases": _OP13}
