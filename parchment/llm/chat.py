@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchment.llm.common import column
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -40,8 +42,8 @@ def expand_targets(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     The examples of one conversation together are as long as its length times its assistant turns: that is what the
     method asks for. Conversations are grouped once, and their turns are all that a group holds.
     """
-    role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    convs = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")))).alias("turns"))
+    role, text = F.coalesce(column(role_col), F.lit("")), F.coalesce(column(text_col), F.lit(""))
+    convs = turns.groupBy(column(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(column(turn_col).alias("turn"), role.alias("role"), text.alias("text")))).alias("turns"))
     coded = F.transform("turns", lambda t: F.struct(F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("reply")))
     convs = convs.select("conv_id", coded.alias("turns"))
     whole = lambda t: F.concat(t["head"], t["body"], F.lit(f"{END}\n"))

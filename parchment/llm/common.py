@@ -88,3 +88,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: s
     if how == "inner":
         met = met.filter(column(group).isNotNull())
     return met.select(*map(column, rows.columns), *[F.col(f"{quoted(group)}.{quoted(c)}").alias(c) for c in others])
+
+
+def one_each(rows: DataFrame, keys: list[str], repeated: DataFrame) -> DataFrame:
+    """rows with n, the number of rows that one stands for. Of rows with the keys of repeated (the keys and n, written) one is left.
+
+    The others have n = 1. Copies go before anything is shuffled by key, so a key may have any number. keys aren't null.
+    """
+    if repeated.isEmpty():
+        return rows.withColumn("n", F.lit(1).cast("long"))
+    met = join_groups(rows, repeated, keys, "n", F.monotonically_increasing_id())
+    others = [c for c in rows.columns if c not in keys]
+    one = met.filter(F.col("n").isNotNull()).groupBy(*map(column, keys)).agg(*[F.first(column(c)).alias(c) for c in [*others, "n"]])
+    return met.filter(F.col("n").isNull()).withColumn("n", F.lit(1).cast("long")).unionByName(one.select(*map(column, met.columns)))

@@ -1,28 +1,31 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the benchmark's words scans each text once.
 
 A window of 13 words always holds a whole one of the pieces of 7 words that its item is cut into. So the automaton has
-the pieces, not the windows, and is about as large as the items. Where a piece occurs, the words on both sides are
-compared with the item's, and a run of 13 equal words or more is a run of windows.
+the pieces, not the windows, and is about as large as the items. A text without any piece ends there. In the others, the hash
+that rolls over each 13 words is looked up among those of all windows, and what is found is compared word by word. So a
+text takes time in proportion to its words, however often they repeat in it or in an item.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.common import column, inside, packed, unpacked, write_table
+from parchment.llm.textnum import mix
 from parchment.sources.scratch import scratch_path
 
 #: Bytes that make words, after lower-casing A-Z: digits, letters, and all of other characters; the rest part words.
 _TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+_ROLL = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words of an item in one segment at most; a longer item is several, which overlap by a window less one word.
 SEGMENT_WORDS = 20_000
@@ -33,45 +36,68 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Matcher:
-    """An automaton over the pieces of items (id, words), and what it takes to grow a piece found into a run."""
+    """An automaton over the pieces of items (id, words), and the different windows of each length with the items that have them."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int) -> None:
-        self.items, self.width, self.automaton = items, width, ahocorasick.Automaton()
-        step, places = (width + 1) // 2, {}
-        for k, (_, words) in enumerate(items):
+        self.width, self.automaton = width, ahocorasick.Automaton()
+        step = (width + 1) // 2
+        for _, words in items:
             for at in range(0, len(words) - step + 1, step) if len(words) >= width else (0,):
-                places.setdefault(b" ".join(words[at : at + step] if len(words) >= width else words), []).append((k, at))
-        for piece, found in places.items():
-            self.automaton.add_word(f" {piece.decode('latin-1')} ", (len(piece), found))
-        if places:
+                self.automaton.add_word(f" {b' '.join(words[at : at + step] if len(words) >= width else words).decode('latin-1')} ", True)
+        if items:
             self.automaton.make_automaton()
-
-    def runs(self, words: list[bytes]) -> Iterator[tuple[int, int, str]]:
-        """First word, last word (not included) and item of each run of windows in a text, in any order."""
-        if not words or not len(self.automaton):
-            return
-        starts, at = [], 1
-        for w in words:
-            starts.append(at)
-            at += len(w) + 1
-        done: dict[tuple[int, int], int] = {}
-        for end, (length, places) in self.automaton.iter(f" {b' '.join(words).decode('latin-1')} "):
-            p = bisect_left(starts, end - length)
-            for k, at in places:
-                item, own = self.items[k]
-                if len(own) < self.width:
-                    yield p, p + len(own), item
-                    continue
-                if done.get((k, p - at), 0) > p:
-                    continue
-                first = last = 0
-                while at - first > 0 and p - first > 0 and own[at - first - 1] == words[p - first - 1]:
-                    first += 1
-                while at + last < len(own) and p + last < len(words) and own[at + last] == words[p + last]:
-                    last += 1
-                done[k, p - at] = p + last
-                if first + last >= self.width:
-                    yield p - first, p + last, item
+        names = sorted({item for item, _ in items})
+        self.names, of_name = np.array(names, object), {name: k for k, name in enumerate(names)}
+        self.number: dict[bytes, int] = {}
+        ids = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64) for _, words in items]
+        self.words = np.concatenate([np.zeros(0, np.int64), *ids])
+        starts = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int64)
+        places: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, (item, words) in enumerate(items):
+            n = min(width, len(words))
+            places.setdefault(n, []).append((np.arange(starts[k], starts[k] + len(words) - n + 1), of_name[item]))
+        self.windows = {n: self._distinct(n, np.concatenate([p for p, _ in own]), np.repeat([i for _, i in own], [len(p) for p, _ in own])) for n, own in places.items()}
+
+    def _rolled(self, ids: np.ndarray, n: int) -> np.ndarray:
+        """A hash of each n numbers that follow each other."""
+        out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+        mixed = mix(ids.astype(np.uint64))
+        for k in range(n):
+            out = out * _ROLL + mixed[k : k + len(out)]
+        return mix(out)
+
+    def _distinct(self, n: int, at: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of the different windows of n words, where each stands, and the items that have it, one list after another."""
+        hashes = self._rolled(self.words, n)[at]
+        order = np.lexsort((item, hashes))
+        hashes, at, item = hashes[order], at[order], item[order]
+        new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        group = np.cumsum(new) - 1
+        if (self._at(at, n) != self._at(at[new][group], n)).any():
+            raise RuntimeError("two windows have one hash of 64 bits")
+        once = np.concatenate(([True], (group[1:] != group[:-1]) | (item[1:] != item[:-1])))
+        first = np.searchsorted(group[once], np.arange(group[-1] + 2))
+        return hashes[new], at[new], first, item[once]
+
+    def _at(self, at: np.ndarray, n: int) -> np.ndarray:
+        return self.words[at[:, None] + np.arange(n)]
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
+        """Ranges of words that windows cover (first, and last not included), and the items that have these windows, in order."""
+        if not words or not len(self.automaton) or next(self.automaton.iter(f" {b' '.join(words).decode('latin-1')} "), None) is None:
+            return [], []
+        ids = np.fromiter((self.number.get(w, 0) for w in words), np.int64, len(words))
+        edges, items = np.zeros(len(words) + 1, np.int64), []
+        for n, (hashes, at, first, item) in self.windows.items():
+            rolled = self._rolled(ids, n)
+            found = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
+            here = np.flatnonzero(hashes[found] == rolled)
+            here = here[(ids[here[:, None] + np.arange(n)] == self._at(at[found[here]], n)).all(axis=1)]
+            np.add.at(edges, here, 1)
+            np.add.at(edges, here + n, -1)
+            items += [item[first[g] : first[g + 1]] for g in np.unique(found[here])]
+        change = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(edges)[:-1] > 0, [False]))))
+        return list(zip(change[::2].tolist(), change[1::2].tolist(), strict=True)), self.names[np.unique(np.concatenate(items))].tolist() if items else []
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -117,8 +143,7 @@ def _scanner(block: Broadcast, width: int):
             out = []
             for text in texts.to_pylist():
                 words = words_of(text)
-                runs = list(_matchers[name].runs(words))
-                out.append(_hit(text, words, merged([r[:2] for r in runs]), [r[2] for r in runs]))
+                out.append(_hit(text, words, *_matchers[name].find(words)))
             yield pa.array(out, _HIT_ARROW)
 
     return scanned
@@ -178,7 +203,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "i
     make up a twentieth of all or more. Null and empty texts have no words, and items without words no windows.
     A null item id is the item "None". Columns of docs with the new names are replaced; other names are free.
 
-    The benchmark's words are broadcast in blocks of about block_bytes, of which deal() checks the size; the automaton takes some 40 bytes for each. With one
+    The benchmark's words are broadcast in blocks of about block_bytes, of which deal() checks the size; the automaton and the windows take some 100 bytes for each. With one
     block, as of any usual benchmark, nothing is shuffled. With more, docs are written with a number for each row, each block is
     scanned for and its hits written before the next is read, and hits meet their rows by the number.
     """

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchment.llm.common import column, join_groups, shuffle_partitions, without, write_table
+from parchment.llm.common import column, one_each, shuffle_partitions, without, write_table
 
 LANES, LANE_BITS = 16, 32
 SKETCH, SKETCH_BITS = 128, 24
@@ -158,14 +158,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     # the complement puts greater ids first and never overflows
     rows = rows.select("id", "text", F.col("id").isNull().alias("none"), F.coalesce(F.bitwise_not("id"), F.lit((1 << 63) - 1)).alias("o"), F.xxhash64("text").alias("h"))
     keys = write_table(rows.groupBy("none", "o", "h").agg(F.count("*").alias("n")), "keys")
-    repeated = keys.filter("n > 1")
-    repeats = not repeated.isEmpty()
-    if repeats:
-        met = join_groups(rows, write_table(repeated, "repeated-documents"), ["none", "o", "h"], "n", F.monotonically_increasing_id())
-        one = met.filter(F.col("n").isNotNull()).groupBy("none", "o", "h").agg(*[F.first(c).alias(c) for c in ("id", "text", "n")])
-        rows = met.filter(F.col("n").isNull()).withColumn("n", F.lit(1).cast("long")).unionByName(one.select(*met.columns))
-    else:
-        rows = rows.withColumn("n", F.lit(1).cast("long"))
+    repeated = write_table(keys.filter("n > 1"), "repeated-documents")
+    rows = one_each(rows, ["none", "o", "h"], repeated)
 
     low, high = _cut_points(keys, ranges or 8 * shuffle_partitions(docs.sparkSession))
     n = len(low)
@@ -183,7 +177,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     follows = Window.partitionBy("range").orderBy("guest", "o", "h")
     out = dealt.select("id", "text", "vector", "n", "guest", *[F.lead(c).over(follows).alias(f"next_{c}") for c in ("text", "vector")]).filter(~F.col("guest"))
-    if repeats:
+    if not repeated.isEmpty():
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
         out = out.withColumns({f"next_{c}": F.when(F.col("copy") < F.col("n"), F.col(c)).otherwise(F.col(f"next_{c}")) for c in ("text", "vector")})
     return out.select("id", "text", "vector", "next_text", "next_vector")

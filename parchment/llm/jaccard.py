@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructType
 
-from parchment.llm.common import column, join_groups, write_table
+from parchment.llm.common import column, join_groups, one_each, write_table
 from parchment.llm.textnum import WORDS, blocks, mix, word_hashes
 
 COORDINATES = 64
@@ -260,8 +260,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = write_table(held, "held")
 
     of_rep = held.groupBy("rep").agg(F.collect_list(F.struct("leaf", "parts")).alias("in_leaves"))
-    wanted = classes.select("rep", "copies", "first.id", "first.text_hash").join(of_rep, "rep")
-    texts = keyed.alias("k").join(wanted.alias("w"), F.col("k.id").eqNullSafe(F.col("w.id")) & (F.col("k.text_hash") == F.col("w.text_hash"))).select("rep", "copies", "text", "in_leaves")
+    # an id and a text that rows repeat are one row before they meet their leaves
+    key = [F.col("id").isNull().alias("none"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), "text_hash"]
+    repeated = write_table(sets.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"), "repeated-rows")
+    once = one_each(keyed.select(*key, "text"), ["none", "key", "text_hash"], repeated)
+    wanted = classes.select("rep", "copies", "first.id", "first.text_hash").select("rep", "copies", *key).join(of_rep, "rep")
+    texts = once.join(wanted, ["none", "key", "text_hash"]).select("rep", "copies", "text", "in_leaves")
     dealt = texts.select("rep", "copies", "text", F.col("in_leaves.leaf").alias("leaves"), F.explode("in_leaves").alias("l")).select("*", "l.leaf", "l.parts").drop("l")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep", "leaf"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "parts")

@@ -53,10 +53,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = windows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(where).alias("keep")).filter("n > 1")
     repeated = write_table(repeated, "repeated-windows")
     cuts = join_groups(windows, repeated, ["a", "b"], "n", F.xxhash64(where), how="inner").filter(~F.col("keep").eqNullSafe(where))
-    cuts = cuts.groupBy(F.col("id").alias("cut_id"), F.col("text").alias("cut_text")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cuts"))
+    # rows that repeat id and text cut the same windows: their number is that of all cuts by that of different ones
+    name = lambda c: [c.isNull().alias("none"), F.coalesce(c.cast("string"), F.lit("")).alias("key")]
+    cuts = cuts.groupBy(*name(F.col("id")), "text").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cuts"), F.count("*").alias("n"))
+    cuts = write_table(cuts.withColumn("n", F.expr("n div size(cuts)")), "cuts")
 
-    keyed = docs.select(packed(docs, "n_lines", "n_removed", "removed"), column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("text"))
-    met = keyed.join(cuts, F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("text") == F.col("cut_text")), "left").select("row", F.coalesce("cuts", F.array().cast(_RANGES)).alias("cuts"))
+    keyed = docs.select(packed(docs, "n_lines", "n_removed", "removed"), *name(column(id_col)), F.xxhash64(column(text_col)).alias("text"))
+    met = join_groups(keyed, cuts, ["none", "key", "text"], "n", F.monotonically_increasing_id()).select("row", F.coalesce("cuts", F.array().cast(_RANGES)).alias("cuts"))
     # later cuts end no earlier than earlier ones, so a merged cover starts where a cut doesn't reach the one before it,
     # and ends where one isn't reached by the next
     starts = F.filter("cuts", lambda c, i: (i == 0) | (c["first"] > F.get("cuts", i - 1)["last"] + 1))

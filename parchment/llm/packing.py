@@ -5,9 +5,11 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from parchment.llm.common import column, write_table
 
@@ -57,7 +59,7 @@ def pack(docs: DataFrame, tokens: Column, id_col: str = "doc_id", lengths: tuple
     in which rows that repeat another have places of their own. For each pool every permitted length
     is tried as the least to open, and the plan of least total cost is kept. A bin is named "<pool>-<number>".
     Rows that repeat an id get bins of their own, part by part. No rows give no bins. Tokens are counted once: ids and
-    counts are written to the shared folder.
+    counts are written to the shared folder. Ids are of any type that can be sorted; those equal to others are kept as they are.
     """
     lengths = tuple(sorted(lengths))
     top = lengths[-1]
@@ -67,15 +69,18 @@ def pack(docs: DataFrame, tokens: Column, id_col: str = "doc_id", lengths: tuple
     n = rows.agg(F.sum(F.expr(f"(tokens - 1) div {top} + 1"))).first()[0] or 0
     pools = max(1, round(n / pool_rows))
 
-    def packed(got: pd.DataFrame) -> pd.DataFrame:
-        got = got.sort_values(["n_tokens", "id", "part"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    def packed(got: pa.Table) -> pa.Table:
+        got = got.take(pc.sort_indices(got, [("n_tokens", "descending"), ("id", "ascending"), ("part", "ascending")]))
         plans = [best_fit(got["n_tokens"].to_numpy(), lengths, least) for least in lengths]
         bins, offsets, chosen, contents = min(plans, key=lambda p: sum(map(bin_cost, p[2].tolist())))
-        return pd.DataFrame(
-            {"id": got["id"], "part": got["part"], "start": got["start"], "n_tokens": got["n_tokens"], "bin": [f"{p}-{b}" for p, b in zip(got["pool"], bins, strict=True)], "bin_length": chosen[bins], "bin_tokens": contents[bins], "bin_offset": offsets}
-        )
+        name = pa.array([f"{p}-{b}" for p, b in zip(got["pool"].to_pylist(), bins.tolist(), strict=True)])
+        # ids stay as they are: pandas would make numbers beside a null floats
+        new = [name, *(pa.array(x, pa.int64()) for x in (chosen[bins], contents[bins], offsets))]
+        return pa.table([*(got[c] for c in ("id", "part", "start", "n_tokens")), *new], ["id", "part", "start", "n_tokens", "bin", "bin_length", "bin_tokens", "bin_offset"])
 
-    id_type = dict(rows.dtypes)["id"]
+    out_type = StructType([StructField("id", rows.schema["id"].dataType)])
+    for c in ("part", "start", "n_tokens", "bin", "bin_length", "bin_tokens", "bin_offset"):
+        out_type = out_type.add(c, "string" if c == "bin" else "long")
     dealt = parts.withColumn("pool", F.pmod(F.xxhash64("id", "part", "row"), F.lit(pools))).drop("row")
-    out = dealt.groupBy("pool").applyInPandas(packed, f"id {id_type}, part long, start long, n_tokens long, bin string, bin_length long, bin_tokens long, bin_offset long")
+    out = dealt.groupBy("pool").applyInArrow(packed, out_type)
     return out.withColumnRenamed("id", id_col)

@@ -8,11 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchment.llm.common import column, join_groups, packed, unpacked, without, write_table
+from parchment.llm.common import column, join_groups, packed, unpacked, write_table
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
-    """The shard, of so many, that gives the key its highest hash; with one more shard, a key stays or goes to that one."""
+    """The shard, of so many, that gives the key its highest hash; with one more shard, a key stays or goes to that one.
+
+    Null keys have one shard, as keys that are equal have; texts are keys too.
+    """
     return F.array_max(F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(k), key).alias("hash"), F.lit(k).alias("shard")) for k in range(shards)]))["shard"]
 
 
@@ -31,6 +34,24 @@ def fisher_yates(items: Column, n: Column, draw) -> Column:
     return F.aggregate(swaps, items, swap)
 
 
+def _hashable(docs: DataFrame, *but: str) -> list[Column]:
+    """All columns of docs, each with whether it is null, which xxhash64 skips; maps, which it doesn't take, as JSON."""
+    kinds = {c: f.dataType.simpleString() for c, f in zip(docs.columns, docs.schema, strict=True) if c.lower() not in but}
+    return [x for c, kind in kinds.items() for x in (column(c).isNull(), F.to_json(F.struct(column(c))) if "map<" in kind or "variant" in kind else column(c))]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with copy, from 1 on among those of equal a and b; which row gets which number is left open.
+
+    Rows are written as they lie. Each task's rows of a group are numbered by themselves, after those of the tasks before.
+    """
+    rows = write_table(rows.select("*", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")), "copies")
+    before = Window.partitionBy("a", "b").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("a", "b", "task").agg(F.count("*").alias("own")).select("a", "b", "task", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("a", "b", "task").orderBy("at")))
+    return own.join(counts, ["a", "b", "task"]).withColumn("copy", (F.col("before") + F.col("own")).cast("long"))
+
+
 def shuffle_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = 20, bucket_bytes: int = 16 << 20, bucket_rows: int = 256) -> DataFrame:
     """All columns of docs, and size, shard, bucket, slot and grown_shard; a row has its place in a random order of its shard.
 
@@ -41,18 +62,16 @@ def shuffle_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     size is the UTF-8 bytes of the text plus 1; grown_shard is the shard if there were one shard more.
 
     A null text has size 1, null ids share a shard. Ties in the hash go to the highest shard number. Shards may be empty, then
-    they have no rows. Rows equal in all columns are counted, and where there are more than a quarter of bucket_rows the
-    copies are numbered and scattered like other rows. Columns of docs with the new names are replaced; other names are free.
+    they have no rows. Each row travels as it is. Rows whose hashes over all columns agree are counted, and where there are more than
+    a quarter of bucket_rows they are written and numbered, so that they are scattered like other rows. Columns of docs with the new names are replaced; other names are free.
     """
-    rest = [c for c, name in zip(without(docs, id_col, text_col), [c for c in docs.columns if c.lower() not in (id_col.lower(), text_col.lower())], strict=True) if name.lower() not in ("size", "shard", "bucket", "slot", "grown_shard")]
-    whole = [column(id_col), column(text_col), *([F.to_json(F.struct(*rest))] if rest else [])]
+    new = ("size", "shard", "bucket", "slot", "grown_shard")
     rows = docs.select(
-        packed(docs, "size", "shard", "bucket", "slot", "grown_shard"),
+        packed(docs, *new),
         (F.coalesce(F.octet_length(column(text_col)), F.lit(0)) + 1).cast("long").alias("size"),
         shard_of(column(id_col), shards, seed).alias("shard"),
         shard_of(column(id_col), shards + 1, seed).alias("grown_shard"),
-        F.xxhash64(F.lit(seed + 1), *whole).alias("a"),
-        F.xxhash64(F.lit(seed + 2), *whole).alias("b"),
+        *[F.xxhash64(F.lit(seed + k), *_hashable(docs, *new)).alias(name) for k, name in ((1, "a"), (2, "b"))],
     )
     counted = write_table(rows.groupBy("a", "b").agg(F.first("shard").alias("shard"), F.count("*").alias("n"), F.sum("size").alias("bytes")), "row-hashes")
     total = counted.agg(F.sum("bytes").cast("long").alias("bytes"), F.sum("n").cast("long").alias("n")).first()
@@ -60,19 +79,16 @@ def shuffle_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     often = F.col("n") > max(1, bucket_rows // 4)
     bucket = F.pmod(F.xxhash64(F.lit(seed + 3), "a", "b", "copy"), F.lit(buckets)).cast("int").alias("bucket")
 
+    scattered = rows.withColumn("copy", F.lit(0).cast("long"))
+    repeated = write_table(counted.filter(often).select("a", "b", "n"), "repeated-rows")
+    if not repeated.isEmpty():
+        met = join_groups(rows, repeated, ["a", "b"], "n", F.monotonically_increasing_id())
+        scattered = met.filter(F.col("n").isNull()).withColumn("copy", F.lit(0).cast("long")).select(*scattered.columns).unionByName(_numbered(met.filter(F.col("n").isNotNull())).select(*scattered.columns))
     cells = counted.select("shard", "a", "b", F.explode(F.when(often, F.sequence(F.lit(1).cast("long"), "n")).otherwise(F.array(F.lit(0).cast("long")))).alias("copy"), F.when(often, 1).otherwise(F.col("n")).alias("n"))
     places = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select("shard", bucket, "n").groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     offsets = offsets.select("shard", "bucket", F.coalesce(F.sum("n").over(places), F.lit(0)).alias("offset"))
 
-    scattered = rows.withColumn("copy", F.lit(0).cast("long"))
-    repeated = counted.filter(often).select("a", "b", "n")
-    if not repeated.isEmpty():
-        met = join_groups(rows.withColumn("at", F.monotonically_increasing_id()), write_table(repeated, "repeated-rows"), ["a", "b"], "n", F.col("at")).drop("at")
-        one = met.filter(F.col("n").isNotNull()).groupBy("a", "b").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("row", "size", "shard", "grown_shard")])
-        one = one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-        scattered = met.filter(F.col("n").isNull()).withColumn("copy", F.lit(0).cast("long")).select(*scattered.columns).unionByName(one.select(*scattered.columns))
-
     entry = F.struct(F.xxhash64(F.lit(seed + 4), "a", "b", "copy").alias("order"), "row", "size", "grown_shard")
     full = scattered.select("shard", bucket, entry.alias("entry")).groupBy("shard", "bucket").agg(F.collect_list("entry").alias("entries"))
     full = full.join(offsets, ["shard", "bucket"]).sortWithinPartitions("shard", "bucket")
@@ -84,5 +100,8 @@ def shuffle_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write the shards as folders shard=0, shard=1 and so on; the rows of a bucket lie in one file, in order of slot."""
+    """Write the shards as folders shard=0, shard=1 and so on; the rows of a bucket lie in one file, in order of slot.
+
+    Null and empty texts are rows like others. No rows give a folder without shards.
+    """
     sharded.write.partitionBy("shard").parquet(path)
