@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.llm import decontaminate, jaccard, line_dedup, packing, toxicity
-from parchment.llm.common import inside, packed, table, unpacked, without, write_table
+from parchment.llm.common import inside, join_groups, packed, table, unpacked, without, write_table
 from parchment.llm.queries import HARMS, harms, held_out, words
 
 
@@ -35,15 +35,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class stays: the one that jaccard_join keeps. Documents without words are no class and stay."""
     found = jaccard.jaccard_join(docs.select("doc_id", "text"))
-    found = found.groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_text")).agg(F.bool_or("kept").alias("one"), F.bool_and("kept").alias("all"))
+    key = lambda text: [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), text.alias("text")]
+    found = found.groupBy(*key(F.col("text_hash"))).agg(F.bool_or("kept").alias("one"), F.bool_and("kept").alias("all"), F.count("*").alias("n"))
     found = write_table(found.filter(~F.col("all")).drop("all"), "near-duplicates")
-    keyed = docs.select(packed(docs), "doc_id", F.xxhash64("text").alias("text"))
-    same = keyed["doc_id"].eqNullSafe(found["found_id"]) & (keyed["text"] == found["found_text"])
-    rest = keyed.join(found, same, "left_anti")
-    if not found.filter("one").isEmpty():
-        # rows that repeat both id and text, of which one stays
-        one = keyed.join(found.filter("one"), same, "left_semi").groupBy("doc_id", "text").agg(F.first("row").alias("row"))
-        rest = rest.unionByName(one)
+    met = join_groups(docs.select(packed(docs), *key(F.xxhash64("text"))), found, ["none", "key", "text"], "n", F.monotonically_increasing_id())
+    # rows that repeat both id and text, of which one stays
+    one = met.filter("one").groupBy("none", "key", "text").agg(F.first("row").alias("row"))
+    rest = met.filter(F.col("one").isNull()).select("row").unionByName(one.select("row"))
     return rest.select(*unpacked(rest))
 
 
