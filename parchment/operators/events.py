@@ -35,6 +35,17 @@ def retain(events: DataFrame, key: str, most: int = MOST, kept: int = KEPT, seq:
     return numbered.filter(~long | (F.col("__first") == 1) | (F.col("__last") <= kept - 1)).drop("__first", "__last")
 
 
+def retain_one_by_one(events: DataFrame, key: str, most: int = MOST, kept: int = KEPT, seq: str = "seq") -> DataFrame:
+    """What is left of logs whose events came one by one, each log being cut to its first and its last kept - 1 whenever it has more than most.
+
+    So a log of n events, more than most, has kept + (n - most - 1) modulo (most - kept + 1) left. seq counts from 1 without a gap.
+    """
+    sizes = events.groupBy(F.col(key).alias("__key")).agg(F.max(seq).alias("__n"))
+    left = F.when(F.col("__n") <= most, F.col("__n")).otherwise(kept + F.pmod(F.col("__n") - most - 1, F.lit(most - kept + 1)))
+    met = events.join(sizes, F.col(key).eqNullSafe(F.col("__key")))
+    return met.filter((F.col(seq) == 1) | (F.col(seq) > F.col("__n") - left + 1)).drop("__key", "__n")
+
+
 def merge(known: DataFrame, pushed: DataFrame, key: str, cap: int = MOST, seq: str = "seq") -> DataFrame:
     """The union by key and seq, in which a pushed event replaces the known one; the newest cap of each key stay."""
     both = known.withColumn("__new", F.lit(0)).unionByName(pushed.withColumn("__new", F.lit(1)))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parchment.plans.base import table
+from parchment.operators import events
+from parchment.plans.base import NOW, table
+from parchment.plans.base import logs as event_logs
 from parchment.plans.events import QUERIES as EVENTS
 from parchment.plans.events import job_outcome
 from parchment.sources import library
 from parchment.sources.scratch import scratch_path
-from parchment.streaming import logs
+from parchment.streaming import jobs, logs
 
 
 def _lines(spark, d):
@@ -79,6 +81,57 @@ def stream_lifecycle(spark, d):
     return logs.collect_in_order(e, F.col("seq"), logs.lifecycle, ["user_id"], "seq", "update")
 
 
+def _job_events(spark, d):
+    e = event_logs(spark, d).withColumnRenamed("seq", "event_id")
+    ts = F.col("ts").cast("timestamp")
+    return events.number(e, "user_id", ["event_id"]).select("user_id", F.col("seq").alias("n"), ts.alias("ts"), F.unix_millis(ts).alias("t_ms"), job_outcome().alias("outcome"), (F.col("value") > 60).alias("permanent"))
+
+
+def stream_job_timers(spark, d):
+    """Jobs at the moment that queries take as now. The log's files have events in no order; retries come due by timers."""
+    return jobs.run_jobs(_job_events(spark, d).repartition(8, F.xxhash64("t_ms", "user_id")), "user_id", NOW)
+
+
+def _append(spark, d):
+    """A log of the events of even number, to which the others are then added; values under 5 break the rules."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    source = scratch_path(spark, "events")
+    log = jobs.NumberedLog(spark, scratch_path(spark, "numbered-log"), e.schema, "user_id", ["event_id"], F.col("value") >= 5)
+    for part in (0, 1):
+        e.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(source)
+        log.append(source, files_per_trigger=1 << 20)
+    return log
+
+
+def event_append(spark, d):
+    return events.retain_one_by_one(_append(spark, d).read(), "user_id", 50, 40).select("user_id", "seq", "event_id", "event_type")
+
+
+def event_refused(spark, d):
+    return _append(spark, d).read("refused").select("user_id", "event_id", "value")
+
+
+_TIMERS = f"""
+WITH RECURSIVE n AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, epoch_ms(ts) AS t_ms, value > 60 AS permanent,
+    CASE WHEN event_type = 'click' AND value < 20 THEN 'cancel' WHEN event_type IN ('view', 'click') THEN 'start' WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'signup' THEN 'recover' ELSE event_type END AS outcome
+  FROM events
+), f AS (
+  SELECT user_id, 0::BIGINT AS i, 'queued' AS status, 0::BIGINT AS attempts, 0::BIGINT AS due, 0::BIGINT AS resumed FROM n GROUP BY user_id
+  UNION ALL
+  SELECT user_id, i,
+    CASE WHEN outcome = 'cancel' AND was IN ('queued', 'processing', 'retrying') THEN 'cancelled' WHEN outcome = 'start' AND was = 'queued' THEN 'processing' WHEN outcome = 'done' AND was IN ('processing', 'cancelled') THEN 'completed'
+      WHEN outcome = 'recover' AND was IN ('processing', 'retrying') THEN 'queued' WHEN failed THEN CASE WHEN again THEN 'retrying' ELSE 'failed' END ELSE was END,
+    attempts + failed::INT, CASE WHEN failed AND again THEN t_ms + 20000 * (attempts + 1) ELSE due END, resumed
+  FROM (
+    SELECT *, outcome = 'error' AND was = 'processing' AS failed, NOT permanent AND attempts + 1 < 3 AS again FROM (
+      SELECT n.user_id, n.i, n.t_ms, n.permanent, n.outcome, f.attempts, f.due, CASE WHEN f.status = 'retrying' AND f.due <= n.t_ms THEN 'queued' ELSE f.status END AS was, f.resumed + (f.status = 'retrying' AND f.due <= n.t_ms)::INT AS resumed
+      FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1
+    )
+  )
+) SELECT user_id, i AS seq, CASE WHEN late THEN 'queued' ELSE status END AS status, attempts, resumed + late::INT AS resumed
+FROM (SELECT *, status = 'retrying' AND due < epoch_ms(TIMESTAMP '{NOW}') AS late FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1)"""
+
 QUERIES = {
     "events_jsonl_scan": (events_jsonl_scan, "SELECT user_id::VARCHAR AS doc_id, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, value * 3 AS progress, event_type AS message FROM events WHERE event_id % 10 > 1 AND value * 3 BETWEEN 0 AND 100"),
     "events_jsonl_broken": (events_jsonl_broken, "SELECT user_id::VARCHAR AS doc_id, count(*) AS n FROM events WHERE event_id % 10 = 0 OR (event_id % 10 > 1 AND value * 3 > 100) GROUP BY user_id"),
@@ -89,4 +142,10 @@ QUERIES = {
     "stream_once": (stream_once, "SELECT user_id, count(*) AS n, max(event_id) AS last_seq FROM events GROUP BY user_id"),
     "stream_throttle": (stream_throttle, "SELECT user_id, time_bucket(INTERVAL 10 HOURS, ts, TIMESTAMP '1970-01-01') AS slot, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY ALL"),
     "stream_lifecycle": (stream_lifecycle, f"SELECT user_id, seq, status, attempts FROM ({EVENTS['job_lifecycle'][1]}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1"),
+    "stream_job_timers": (stream_job_timers, _TIMERS),
+    "event_append": (event_append, """
+WITH a AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2, event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value >= 5),
+b AS (SELECT *, CASE WHEN n <= 50 THEN n ELSE 40 + (n - 51) % 11 END AS left_over FROM a)
+SELECT user_id, seq, event_id, event_type FROM b WHERE seq = 1 OR seq > n - left_over + 1"""),
+    "event_refused": (event_refused, "SELECT user_id, event_id, value FROM events WHERE value < 5 OR value IS NULL"),
 }
