@@ -128,22 +128,31 @@ def classify_body(lower: Column) -> Column:
     return found.when(lower.contains("insufficient") & lower.rlike("balance|quota|credit"), "credential")
 
 
+#: Kinds of errors that the HTTP status alone decides. Fixed values.
+STATUS_KINDS = {
+    "credential": [401, 402],
+    "fatal": [404],
+    "transient": [408, 409, 425, 500, 502, 503, 504, 520, 521, 522, 523, 524, 525, 526, 527, 528, 529],
+    "oversized": [413],
+}
+#: What the statuses are that leave the kind to the body, where the body says nothing. Fixed values.
+UNSAID_KINDS = {"rejected": [400, 422], "fatal": [403]}
+
+
 def classify_http(status: Column, body: Column) -> Column:
-    """The kind of a provider's error by its HTTP status and, where that leaves it open, by what the body says."""
-    lower = F.lower(body)
-    said = classify_body(lower)
-    return (
-        F.when(status.isin(401, 402), "credential")
-        .when(status == 403, F.when(lower.contains("rate") & lower.contains("limit"), "rateLimited").otherwise(F.coalesce(said, F.lit("fatal"))))
-        .when(status == 404, "fatal")
-        .when(status.isin(408, 409, 425, 500, 502, 503, 504) | status.between(520, 529), "transient")
-        .when(status == 429, F.when(lower.contains("insufficient") | lower.contains("exceeded your current quota"), "credential").otherwise("rateLimited"))
-        .when(status == 413, "oversized")
-        .when(status.isin(400, 422), F.coalesce(said, F.lit("rejected")))
-        .when(status.between(400, 499), "rejected")
-        .when(status.between(200, 299), F.coalesce(said, F.lit("transient")))
-        .otherwise("transient")
-    )
+    """The kind of a provider's error by its HTTP status and, where that leaves it open, by what the body says.
+
+    The statuses of STATUS_KINDS have theirs; those of UNSAID_KINDS and successes have what the body says. Too many requests, and a forbidden one
+    whose body speaks of a rate limit, are rate limits, unless a 429 is for want of credit. Of what is left, 4xx is rejected and all else transient.
+    """
+    table = lambda kinds: F.create_map(*[F.lit(x) for kind, codes in kinds.items() for code in codes for x in (code, kind)])
+    lower, whole = F.lower(body), status.cast("int")
+    whole = F.when(whole == status, whole)
+    unpaid = lower.contains("insufficient") | lower.contains("exceeded your current quota")
+    limited = F.when(status == 429, ~F.coalesce(unpaid, F.lit(False))).when(status == 403, lower.contains("rate") & lower.contains("limit"))
+    unsaid = F.coalesce(F.try_element_at(table(UNSAID_KINDS), whole), F.when(status.between(200, 299), "transient"))
+    by_rule = F.when(limited, "rateLimited").when(status == 429, "credential").when(unsaid.isNotNull(), F.coalesce(classify_body(lower), unsaid))
+    return F.coalesce(F.try_element_at(table(STATUS_KINDS), whole), by_rule, F.when(status.between(400, 499), "rejected"), F.lit("transient"))
 
 
 def classify_reply(status: Column, body: Column) -> Column:

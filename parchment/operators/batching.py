@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.functions.predicates import is_cid, is_numeric, is_placeholder_only
 from parchment.operators.machines import fold
 
 #: Tokens and paragraphs that a batch may pass before it is closed: for term extraction and for translation.
@@ -111,6 +112,49 @@ def cross_column_pairs(rows: DataFrame, by: list[str], order: str, top: str, jum
     return looked.filter(F.col("__jump") & F.col("__odd")).select(*by, order, F.col("__next").alias("pair"))
 
 
+def plan_batches(rows: DataFrame, by: list[str], page: str, order: str, measure=word_tokens, least_chars: int = 5, limits: tuple[int, int] = TRANSLATE) -> DataFrame:
+    """The batches in which a document's paragraphs are sent: by, seq from 0, kind, tokens, items (page and order of each), title, local_title.
+
+    rows are paragraphs (text, label, top) by document, page and order. First, pairs across pages, then pairs across columns, both of running
+    text (BODY_LABELS), then what is left of each page is packed. A paragraph is in one batch at most: what a pass has used is not there for
+    the next one. Texts under least_chars and of CID codes are never sent; numbers and bare placeholders only in pairs. title
+    is the document's first title, local_title the last one that packing had met when the batch was closed, or else the first; pairs have the first.
+
+    Pages are grouped and packed each by itself; documents are only ordered, by windows. Null texts count as empty, null labels are no label.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    at = [page, order]
+    rows = rows.select(*by, *at, text.alias("text"), "label", "top", measure(text).cast("long").alias("tokens"))
+    eligible = ~is_cid(F.col("text")) & (F.char_length("text") >= least_chars)
+    body = rows.filter(eligible & F.col("label").isin(*BODY_LABELS)).select(*by, *at, "top", "tokens")
+    pages = rows.select(*by, page).distinct().join(body.groupBy(*by, page).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")), [*by, page], "left").fillna(0, ["n"])
+    place = lambda p, o: F.struct(F.col(p).alias("page"), F.col(o).alias("ord"))
+    pairs = cross_page_pairs(pages, by, page, "first", "last", "n").select(*by, F.lit("pages").alias("kind"), F.array(place(page, "last"), place("next_page", "head")).alias("items"))
+    in_pairs = lambda p: p.select(*by, F.explode("items").alias("i")).select(*by, F.col("i.page").alias(page), F.col("i.ord").alias(order))
+    used = in_pairs(pairs)
+    columns = cross_column_pairs(body.join(used, [*by, *at], "left_anti"), [*by, page], order, "top").select(*by, F.lit("columns").alias("kind"), F.array(place(page, order), place(page, "pair")).alias("items"))
+    pairs = pairs.unionByName(columns)
+    used = used.unionByName(in_pairs(columns))
+
+    document = Window.partitionBy(*by).orderBy(*at)
+    titled = F.when(F.col("label") == "title", F.col("text"))
+    first = rows.groupBy(*by).agg(F.min_by(titled, F.when(titled.isNotNull(), F.struct(*at))).alias("title"))
+    left = rows.filter(eligible & ~is_numeric(F.col("text")) & ~is_placeholder_only(F.col("text"))).join(used, [*by, *at], "left_anti")
+    left = left.select(*by, *at, "tokens", F.last(titled, ignorenulls=True).over(document.rowsBetween(Window.unboundedPreceding, 0)).alias("recent"))
+    packed = left.groupBy(*by, page).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("tokens"), F.col("recent")))).alias("own"))
+    # the items of a page by their places, from which a batch takes its orders and the last title
+    items = F.transform("own", lambda x, i: F.struct(i.alias("ord"), x["tokens"].alias("tokens")))
+    packed = packed.select(*by, page, "own", F.posexplode(pack(items, *limits)).alias("batch", "b"))
+    of = F.transform("b.ords", lambda i: F.struct(F.col(page).alias("page"), F.get("own", i)["o"].alias("ord")))
+    packed = packed.select(*by, F.lit("page").alias("kind"), of.alias("items"), F.col("b.tokens").alias("tokens"), F.get("own", F.element_at("b.ords", -1))["recent"].alias("recent"))
+
+    sized = pairs.select(*by, "kind", "items", F.explode("items").alias("i")).join(body.select(*by, F.struct(F.col(page).alias("page"), F.col(order).alias("ord")).alias("i"), "tokens"), [*by, "i"])
+    sized = sized.groupBy(*by, "kind", "items").agg(F.sum("tokens").alias("tokens")).withColumn("recent", F.lit(None).cast("string"))
+    pass_of = F.when(F.col("kind") == "pages", 0).when(F.col("kind") == "columns", 1).otherwise(2)
+    made = sized.unionByName(packed.select(*sized.columns)).withColumn("seq", F.row_number().over(Window.partitionBy(*by).orderBy(pass_of, F.get("items", F.lit(0)))).cast("long") - 1)
+    return made.join(first, by).select(*by, "seq", "kind", "tokens", "items", "title", F.coalesce("recent", "title").alias("local_title"))
+
+
 def style_runs(chars: DataFrame, by: list[str], order: str, slack: float = 0.02) -> DataFrame:
     """Runs of consecutive characters of one style (kind, font, size and graphics state), which formulas break.
 

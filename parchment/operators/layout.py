@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.operators.geometry import separate_overlaps as separate_overlaps
+
 #: Names of boxes whose inside is kept as it is.
 PRESERVED = ("abandon", "figure", "table", "isolate_formula", "formula_caption")
 GRID = 64
@@ -95,54 +96,6 @@ def touching_below(boxes: DataFrame, page: list[str], box: str) -> DataFrame:
     return met.select(*page, box, F.when(moved < F.col("y1"), moved).otherwise(F.col("y0")).alias("lifted"))
 
 
-def _parted(p: list[list[float]]) -> list[list[float]]:
-    """The boxes of one page (x0, y0, x1, y1), in order, after the repair; it takes as many rounds as there are pairs at most."""
-    for _ in range(len(p) ** 2):
-        moved = False
-        for i in range(len(p)):
-            for j in range(i + 1, len(p)):
-                (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = p[i], p[j]
-                bottom, top = max(ay0, by0), min(ay1, by1)
-                within = (ay0 >= by0 and ay1 <= by1) or (by0 >= ay0 and by1 <= ay1)
-                if within or top - bottom <= 1e-6 or min(ax1, bx1) - max(ax0, bx0) <= 1e-6:
-                    continue
-                low, high = (i, j) if ay1 < by1 else (j, i)
-                middle = (bottom + top) / 2
-                if p[high][1] < middle < p[low][3]:
-                    p[high][1], p[low][3], moved = middle + 1, middle - 1, True
-        if not moved:
-            break
-    return p
-
-
-def separate_overlaps(boxes: DataFrame, page: str, box: str) -> DataFrame:
-    """Boxes of which overlapping ones are parted a unit from the middle of their overlap, pair by pair, until none is left.
-
-    Pages are dealt out and sorted; a task holds one page at a time.
-    """
-    rows = boxes.select(page, box, "x0", "y0", "x1", "y1")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, here, held = None, (), []
-
-        def done() -> pa.RecordBatch:
-            moved = _parted([list(h[2:]) for h in held])
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(*h[:2], *m) for h, m in zip(held, moved, strict=True)], strict=True), kind, strict=True)], schema=kind)
-
-        for got in batches:
-            kind = got.schema
-            for row in zip(*(c.to_pylist() for c in got.columns), strict=True):
-                if held and row[:1] != here:
-                    yield done()
-                    held = []
-                here = row[:1]
-                held.append(row)
-        if held:
-            yield done()
-
-    return rows.repartition(page).sortWithinPartitions(page, box).mapInArrow(run, rows.schema)
-
-
 def scale_cap(scales: DataFrame, by: list[str], scale: str, weight: str) -> DataFrame:
     """capped: each scale at most the one of greatest weight in its group, the least of equally heavy ones."""
     sums = scales.groupBy(*by, scale).agg(F.sum(weight).alias("__w"))

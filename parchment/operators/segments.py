@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.operators import geometry
 from parchment.operators.machines import fold
 from parchment.sources.scratch import written
 
@@ -78,37 +76,16 @@ def agreement(firsts: DataFrame, operators: DataFrame, by: list[str]) -> DataFra
     return met.groupBy(*[F.col(f"g.{b}") for b in by]).agg(F.every(same).alias("same_path"), F.avg((same & near).cast("int")).alias("agree")).withColumn("trusted", F.col("same_path") & (F.col("agree") >= AGREEMENT))
 
 
-def match_in_order(firsts: DataFrame, operators: DataFrame, page: str) -> DataFrame:
-    """Each glyph start with the next operator of its page that is near it, each operator at most once: page, seq, op_seq.
-
-    Starts go in order of seq, and an operator passed over is not looked at again once a later one is matched.
-    Pages are dealt out and sorted, operators first; a task holds the operators of one page.
-    """
-    both = firsts.select(page, F.lit(1).alias("side"), "seq", "x", "y").unionByName(operators.select(page, F.lit(0).alias("side"), "seq", "x", "y"))
-    schema = both.select(page, "seq", F.col("seq").alias("op_seq")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held, cursor = (), [], 0
-        for got in batches:
-            out = []
-            for p, side, seq, x, y in zip(*(c.to_pylist() for c in got.columns), strict=True):
-                if (p,) != here:
-                    here, held, cursor = (p,), [], 0
-                if side == 0:
-                    held.append((seq, x, y))
-                    continue
-                at = next((i for i in range(cursor, len(held)) if (held[i][1] - x) ** 2 + (held[i][2] - y) ** 2 <= NEAR**2), None)
-                if at is not None:
-                    out.append((p, seq, held[at][0]))
-                    cursor = at + 1
-            kinds = [got.schema.field(page), got.schema.field("seq"), got.schema.field("seq").with_name("op_seq")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 3, kinds, strict=True)], [f.name for f in kinds])
-
-    return both.repartition(page).sortWithinPartitions(page, "side", "seq").mapInArrow(run, schema)
+def match_in_order(firsts: DataFrame, operators: DataFrame, page: str, path: str | None = None) -> DataFrame:
+    """Each glyph start with the next operator of its page, and of its path of forms if that is given, that is near it: see geometry.match_in_order."""
+    return geometry.match_in_order(firsts, operators, [page, *([path] if path else [])], NEAR)
 
 
 def descend(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
-    """depth of each node under the roots (null parents), level by level; nodes of a cycle have none and are left out."""
+    """depth of each node under the roots (null parents), level by level; nodes of a cycle have none and are left out.
+
+    Nodes of depth most or more are left out too: an outline is read 64 levels deep at most, which guards against cycles.
+    """
     nodes = written(nodes.select(node, parent), "nodes")
     level = nodes.filter(F.col(parent).isNull()).select(node, F.lit(0).alias("depth"))
     found = level

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -79,22 +75,6 @@ def style_runs(spark, d):
     return batching.style_runs(chars, ["l_suppkey"], "ord").select("l_suppkey", F.col("run").cast("long").alias("run"), "first", "last", "font", "size", "n")
 
 
-def page_similarity(spark, d):
-    """The embeddings as gray images, whole and from the first value on again to fill a square, against themselves with the first rows blanked."""
-    pixels = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.round(v * 400 + 128))).cast("int"))
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), pixels.alias("p")).filter(F.size("p") > 0)
-
-    side = max(7, math.isqrt((e.agg(F.max(F.size("p"))).first()[0] or 1) - 1) + 1)
-
-    def images(batches):
-        for got in batches:
-            before = [np.resize(np.asarray(p, np.uint8), side * side).tobytes() for p in got["p"]]
-            yield pd.DataFrame({"key": got["key"], "before": before, "after": [bytes(2 * side) + b[2 * side :] for b in before]})
-
-    pairs = e.mapInPandas(images, "key long, before binary, after binary")
-    return layout.page_similarity(pairs, side, side)
-
-
 def matrices(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.count("*").cast("double").alias("n"), F.max("l_linenumber").cast("double").alias("k"))
     m = [F.col("n"), F.lit(0.5), F.lit(-0.5), F.col("k"), F.col("q"), F.lit(3.0)]
@@ -134,7 +114,6 @@ c AS (SELECT page, box_idx AS char_id, {_CELL % 'x1'} AS x, {_CELL % '(120 - y0
     "nearest_below": (nearest_below, f"WITH {BOXES} SELECT a.page, a.box_idx, max(greatest(5.0::DOUBLE, coalesce(o.y1, 5.0::DOUBLE))) AS min_y FROM b a LEFT JOIN b o ON a.page = o.page AND o.y1 < a.y0 AND NOT (o.x0 >= a.x1 OR o.x1 <= a.x0) GROUP BY a.page, a.box_idx"),
     "overlap_pairs": (overlap_pairs, f"WITH {BOXES} SELECT a.page, a.box_idx AS first, o.box_idx AS second, least(a.y1, o.y1) - greatest(a.y0, o.y0) AS height, least(a.x1, o.x1) - greatest(a.x0, o.x0) AS width FROM b a JOIN b o ON a.page = o.page AND a.box_idx < o.box_idx AND a.x0 < o.x1 AND a.x1 > o.x0 AND a.y0 < o.y1 AND a.y1 > o.y0 AND NOT ((a.y0 >= o.y0 AND a.y1 <= o.y1) OR (o.y0 >= a.y0 AND o.y1 <= a.y1))"),
     "lifted_boxes": (lifted_boxes, f"WITH {BOXES}, g AS (SELECT *, CASE WHEN y1 - y0 < 36 THEN 0.5::DOUBLE ELSE 3.0::DOUBLE END AS gap FROM b), t AS (SELECT a.page, a.box_idx, any_value(a.y0) AS y0, any_value(a.y1) AS y1, max(o.y1) + any_value(a.gap) AS moved FROM g a LEFT JOIN b o ON a.page = o.page AND {_TOUCH} GROUP BY a.page, a.box_idx) SELECT page, box_idx, CASE WHEN moved < y1 THEN moved ELSE y0 END AS lifted FROM t"),
-    "separated_overlaps": (separated_overlaps, None),
     "scale_cap_mode": (scale_cap_mode, "WITH s AS (SELECT l_suppkey, l_discount AS scale, sum(l_linenumber) AS w FROM lineitem GROUP BY ALL), c AS (SELECT l_suppkey, scale AS cap FROM s QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY w DESC, scale) = 1) SELECT l_suppkey, max(cap) AS cap, count_if(l_discount > cap)::BIGINT AS cut FROM lineitem JOIN c USING (l_suppkey) GROUP BY l_suppkey"),
     "second_gap": (second_gap, "WITH g AS (SELECT l_orderkey, list_sort(list_distinct(list(l_quantity / 10) FILTER (WHERE l_quantity / 10 > 1))) AS g FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN coalesce(len(g), 0) = 0 THEN 1.0::DOUBLE WHEN len(g) = 1 THEN g[1] ELSE g[2] END AS gap FROM g"),
     "scan_vote": (scan_vote, "WITH v AS (SELECT event_id // 12 AS \"group\", event_id, (event_type <> 'error')::INT AS yes FROM events), r AS (SELECT *, count(*) OVER g AS n, coalesce(sum(yes) OVER w, 0) AS y, coalesce(sum(1 - yes) OVER w, 0) AS no FROM v WINDOW g AS (PARTITION BY \"group\"), w AS (PARTITION BY \"group\" ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), t AS (SELECT *, greatest(n * 0.8::DOUBLE, 1) AS t FROM r), k AS (SELECT *, y < t AND no < n - t AS seen FROM t) SELECT \"group\", max(n) AS total, count_if(seen)::BIGINT AS checked, sum(CASE WHEN seen THEN yes ELSE 0 END)::BIGINT AS scanned_pages, sum(CASE WHEN seen THEN yes ELSE 0 END) >= max(t) AS scanned FROM k GROUP BY \"group\""),
@@ -145,7 +124,6 @@ n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY ord) AS i FRO
   SELECT l_suppkey, i, ord, font, size, CASE WHEN same THEN head ELSE font END, CASE WHEN same THEN head_size ELSE size END, run + (NOT same)::BIGINT
   FROM (SELECT n.*, r.head, r.head_size, r.run, n.font = r.head AND abs(n.size - r.head_size) < 0.02::DOUBLE AS same FROM r JOIN n ON n.l_suppkey = r.l_suppkey AND n.i = r.i + 1)
 ) SELECT l_suppkey, run, min(ord) AS first, max(ord) AS last, arg_min(font, ord) AS font, arg_min(size, ord) AS size, count(*) AS n FROM r GROUP BY l_suppkey, run"""),
-    "page_similarity": (page_similarity, None),
     "matrices": (matrices, """WITH o AS (SELECT l_orderkey, sum(l_quantity) AS q, count(*)::DOUBLE AS n, max(l_linenumber)::DOUBLE AS k, l_orderkey % 4 AS r FROM lineitem GROUP BY l_orderkey),
 m AS (SELECT *, CASE r WHEN 1 THEN [0, -1, 1, 0, 0, 600] WHEN 2 THEN [-1, 0, 0, -1, 600, 800] WHEN 3 THEN [0, 1, -1, 0, 800, 0] ELSE [1, 0, 0, 1, 0, 0] END::DOUBLE[] AS p FROM o),
 x AS (SELECT l_orderkey, n * p[1] + 0.5::DOUBLE * p[3] AS a, n * p[2] + 0.5::DOUBLE * p[4] AS b, -0.5::DOUBLE * p[1] + k * p[3] AS c, -0.5::DOUBLE * p[2] + k * p[4] AS d, q * p[1] + 3 * p[3] + p[5] AS e, q * p[2] + 3 * p[4] + p[6] AS f FROM m)
