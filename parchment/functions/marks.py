@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parchment.functions.predicates import is_numeric, is_placeholder_only
+
 #: With more marks than this, styled text goes without.
 MOST_MARKS = 40
 
@@ -23,35 +25,60 @@ _ANY = re.compile(f"{FORMULA_MARK}|{OPEN_MARK}|{CLOSE_MARK}", re.IGNORECASE)
 _LINE_END = re.compile(r"[\n\r\u2028\u2029]")
 
 
+def mark(parts: list[dict], text: str | None, styled: bool = True) -> dict:
+    """The text and marks of one paragraph's parts, in one pass; with more than MOST_MARKS, once more without styles."""
+    begins = {kind: int(m[1]) if (m := re.match(shape, text or "", re.IGNORECASE)) else -1 for kind, shape in (("formula", FORMULA_MARK), ("run", OPEN_MARK))}
+    out, marks, following = [], [], 1
+    for at, p in enumerate(parts):
+        formula = p["kind"] == "formula"
+        if not formula and (p["plain"] or not styled):
+            out.append(p["text"] or "")
+            continue
+        kind = "formula" if formula else "run"
+        number = following + (following == begins[kind])
+        out.append(f"{{v{number}}}" if formula else f"<style id='{number}'>{p['text'] or ''}{CLOSE}")
+        marks.append({"kind": kind, "id": number, "part": at, "text": p["text"]})
+        following = number + (1 if formula else 2)
+    return mark(parts, text, styled=False) if styled and len(marks) > MOST_MARKS else {"text": "".join(out), "marks": marks}
+
+
+def same_style(font: Column, size: Column, gstate: Column, base_font: Column, base_size: Column, base_gstate: Column) -> Column:
+    """Whether a run has its paragraph's style: font, size (to 0.02) and graphics state."""
+    return (font == base_font) & (F.abs(size - base_size) < 0.02) & gstate.eqNullSafe(base_gstate)
+
+
+def plain_style(font: Column, size: Column, gstate: Column, base_font: Column, base_size: Column, base_gstate: Column, mapped: Column | None = None, base_mapped: Column | None = None) -> Column:
+    """Whether a run counts as plain beside its paragraph's style, and needs no mark.
+
+    It does if it has that style, or has it but for a size of 0.7 to 1.3 times as much, or but for the font where both fonts are mapped to one that
+    is there. Null styles aren't plain.
+    """
+    ratio = F.abs(size / F.nullif(base_size.cast("double"), F.lit(0.0)))
+    same_state = gstate.eqNullSafe(base_gstate)
+    but_size = (font == base_font) & (ratio > 0.7) & (ratio < 1.3) & same_state
+    but_font = F.lit(False) if mapped is None else (F.abs(size - base_size) < 0.02) & same_state & (F.coalesce(mapped, F.lit("")) != "") & (mapped == base_mapped)
+    return F.coalesce(same_style(font, size, gstate, base_font, base_size, base_gstate), F.lit(False)) | F.coalesce(but_size, F.lit(False)) | F.coalesce(but_font, F.lit(False))
+
+
 def marked_text(parts: Column, text: Column) -> Column:
     """What is sent of a paragraph: text, with marks in it, and marks (kind, id, part: its index, text: what it stands for).
 
-    parts (kind "formula" or "run", text, plain: whether a run has the paragraph's own style) make up the paragraph, text is all of it. Formulas take one number,
+    parts (kind "formula" or "run", text, plain: whether a run has the paragraph's own style, see plain_style) make up the paragraph, text is all of it. Formulas take one number,
     styled runs two. A number that the paragraph's text itself begins with is passed over. Where there would be more than
-    MOST_MARKS, only formulas are marked. null for paragraphs that aren't sent: those without parts or with a single formula.
+    MOST_MARKS, only formulas are marked. null for paragraphs that aren't sent: those without parts, with a single formula, and those of a number or bare placeholders.
+    Time is in proportion to the parts.
     """
-    taken = lambda shape: F.coalesce(F.regexp_extract(text, f"(?i)^{shape}", 1).try_cast("int"), F.lit(-1))
-
-    def build(styled: bool) -> Column:
-        # what the text begins with is looked up once and goes along
-        start = F.struct(F.lit(1).alias("next"), taken(FORMULA_MARK).alias("formula"), taken(OPEN_MARK).alias("open"), F.array().cast("array<string>").alias("out"), F.array().cast(_MARKS).alias("marks"))
-
-        def add(s: Column, p: Column) -> Column:
-            formula, rich = p["kind"] == "formula", (p["kind"] != "formula") & ~p["plain"] if styled else F.lit(False)
-            number = s["next"] + F.when(s["next"] == F.when(formula, s["formula"]).otherwise(s["open"]), 1).otherwise(0)
-            shown = F.when(formula, F.concat(F.lit("{v"), number, F.lit("}"))).when(rich, F.concat(F.lit("<style id='"), number, F.lit("'>"), p["text"], F.lit(CLOSE))).otherwise(p["text"])
-            mark = F.struct(F.when(formula, "formula").otherwise("run").alias("kind"), number.cast("int").alias("id"), p["at"].alias("part"), p["text"].alias("text"))
-            return F.struct(
-                F.when(formula, number + 1).when(rich, number + 2).otherwise(s["next"]).cast("int").alias("next"), s["formula"].alias("formula"), s["open"].alias("open"), F.array_append(s["out"], shown).alias("out"), F.when(formula | rich, F.array_append(s["marks"], mark)).otherwise(s["marks"]).alias("marks")
-            )
+    kind = pa.struct([("text", pa.string()), ("marks", pa.list_(pa.struct([("kind", pa.string()), ("id", pa.int32()), ("part", pa.int32()), ("text", pa.string())])))])
 
-        numbered = F.transform(parts, lambda p, i: F.struct(p["kind"].alias("kind"), p["text"].alias("text"), p["plain"].alias("plain"), i.alias("at")))
-        return F.aggregate(numbered, start, add, lambda s: F.struct(F.array_join(s["out"], "").alias("text"), s["marks"].alias("marks")))
+    @F.arrow_udf(f"struct<text:string,marks:{_MARKS}>")
+    def marked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for given, texts in batches:
+            yield pa.array([None if p is None else mark(p, t) for p, t in zip(given.to_pylist(), texts.to_pylist(), strict=True)], kind)
 
-    only = F.get(parts, F.lit(0))
+    sent = ~F.coalesce(is_numeric(text), F.lit(False)) & ~F.coalesce(is_placeholder_only(text), F.lit(False)) & (F.size(parts) > 0)
     whole = F.struct(text.alias("text"), F.array().cast(_MARKS).alias("marks"))
-    built = F.get(F.transform(F.array(build(True)), lambda s: F.when(F.size(s["marks"]) > MOST_MARKS, build(False)).otherwise(s)), F.lit(0))
-    return F.when(F.size(parts) == 0, F.lit(None)).when(F.size(parts) == 1, F.when(only["kind"] != "formula", whole)).otherwise(built)
+    one = F.when(F.get(parts, F.lit(0))["kind"] != "formula", whole)
+    return F.when(sent, F.when(F.size(parts) == 1, one).otherwise(marked(parts, text)))
 
 
 def _known(marks: list[dict]) -> tuple[dict[str, dict], dict[str, dict]]:

@@ -102,6 +102,14 @@ def multiply(m: list[Column], n: list[Column]) -> list[Column]:
     return [a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u]
 
 
+def inverse(m: list[Column]) -> list[Column]:
+    """The map that takes back an affine one; nulls where it has none."""
+    a, b, c, d, e, f = m
+    whole = F.nullif(a * d - b * c, F.lit(0.0))
+    p, q, r, s = d / whole, -b / whole, -c / whole, a / whole
+    return [p, q, r, s, -(e * p + f * r), -(e * q + f * s)]
+
+
 def apply_matrix(m: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
     a, b, c, d, e, f = m
     return a * x + c * y + e, b * x + d * y + f

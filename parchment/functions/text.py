@@ -68,6 +68,11 @@ def clean_reply(reply: Column) -> Column:
     return F.regexp_replace(strip(reply), r"^<think>[\s\S]+?</think>", "")
 
 
+def strip_reasoning(reply: Column) -> Column:
+    """The reply without one leading block of reasoning, <think> or <thinking> in any case, and the blanks around that."""
+    return F.regexp_replace(reply, rf"(?i)^[{SPACE}]*<think(?:ing)?>[\s\S]*?</think(?:ing)?>[{SPACE}]*", "")
+
+
 def clean_json_output(reply: Column) -> Column:
     """The reply without the tags and fences that models put around JSON: each is taken off once, in this order."""
 
@@ -133,6 +138,33 @@ def substitute(template: Column, values: dict[str, Column]) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(known, p), p)), "")
 
 
+def missing_names(template: Column, values: dict[str, Column]) -> Column:
+    """The names that a template asks for and values doesn't have, each once, in order; a value that is null is there."""
+    marks = F.regexp_extract_all(F.replace(template, F.lit("$$"), F.lit("")), F.lit(r"\$([_a-zA-Z][_a-zA-Z0-9]*)"), F.lit(1))
+    return F.array_distinct(F.filter(marks, lambda n: ~n.isin(*values) if values else F.lit(True)))
+
+
+def substitute_all(template: Column, values: dict[str, Column]) -> Column:
+    """substitute(), which fails on a name that has no value."""
+    missing = missing_names(template, values)
+    return F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("missing template value "), F.get(missing, F.lit(0))))).otherwise(substitute(template, values))
+
+
+#: Fixed value: the line that every prompt ends with.
+STRICT = "Follow all rules strictly."
+
+
+def role_block(custom: Column, language: str) -> Column:
+    """Who the model is asked to be: the user's words, with the line that every prompt has, or those that stand for none."""
+    own = strip(custom)
+    default = f"You are a professional {language} native translator who needs to fluently translate text into {language}.\n\n{STRICT}"
+    return F.when(F.coalesce(custom, F.lit("")) == "", default).when(own.contains(STRICT), own).otherwise(F.concat(own, F.lit(f"\n{STRICT}")))
+
+
+def cut_title(text: Column) -> Column:
+    return F.left(text, F.lit(TITLE_MAX))
+
+
 def fill_braces(template: Column, values: dict[str, Column]) -> Column:
     """{name} by its value, and {{ and }} by one brace."""
     parts = F.regexp_extract_all(template, F.lit(r"(\{\{|\}\}|\{[_a-zA-Z0-9]+\}|[^{}]+|[{}])"), F.lit(1))

@@ -96,6 +96,12 @@ def touching_below(boxes: DataFrame, page: list[str], box: str) -> DataFrame:
     return met.select(*page, box, F.when(moved < F.col("y1"), moved).otherwise(F.col("y0")).alias("lifted"))
 
 
+def detected(boxes: DataFrame, page: list[str], order: str, least: float = 0.25) -> DataFrame:
+    """Boxes (conf) that a detector is sure enough of, with box_idx by falling confidence; equally sure ones keep their order. Null is not sure."""
+    w = Window.partitionBy(*page).orderBy(F.desc("conf"), order)
+    return boxes.filter(F.col("conf") > least).withColumn("box_idx", F.row_number().over(w).cast("long") - 1)
+
+
 def scale_cap(scales: DataFrame, by: list[str], scale: str, weight: str) -> DataFrame:
     """capped: each scale at most the one of greatest weight in its group, the least of equally heavy ones."""
     sums = scales.groupBy(*by, scale).agg(F.sum(weight).alias("__w"))

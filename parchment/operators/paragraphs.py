@@ -6,10 +6,11 @@ few numbers, so a page may have any number of characters; texts and boxes are pu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.predicates import is_formula_char
+from parchment.operators.layout import second_gap
 from parchment.operators.machines import fold
 
 #: Smaller than this share of its paragraph's size, a character is a sub- or superscript.
@@ -136,3 +137,21 @@ def formulas(marked: DataFrame, by: list[str], order: str) -> DataFrame:
         F.max("para").alias("para"), F.count_if(char).alias("chars"), F.count_if(line).alias("lines"),
         (F.max(F.when(char, F.col("x1"))) - F.min_by("x0", at)).alias("len"), F.coalesce(F.max("shut_fix"), F.min_by("fix", at)).alias("fix"),
     )
+
+
+def sized_blanks(chars: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Characters (x0, x1, dummy) with x1 of the blanks put in at line breaks, which have no width of their own, set.
+
+    A blank is as wide as it is far to the next drawn character, but no wider than the paragraph's second smallest distinct gap over 1 between drawn
+    ones (the only one, or 1, if there aren't two), which it also is where none follows. Each gap is found by one window, and gaps are
+    gathered by paragraph, each distinct one once.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    drawn = F.when(~F.col("dummy"), F.col("x0"))
+    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    looked = chars.withColumn("__next", F.first(drawn, ignorenulls=True).over(ahead))
+    gap = F.when(~F.col("dummy") & (F.col("__next") - F.col("x1") > 1), F.col("__next") - F.col("x1"))
+    gaps = looked.groupBy(*by).agg(F.collect_set(gap).alias("__gaps")).select(*by, second_gap(F.col("__gaps")).alias("__wide"))
+    far = F.least(F.coalesce(F.abs(F.col("__next") - F.col("x0")), F.col("__wide")), F.col("__wide"))
+    sized = F.when(F.col("dummy") & (F.col("x0") == F.col("x1")), F.col("x0") + far).otherwise(F.col("x1"))
+    return looked.join(gaps, by).withColumn("x1", sized).drop("__next", "__wide")

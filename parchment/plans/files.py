@@ -53,8 +53,10 @@ def glossary_csv_roundtrip(spark, d):
 
 
 def glossary_decode(spark, d):
-    files = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.encode(F.concat(F.lit("\ufeff"), "n_name"), "utf-8")).otherwise(F.unhex(F.lit("D6D0CEC4"))).alias("content"))
-    return library.decode_csv(files).select("n_nationkey", "text")
+    """Pages as files: half in UTF-8 with a mark, half in GB18030."""
+    even = F.encode(F.concat(F.lit("\ufeff"), F.coalesce("html", F.lit(""))), "utf-8")
+    odd = F.concat(F.unhex(F.lit("D6D0CEC4")), F.encode(F.regexp_replace(F.coalesce("html", F.lit("")), r"[^\x00-\x7F]", "?"), "utf-8"))
+    return library.decode_csv(table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, even).otherwise(odd).alias("content"))).select("page_id", "text")
 
 
 def file_intake(spark, d):
@@ -137,7 +139,7 @@ QUERIES = {
     "events_jsonl_broken": (events_jsonl_broken, "SELECT user_id::VARCHAR AS doc_id, count(*) AS n FROM events WHERE event_id % 10 = 0 OR (event_id % 10 > 1 AND value * 3 > 100) GROUP BY user_id"),
     "manifest_scan": (manifest_scan, "SELECT doc_id::VARCHAR AS id, source AS title, (n_chars % 120)::DOUBLE AS progress, lang AS model FROM documents WHERE n_chars % 9 > 0 AND n_chars % 120 <= 100"),
     "glossary_csv_roundtrip": (glossary_csv_roundtrip, "SELECT p_type, p_name || ' \"x\", y' AS source, min(p_brand) AS target FROM part GROUP BY p_type, p_name HAVING min(p_partkey) % 3 <> 1"),
-    "glossary_decode": (glossary_decode, "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '中文' END AS text FROM nation"),
+    "glossary_decode": (glossary_decode, r"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN coalesce(html, '') ELSE '中文' || regexp_replace(coalesce(html, ''), '[^\x00-\x7F]', '?', 'g') END AS text FROM pages"),
     "file_intake": (file_intake, "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'empty' WHEN strlen(html) * (page_id % 5) * 30000 > 524288000 THEN 'too large' WHEN page_id % 4 = 0 THEN 'not a PDF' END AS refused FROM pages"),
     "stream_once": (stream_once, "SELECT user_id, count(*) AS n, max(event_id) AS last_seq FROM events GROUP BY user_id"),
     "stream_throttle": (stream_throttle, "SELECT user_id, time_bucket(INTERVAL 10 HOURS, ts, TIMESTAMP '1970-01-01') AS slot, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY ALL"),

@@ -106,8 +106,8 @@ def key_lists(spark, d):
 
 
 def templates(spark, d):
-    t = table(spark, d, "nation")
-    return t.select("n_nationkey", text.substitute(F.lit("$name costs $$5, $missing"), {"name": F.col("n_name")}).alias("a"), text.fill_braces(F.lit("{{{name}}} of {region}"), {"name": F.col("n_name"), "region": F.col("n_regionkey").cast("string")}).alias("b"))
+    t = table(spark, d, "part")
+    return t.select("p_partkey", text.substitute(F.lit("$name costs $$5, $missing"), {"name": F.col("p_name")}).alias("a"), text.fill_braces(F.lit("{{{name}}} of {brand}"), {"name": F.col("p_name"), "brand": F.col("p_brand")}).alias("b"))
 
 
 def page_range_filter(spark, d):
@@ -123,7 +123,7 @@ def reply_clean(spark, d):
 
 
 def reply_quality(spark, d):
-    return turns(spark, d).select("conv_id", "turn", replies.rejected_because(text.ascii_fold(F.regexp_replace("input", r"[^\x00-\x7F]", "")), F.regexp_replace("reply", r"[^\x00-\x7F]", "")).alias("reason"))
+    return turns(spark, d).select("conv_id", "turn", replies.rejected_because(text.ascii_fold(F.col("input")), F.col("reply")).alias("reason"))
 
 
 def kept_ratio(spark, d):
@@ -257,10 +257,10 @@ f AS (
     "glossary_mode": (glossary_mode, "WITH c AS (SELECT p_name, p_brand, count(*) AS n, min(l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey) AS o FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name, p_brand) SELECT p_name, p_brand, n AS votes FROM c QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY n DESC, o) = 1"),
     "glossary_tables": (glossary_tables, "SELECT p_type, string_agg('| ' || p_name || ' | ' || p_brand || ' |', chr(10) ORDER BY p_name, p_brand) AS lines FROM (SELECT DISTINCT p_type, p_name, p_brand FROM part) GROUP BY p_type"),
     "key_lists": (key_lists, f"WITH k AS (SELECT page_id, url, {_PARTS} AS ks FROM pages) SELECT page_id, len(ks)::BIGINT AS n, '••••••••' || CASE WHEN length(ks[1]) >= 12 THEN right(ks[1], 4) ELSE '' END || CASE WHEN len(ks) > 1 THEN '（共 ' || len(ks) || ' 个）' ELSE '' END AS masked, replace(replace(url, 'example', '[redacted]'), 'www', '[redacted]') AS redacted, CASE WHEN length(url) <= 20 THEN url ELSE left(url, 20) || '…' END AS snippet FROM k"),
-    "templates": (templates, "SELECT n_nationkey, n_name || ' costs $5, $missing' AS a, '{' || n_name || '} of ' || n_regionkey AS b FROM nation"),
+    "templates": (templates, "SELECT p_partkey, p_name || ' costs $5, $missing' AS a, '{' || p_name || '} of ' || p_brand AS b FROM part"),
     "page_range_filter": (page_range_filter, "WITH s AS (SELECT *, (['1-3,5,8-', '-2', '', '2', '7-9, 1', 'x'])[conv_id % 6 + 1] AS spec, turn + 1 AS page FROM conversations) SELECT conv_id, turn, spec, CASE spec WHEN '' THEN true WHEN '1-3,5,8-' THEN page <= 3 OR page = 5 OR page >= 8 WHEN '-2' THEN page <= 2 WHEN '2' THEN page = 2 WHEN '7-9, 1' THEN page BETWEEN 7 AND 9 OR page = 1 END AS selected, CASE WHEN spec = 'x' THEN 'form' END AS problem FROM s"),
     "reply_clean": (reply_clean, f"WITH {TURNS} SELECT conv_id, turn, {sql_strip('reply')} AS clean, {_PUNCT % '''(reply || repeat('.', 25))'''} AS collapsed FROM t"),
-    "reply_quality": (reply_quality, rf"WITH {TURNS}, a AS (SELECT conv_id, turn, {_FOLD % '''regexp_replace(input, '[^\x00-\x7F]', '', 'g')'''} AS i, regexp_replace(reply, '[^\x00-\x7F]', '', 'g') AS r FROM t), q AS (SELECT *, {_PUNCT % 'i'} AS ci, {_PUNCT % 'r'} AS cr FROM a), n AS (SELECT *, {sql_words('ci')} AS ni, {sql_words('cr')} AS nr FROM q) SELECT conv_id, turn, CASE WHEN ci = cr AND ni > 10 THEN 'unchanged' WHEN ni = 0 THEN 'empty source' WHEN NOT (nr / ni > 0.3 AND nr / ni < 3) THEN 'length' WHEN levenshtein(i, cr) < 5 AND ni > 20 THEN 'hardly changed' END AS reason FROM n"),
+    "reply_quality": (reply_quality, rf"WITH {TURNS}, a AS (SELECT conv_id, turn, {_FOLD % 'input'} AS i, reply AS r FROM t), q AS (SELECT *, {_PUNCT % 'i'} AS ci, {_PUNCT % 'r'} AS cr FROM a), n AS (SELECT *, {sql_words('ci')} AS ni, {sql_words('cr')} AS nr FROM q) SELECT conv_id, turn, CASE WHEN ci = cr AND ni > 10 THEN 'unchanged' WHEN ni = 0 THEN 'empty source' WHEN NOT (nr / ni > 0.3 AND nr / ni < 3) THEN 'length' WHEN levenshtein(i, cr) < 5 AND ni > 20 THEN 'hardly changed' END AS reason FROM n"),
     "kept_ratio": (kept_ratio, f"WITH {TURNS}, s AS (SELECT conv_id, sum(CASE WHEN length(reply) > length(input) * 3 THEN length(input) ELSE 0 END)::BIGINT AS kept_chars, sum(length(input))::BIGINT AS total_chars FROM t GROUP BY conv_id) SELECT *, kept_chars > 400 AND kept_chars * 5 > total_chars AS fails FROM s"),
     "reply_items": (reply_items, f"WITH {TURNS} SELECT conv_id, conv_id % 2 = 0 AS valid, CASE WHEN conv_id % 2 = 0 THEN count(*) ELSE 0 END AS n, CASE WHEN conv_id % 2 = 0 THEN arg_min(reply, turn) END AS first FROM t GROUP BY conv_id"),
     "extracted_terms": (extracted_terms, "SELECT p_partkey, 1::BIGINT AS n, upper(p_name) AS tgt FROM part"),

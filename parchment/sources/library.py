@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.functions.predicates import STAGES
-from parchment.functions.text import strip
+from parchment.functions.text import cut_title, strip
 
 MANIFEST = (
     "id string, title string, titleCustom boolean, originalFilename string, sourceSize bigint, sourceSha256 string, pages int, translator struct<providerId:string,model:string,label:string>, status string, stage string, progress double, "
@@ -63,6 +63,16 @@ def read_events(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return parse_events(lines)
 
 
+def settings_of(files: DataFrame, schema: str, defaults: dict, column: str = "value") -> DataFrame:
+    """Settings files (whole JSON texts) with their values: what is missing has its default, and so has all of a file that is broken or null.
+
+    broken tells which; a file that isn't there is no row, and whoever asks for it takes the defaults.
+    """
+    typed = parse_json(files, schema, column)
+    rest = [c for c in files.columns if c != column]
+    return typed.select(*rest, *[F.coalesce(F.col(f"parsed.{k}"), F.lit(v)).alias(k) for k, v in defaults.items()], F.col("parsed").isNull().alias("broken"))
+
+
 def read_settings(spark: SparkSession, path: str, schema: str, defaults: dict) -> DataFrame:
     """One row of settings; what is missing, or the whole file if it is broken, has its default."""
     files = parse_json(spark.read.text(path, wholetext=True), schema).agg(F.first("parsed", ignorenulls=True).alias("s"))
@@ -125,6 +135,32 @@ def is_pdf(content: Column) -> Column:
     return F.substring(content, 1, 5) == F.encode(F.lit("%PDF-"), "utf-8")
 
 
+#: What may be wrong with a file, in the order in which it is looked at: code and what the user is told.
+FAILURES = {"unreadable": "the file can't be read", "empty": "the file is empty", "too large": "the file is over 500 MB", "not a PDF": "the file is no PDF", "no header": "the file doesn't begin like a PDF"}
+
+
+def ingest(files: DataFrame, title: Column | None = None) -> DataFrame:
+    """Files (path, length, content) as documents or failures, in one pass: path, created and failure, of which one is null.
+
+    created has id (SHA-256 of the content), title (what is asked for, or the file's name without its ending, 300 characters at most), filename and bytes. failure has
+    code and message. No file stops the others; null content is unreadable, a null length is that of the content.
+    """
+    name = F.regexp_extract("path", r"([^/\\]*)$", 1)
+    stem = F.regexp_replace(name, r"(?i)\.pdf$", "")
+    known = intake(files.withColumn("length", F.coalesce("length", F.length("content").cast("long"))))
+    code = F.when(F.col("content").isNull() & ~F.coalesce(F.col("refused") == "too large", F.lit(False)), "unreadable").when(F.col("refused").isNotNull(), F.col("refused")).when(~is_pdf(F.col("content")), "no header")
+    failure = F.struct(F.col("code").alias("code"), F.create_map(*[F.lit(x) for kv in FAILURES.items() for x in kv])[F.col("code")].alias("message"))
+    asked = F.lit(None).cast("string") if title is None else title
+    made = F.struct(F.sha2("content", 256).alias("id"), cut_title(F.coalesce(F.nullif(strip(asked), F.lit("")), stem)).alias("title"), name.alias("filename"), F.col("length").alias("bytes"))
+    return known.withColumn("code", code).select("path", F.when(F.col("code").isNull(), made).alias("created"), F.when(F.col("code").isNotNull(), failure).alias("failure"))
+
+
+def read_pdfs(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """path, length and content of files, for ingest(); one that is too large is not read. Spark's readers pass over files of no bytes."""
+    found = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("recursiveFileLookup", True).load(paths)
+    return found.select("path", "length", F.when(F.col("length") <= MAX_FILE_BYTES, F.col("content")).alias("content"))
+
+
 def append_numbered(events: DataFrame, path: str) -> None:
     """Append events to a log table; one writer at a time, as its numbers go on from what is there."""
     events.write.mode("append").parquet(path)
