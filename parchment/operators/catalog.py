@@ -90,8 +90,9 @@ def promote_due(docs: DataFrame, now) -> DataFrame:
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     """order, and unique: the name, or if it is taken by a row before, the name with the first free one of #1, #2 and so on.
 
-    Names can only meet others that differ in such endings, so rows are dealt out by the name without them. The state of a task is
-    the names given to one such group.
+    Names can only meet others that differ in such endings. Where all names of a stem are the stem itself, a row's place among them is its number, by a window.
+    Only where some have an ending of their own are names probed: those rows are dealt out by stem, and the state of a task is
+    the names given to one such stem. Null names count as empty.
     """
 
     def step(s: dict, row: tuple) -> tuple:
@@ -103,4 +104,8 @@ def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
         return (found,)
 
     stems = rows.select(F.regexp_replace(F.coalesce(name, F.lit("")), r"(#\d+)+$", "").alias("stem"), F.col(order), F.coalesce(name, F.lit("")).alias("wanted"))
-    return fold(stems, "stem", [order], lambda: {"taken": set(), "next": {}}, step, "unique string").select(order, "unique")
+    ended = stems.filter("wanted <> stem").select("stem").distinct()
+    probed = fold(stems.join(ended, "stem", "left_semi"), "stem", [order], lambda: {"taken": set(), "next": {}}, step, "unique string").select(order, "unique")
+    place = F.row_number().over(Window.partitionBy("stem").orderBy(order))
+    ranked = stems.join(ended, "stem", "left_anti").select(order, "wanted", place.alias("place"))
+    return ranked.select(order, F.when(F.col("place") == 1, F.col("wanted")).otherwise(F.concat("wanted", F.lit("#"), F.col("place") - 1)).alias("unique")).unionByName(probed)

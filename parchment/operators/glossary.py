@@ -95,8 +95,14 @@ def last_named(entries: DataFrame, by: list[str], name: str, order: str) -> Data
 
 
 def in_use(user: DataFrame, mined: DataFrame, mine: bool) -> DataFrame:
-    """The mined glossary alone if terms are mined and there are any, else the user's and then the mined one."""
-    return mined if mine and not mined.isEmpty() else user.unionByName(mined)
+    """The mined glossary alone if terms are mined and there are any, else the user's and then the mined one.
+
+    Whether there are any is one row that is joined in; no job runs while the plan is built.
+    """
+    if not mine:
+        return user.unionByName(mined)
+    found = F.broadcast(mined.limit(1).select(F.lit(1).alias("__any")))
+    return user.withColumn("__any", F.lit(1)).join(found, "__any", "left_anti").drop("__any").unionByName(mined)
 
 
 def table_text(entries: DataFrame, by: list[str]) -> DataFrame:

@@ -103,3 +103,32 @@ def verify_pages(expected: DataFrame, actual: DataFrame, page: list[str], slack:
     met = a.join(b, page, "full")
     size = (F.abs(F.col("a.width") - F.col("b.width")) > slack) | (F.abs(F.col("a.height") - F.col("b.height")) > slack)
     return met.select(*page, F.when(F.col("b.width").isNull(), "missing").when(F.col("a.width").isNull(), "added").when(size, "size").alias("wrong"))
+
+
+#: Characters of which a page that was written must have one, the slack of sizes, and the bytes that a file has more than.
+WRITTEN, LEAST_BYTES = "[\\x{4E00}-\\x{9FFF}]", 1024
+
+
+def verify_documents(docs: DataFrame, mono: DataFrame, dual: DataFrame, by: str) -> DataFrame:
+    """What is wrong with documents that were written: by, failure, mono_pages, dual_pages, size_mismatches and unwritten.
+
+    docs has pages, side_by_side, with_dual and bytes; mono a row for each page (from 1): written, text, width, height, and shown_width, shown_height as it is
+    displayed; dual page, width, height, shown_width and shown_height. failure is the first of: "pages" (another number than docs says),
+    "unwritten" (written pages without a Chinese character, their numbers in unwritten), "dual pages" (as many pages side by side, or else twice as many), "bytes" (1,024 or
+    less), or null. size_mismatches counts pages of the dual document: side by side, those that aren't as displayed and twice as wide (to 2), or as high (to 1);
+    else each page that differs by over 1 from the mono page it belongs to. It fails nothing.
+    """
+    page = mono.groupBy(by).agg(
+        F.count("*").alias("mono_pages"), F.array_sort(F.collect_list(F.when(F.col("written") & ~F.coalesce(F.col("text"), F.lit("")).rlike(WRITTEN), F.col("page")))).alias("unwritten")
+    )
+    kinds = docs.select(by, "side_by_side")
+    placed = dual.join(kinds, by).withColumn("of", F.when(F.col("side_by_side"), F.col("page")).otherwise(F.floor((F.col("page") + 1) / 2).cast("int"))).alias("d")
+    m, d = (lambda c: F.coalesce(F.col(f"m.{c}"), F.lit(0.0))), (lambda c: F.col(f"d.{c}"))
+    met = placed.join(mono.alias("m"), (F.col(f"d.{by}") == F.col(f"m.{by}")) & (F.col("d.of") == F.col("m.page")), "left")
+    beside = (F.abs(d("shown_width") - 2 * m("shown_width")) > 2) | (F.abs(d("shown_height") - m("shown_height")) > 1)
+    apart = (F.abs(d("width") - m("width")) > 1) | (F.abs(d("height") - m("height")) > 1)
+    sizes = met.groupBy(F.col(f"d.{by}").alias(by)).agg(F.count("*").alias("dual_pages"), F.count_if(F.when(d("side_by_side"), beside).otherwise(apart)).alias("size_mismatches"))
+    all_of = docs.join(page, by, "left").join(sizes, by, "left").fillna(0, ["mono_pages", "dual_pages", "size_mismatches"])
+    want = F.when(F.col("side_by_side"), F.col("pages")).otherwise(F.col("pages") * 2)
+    failure = F.when(F.col("mono_pages") != F.col("pages"), "pages").when(F.size("unwritten") > 0, "unwritten").when(F.col("with_dual") & (F.col("dual_pages") != want), "dual pages").when(F.col("bytes") <= LEAST_BYTES, "bytes")
+    return all_of.select(by, failure.alias("failure"), "mono_pages", F.when(F.col("with_dual"), F.col("dual_pages")).alias("dual_pages"), F.when(F.col("with_dual"), F.col("size_mismatches")).otherwise(F.lit(0)).cast("long").alias("size_mismatches"), F.coalesce("unwritten", F.array().cast("array<int>")).alias("unwritten"))

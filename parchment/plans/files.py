@@ -24,10 +24,10 @@ def _lines(spark, d):
 
 
 def events_jsonl_scan(spark, d):
+    """The lines go through files of JSON, each beside its document, so there are as many files as tasks write."""
     path = scratch_path(spark, "logs")
-    _lines(spark, d).withColumn("file", F.col("doc_id")).select("value", "file").write.partitionBy("file").text(path)
-    lines = spark.read.text(path).withColumnRenamed("file", "doc_id").withColumn("doc_id", F.col("doc_id").cast("string"))
-    return library.parse_events(lines)[0].select("doc_id", "seq", "level", "progress", "message")
+    _lines(spark, d).write.json(path)
+    return library.parse_events(spark.read.schema("doc_id string, value string").json(path))[0].select("doc_id", "seq", "level", "progress", "message")
 
 
 def events_jsonl_broken(spark, d):

@@ -153,7 +153,32 @@ pk AS (
 ), first AS (SELECT source, doc, arg_min(line, page * 100000 + ord) AS title FROM r WHERE label = 'title' GROUP BY source, doc)
 SELECT source, doc, row_number() OVER (PARTITION BY source, doc ORDER BY pass, first_page, first_ord) - 1 AS seq, kind, tokens, n_items, first_page, first_ord, last_page, last_ord, title, coalesce(nullif(recent, ''), title) AS local_title FROM made LEFT JOIN first USING (source, doc)"""
 
+def verified_documents(spark, d):
+    """Orders as documents and their line items as pages; some dual pages are missing or of other sizes."""
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    k = F.col("o_orderkey")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.row_number().over(at).alias("page"), "l_quantity", "l_returnflag")
+    n = li.groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "orders").join(n, "o_orderkey").select("o_orderkey", (F.col("n") + F.when(k % 11 == 0, 1).otherwise(0)).alias("pages"), (k % 2 == 0).alias("side_by_side"), (k % 5 > 0).alias("with_dual"), F.floor(F.col("o_totalprice") / 50).alias("bytes"))
+    w = F.col("l_quantity") + 500
+    mono = li.select("o_orderkey", "page", (k % 7 == 0).alias("written"), F.when(F.col("l_returnflag") == "R", "no").otherwise("有").alias("text"), w.alias("width"), F.lit(800.0).alias("height"), F.lit(800.0).alias("shown_width"), w.alias("shown_height"))
+    copies = F.when(k % 2 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    dual = li.filter((k % 13 > 0) | (F.col("page") > 1)).select("o_orderkey", F.col("page").alias("p"), "l_returnflag", w.alias("w"), F.explode(copies).alias("c"))
+    off = F.when(F.col("l_returnflag") == "A", 1.5).otherwise(0.5)
+    dual = dual.select("o_orderkey", F.when(k % 2 == 0, F.col("p")).otherwise(2 * F.col("p") - 1 + F.col("c")).alias("page"), (F.col("w") + off).alias("width"), F.lit(800.0).alias("height"), (1600 + 2 * off).alias("shown_width"), F.col("w").alias("shown_height"))
+    got = segments.verify_documents(docs, mono, dual, "o_orderkey")
+    return got.select("o_orderkey", "failure", "mono_pages", "dual_pages", "size_mismatches", F.array_join(F.col("unwritten").cast("array<string>"), ",").alias("unwritten"))
+
+
+_VERIFIED = """
+WITH li AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS page, l_returnflag AS f FROM lineitem),
+m AS (SELECT k, count(*) AS n, count(*) FILTER (WHERE f = 'A') AS a, coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (WHERE k % 7 = 0 AND f = 'R'), '') AS unwritten, count(*) FILTER (WHERE k % 13 > 0 OR page > 1) AS d, count(*) FILTER (WHERE (k % 13 > 0 OR page > 1) AND f = 'A') AS bad FROM li GROUP BY k),
+x AS (SELECT o_orderkey, m.*, n + (k % 11 = 0)::INT AS pages, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END AS times FROM orders JOIN m ON k = o_orderkey)
+SELECT x.o_orderkey, CASE WHEN n <> pages THEN 'pages' WHEN unwritten <> '' THEN 'unwritten' WHEN k % 5 > 0 AND d * times <> pages * times THEN 'dual pages' WHEN floor(o_totalprice / 50) <= 1024 THEN 'bytes' END AS failure,
+  n AS mono_pages, CASE WHEN k % 5 > 0 THEN d * times END AS dual_pages, CASE WHEN k % 5 > 0 THEN bad * times ELSE 0 END AS size_mismatches, unwritten FROM x JOIN orders USING (o_orderkey)"""
+
 QUERIES = {
+    "verified_documents": (verified_documents, _VERIFIED),
     "separated_overlaps": (separated_overlaps, separated_sql("page")),
     "separated_streams": (separated_streams, separated_sql("page, name")),
     "operator_path_matches": (operator_path_matches, _PATH_MATCHES),

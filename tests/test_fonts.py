@@ -41,3 +41,11 @@ def test_lengths_stay_in_place(spark):
         assert patched(same) == same
     long = "x" * 300_000 + "/Length 5 0 R" + "y" * 300_000 + " 5 0 obj 9 endobj"
     assert patched(long) == long.replace("5 0 R", "9    ")
+
+
+def test_strings_names_and_numbers(spark):
+    assert read(spark, r"beginbfchar (\001) (\000A) <02> (\000\() <03> (a(b\)c)d%e) endbfchar % (comment" + "\nbeginbfchar <04> <0044> endbfchar") == {1: "A", 2: "(", 3: "愨戩挩搥", 4: "D"}
+    assert read(spark, "beginbfrange <01> <04> [<0041> /uni0042 67 /nothing] <09> <09> [/u1F600.alt] (\\007) (\\010) (\\000x) endbfrange") == {1: "A", 2: "B", 3: "C", 9: "\U0001f600", 7: "x", 8: "y"}
+    got = fonts.unicode_maps(spark.createDataFrame([(1, "beginbfrange <01> <01> [/eacute] endbfrange")], "font int, cmap string"), ["font"], "cmap", {"eacute": "é"}).collect()
+    assert [(r.cid, r.text) for r in got] == [(1, "é")]
+    assert fonts.bytes_of_string("a\\n\\\r\nb\\051\\7x\\y((z))) rest", 0) == (b"a\nb)\x07xy((z))", len("a\\n\\\r\nb\\051\\7x\\y((z)))")) and fonts.bytes_of_string("open (", 0) == (b"open (", 6)
