@@ -14,6 +14,7 @@ import hashlib
 import pickle
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -124,9 +125,10 @@ def _bounds(buckets: int) -> np.ndarray:
     return np.array([(k << _BITS) // buckets for k in range(buckets + 1)], np.uint64)
 
 
-def _sorted_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    langs, ids, follows, _, hashes = _read(blob)
-    return np.unique(np.concatenate([k for lang, i, f in zip(langs, ids, follows, strict=True) for k in _keys(lang, i, f, hashes)]), return_counts=True)
+def _all_keys(chunk: tuple) -> np.ndarray:
+    """The hashes of a chunk as _read() gives it: of the words of each language, and after these of its pairs."""
+    langs, ids, follows, _, hashes = chunk
+    return np.concatenate([k for lang, i, f in zip(langs, ids, follows, strict=True) for k in _keys(lang, i, f, hashes)])
 
 
 def _marks(chunks: DataFrame, buckets: int, least: int) -> DataFrame:
@@ -137,7 +139,7 @@ def _marks(chunks: DataFrame, buckets: int, least: int) -> DataFrame:
         bounds = _bounds(buckets)
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                keys, n = _sorted_keys(blob.as_py())
+                keys, n = np.unique(_all_keys(_read(blob.as_py())), return_counts=True)
                 at = np.searchsorted(keys, bounds)
                 raw, n = keys.view(np.uint8).reshape(-1, 8)[:, : _BITS // 8], np.minimum(n, least).astype(kind)
                 full = [b for b in range(buckets) if at[b + 1] > at[b]]
@@ -169,19 +171,20 @@ def _range_of(tag: bytes, words: bytes, ranges: int) -> int:
 
 def _sequences(blob: bytes, marks: list[dict], buckets: int, ranges: int, longest: int) -> dict[int, list[tuple[tuple[bytes, ...], int]]]:
     """Of each prefix range the sequences of a chunk, in order, and how often they occur: tag, then words."""
-    langs, ids, follows, words, hashes = _read(blob)
-    keys, _ = _sorted_keys(blob)
+    chunk = _read(blob)
+    langs, ids, follows, words, _ = chunk
+    keys, kind_of = np.unique(_all_keys(chunk), return_inverse=True)
     at, often = np.searchsorted(keys, _bounds(buckets)), np.zeros(len(keys), bool)
     for m in marks:
         lo, hi = at[m["bucket"]], at[m["bucket"] + 1]
         often[lo:hi] = np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=hi - lo).astype(bool)
+    often, done, word = often[kind_of], 0, np.array(words, object)
     out: dict[int, list[tuple[tuple[bytes, ...], int]]] = {}
     longer = []
     for lang, own, after in zip(langs, ids, follows, strict=True):
-        single, pair = _keys(lang, own, after, hashes)
-        frequent = often[np.searchsorted(keys, single)]
-        joined = np.zeros(len(own) + longest, bool)
-        joined[np.flatnonzero(after)] = often[np.searchsorted(keys, pair)]
+        frequent, done = often[done : done + len(own)], done + len(own)
+        joined, n_pairs = np.zeros(len(own) + longest, bool), int(after.sum())
+        joined[np.flatnonzero(after)], done = often[done : done + n_pairs], done + n_pairs
         name = lang.encode("utf-8", "replace")
         tag = _tag(name, 1)
         n = np.bincount(own[frequent], minlength=len(words))
@@ -204,8 +207,16 @@ def _sequences(blob: bytes, marks: list[dict], buckets: int, ranges: int, longes
         rows = np.stack((place, *taken))[:, order]
         begins = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0))))
         n = np.diff(np.append(begins, rows.shape[1]))
-        for (at_range, *sequence), count in zip(rows[:, begins].T.tolist(), n.tolist(), strict=True):
-            out.setdefault(at_range, []).append(((tag, *[words[k] for k in sequence if k >= 0]), count))
+        rows, sequences = rows[:, begins], [()] * len(begins)
+        length = (rows[1:] >= 0).sum(axis=0)
+        for size in range(2, longest + 1):
+            of_size = np.flatnonzero(length == size)
+            for k, sequence in zip(of_size.tolist(), zip(repeat(tag), *word[rows[1 : size + 1, of_size]]), strict=False):
+                sequences[k] = sequence
+        counted = list(zip(sequences, n.tolist(), strict=True))
+        ends = np.flatnonzero(np.diff(np.append(rows[0], -1))) + 1
+        for first, last in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out.setdefault(int(rows[0, first]), []).extend(counted[first:last])
     return out
 
 
