@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,17 +46,53 @@ class Features:
         order = np.argsort(owner, kind="stable")
         return index[order].astype(np.int64), np.searchsorted(owner[order], np.arange(len(texts) + 1))
 
-    def rows(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def rows(self, texts: list[str | None]) -> SparseRows:
         """Sparse rows: distinct indexes and values; a value is the count over the root of the number of features."""
-        out = []
+        out = SparseRows()
         for lo, hi in blocks([(t or "").encode("utf-8", "replace") for t in texts]):
             index, first = self.of(texts[lo:hi])
             for s, e in zip(first[:-1], first[1:], strict=True):
                 at, n = np.unique(index[s:e], return_counts=True)
-                out.append((at, n / np.sqrt(max(1, e - s))))
+                out.add(at, n, float(np.sqrt(max(1, e - s))))
         return out
 
 
+class SparseRows:
+    """Rows of indexes and counts, one after another in two buffers of 32 bits a number; a row is worked out when it is asked for."""
+
+    def __init__(self) -> None:
+        self.at, self.n, self.ends, self.root = array("i"), array("i"), [0], []
+
+    def add(self, at: np.ndarray, n: np.ndarray, root: float) -> None:
+        self.at.frombytes(at.astype(np.int32).tobytes())
+        self.n.frombytes(n.astype(np.int32).tobytes())
+        self.ends.append(len(self.at))
+        self.root.append(root)
+
+    def __len__(self) -> int:
+        return len(self.root)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        s, e = self.ends[i : i + 2]
+        return np.array(self.at[s:e], np.int64), np.array(self.n[s:e], np.int64) / self.root[i]
+
+
+class WithMore:
+    """Rows with further features, whose indexes come after dim: a row of more for each."""
+
+    def __init__(self, rows: SparseRows, more: np.ndarray, dim: int) -> None:
+        self.rows, self.more, self.at = rows, more, dim + np.arange(more.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, x = self.rows[i]
+        return np.append(at, self.at), np.append(x, self.more[i])
+
+
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -79,12 +117,13 @@ class Ftrl:
         z = self.z[at]
         return np.where(np.abs(z) <= self.l1, 0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> np.ndarray:
-        """Weights after some passes over the rows, each in another order; they are float32 and the last is the bias."""
-        order = np.random.default_rng(seed)
+    def fit(self, rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, only: np.ndarray | None = None, seed: int = 7) -> np.ndarray:
+        """Weights after some passes over the rows (of these numbers), each in another order; they are float32 and the last is the bias."""
+        order, own = np.random.default_rng(seed), np.arange(len(rows)) if only is None else only
         for _ in range(self.epochs):
-            for i in order.permutation(len(rows)):
-                at, x = np.append(rows[i][0], self.dim), np.append(rows[i][1], 1.0)
+            for i in own[order.permutation(len(own))].tolist():
+                at, x = rows[i]
+                at, x = np.append(at, self.dim), np.append(x, 1.0)
                 w = self._weights(at)
                 g = (sigmoid(float(w @ x)) - labels[i]) * x
                 more = self.n[at] + g * g

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.common import column, packed, unpacked
-from parchment.llm.linear import Features, Ftrl, margins, sigmoid
+from parchment.llm.linear import Features, Ftrl, WithMore, margins, sigmoid
 from parchment.llm.quality import labelled_sample
 
 #: Whole words and how words begin, whatever their case: abuse shows in either.
@@ -75,12 +75,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], us
             got, fold = got.sort_values("key", kind="stable").reset_index(drop=True), int(got["fold"].iloc[0])
             own = (got["key"] % folds == fold).to_numpy()
             early = np.array([seen.get(x, ()) for x in got["key"]]).reshape(len(got), k)
-            rows = [(np.append(at, dim + np.arange(k)), np.append(x, e)) for (at, x), e in zip(features.rows(got["text"].tolist()), early, strict=True)]
-            use = np.flatnonzero(~own)
-            w = Ftrl(dim + k, alpha=alpha, l1=l1).fit([rows[i] for i in use], got[category].to_numpy(float)[use])
+            rows = WithMore(features.rows(got["text"].tolist()), early, dim)
+            w = Ftrl(dim + k, alpha=alpha, l1=l1).fit(rows, got[category].to_numpy(float), np.flatnonzero(~own))
             if fold == folds:  # no key leaves this remainder: the model on all rows
                 return pd.DataFrame({"key": [0], "label": [0], "p": [0.0], "weights": [w.tobytes()]})
-            p = [float(sigmoid(rows[i][1] @ w[rows[i][0]] + w[-1])) for i in np.flatnonzero(own)]
+            p = [float(sigmoid(x @ w[at] + w[-1])) for at, x in (rows[i] for i in np.flatnonzero(own).tolist())]
             return pd.DataFrame({"key": got["key"][own], "label": got[category][own], "p": p, "weights": [None] * len(p)})
 
         return fit
