@@ -38,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = lambda text: [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), text.alias("text")]
     found = found.groupBy(*key(F.col("text_hash"))).agg(F.bool_or("kept").alias("one"), F.bool_and("kept").alias("all"), F.count("*").alias("n"))
     found = write_table(found.filter(~F.col("all")).drop("all"), "near-duplicates")
-    met = join_groups(docs.select(packed(docs), *key(F.xxhash64("text"))), found, ["none", "key", "text"], "n", F.monotonically_increasing_id())
+    met = join_groups(docs.select(packed(docs), *key(F.xxhash64("text"))), found, ["none", "key", "text"], "n", F.monotonically_increasing_id(), shuffle=True)
     # rows that repeat both id and text, of which one stays
     one = met.filter("one").groupBy("none", "key", "text").agg(F.first("row").alias("row"))
     rest = met.filter(F.col("one").isNull()).select("row").unionByName(one.select("row"))
