@@ -57,14 +57,15 @@ def unpacked(df: DataFrame) -> list[Column]:
     return [inside(c).alias(c) for c in df.schema["row"].dataType.names]
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, spread: Column, how: str = "left") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, spread: Column, how: str = "left", shuffle: bool = False) -> DataFrame:
     """Join rows to one-row-per-key groups without sending a large group to one task.
 
     size_col of groups has the number of rows of each key. A group of more than a quarter of an average
     partition is heavy. The sizes add up to at most the number of rows, so there are fewer than
     4 x spark.sql.shuffle.partitions heavy groups whatever the data: they are broadcast. The other groups are
     joined by a shuffle, in which the rows that found their heavy group are dealt out by spread.
-    groups is read three times, so it should be a written table. how is "left" or "inner". Besides the keys, rows and
+    groups is read three times, so it should be a written table. how is "left" or "inner". With shuffle, the other groups are never
+    broadcast, however few they are, so that large rows cost the same share at every size. Besides the keys, rows and
     groups have no names in common; columns of any other name are safe.
     """
     taken = {c.lower() for c in [*rows.columns, *groups.columns]}
@@ -82,6 +83,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: s
     found = F.struct(*map(column, others))
     heavy = groups.filter(is_heavy).select(*map(column, keys), found.alias(heavy_col))
     light = groups.filter(~is_heavy).select(*map(column, keys), F.lit(0).cast("long").alias(salt), found.alias(light_col))
+    light = light.hint("merge") if shuffle else light
     met = rows.join(F.broadcast(heavy), keys, "left")
     met = met.withColumn(salt, F.when(column(heavy_col).isNotNull(), F.xxhash64(spread)).otherwise(F.lit(0).cast("long")))
     met = met.join(light, [*keys, salt], "left").withColumn(group, F.coalesce(column(heavy_col), column(light_col)))

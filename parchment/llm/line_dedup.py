@@ -59,7 +59,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = write_table(cuts.withColumn("n", F.expr("n div size(cuts)")), "cuts")
 
     keyed = docs.select(packed(docs, "n_lines", "n_removed", "removed"), *name(column(id_col)), F.xxhash64(column(text_col)).alias("text"))
-    met = join_groups(keyed, cuts, ["none", "key", "text"], "n", F.monotonically_increasing_id()).select("row", F.coalesce("cuts", F.array().cast(_RANGES)).alias("cuts"))
+    met = join_groups(keyed, cuts, ["none", "key", "text"], "n", F.monotonically_increasing_id(), shuffle=True).select("row", F.coalesce("cuts", F.array().cast(_RANGES)).alias("cuts"))
     # later cuts end no earlier than earlier ones, so a merged cover starts where a cut doesn't reach the one before it,
     # and ends where one isn't reached by the next
     starts = F.filter("cuts", lambda c, i: (i == 0) | (c["first"] > F.get("cuts", i - 1)["last"] + 1))
