@@ -20,8 +20,8 @@ def normalised(text_col: str = "text") -> Column:
     return F.translate(F.coalesce(column(text_col), F.lit("")), WHITESPACE, "")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128) -> DataFrame:
-    """All columns of docs, and for each row keep_id, group_size and kept.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, columns: list[str] | None = None) -> DataFrame:
+    """The columns of docs (all, or those asked for), and for each row keep_id, group_size and kept.
 
     Texts are equal when their normalised forms are. Of equal texts the row with the most code points in the original
     text stays, then the one with the smallest id (a null id comes first), then one of the rows that repeat it.
@@ -30,7 +30,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The first scan takes length and first characters of each text; the first two levels count those. The
     second scan deals texts by length and prefix hash, so that a text is hashed where its group is at least two rows.
-    Groups larger than a quarter of a partition are never dealt by their key: see join_groups.
+    Groups larger than a quarter of a partition are never dealt by their key: see join_groups. Columns that are not asked for, the text
+    among them, are not written.
     """
     bare = normalised(text_col)
     heads = write_table(docs.select(F.char_length(bare).alias("len"), F.substring(bare, 1, prefix_chars).alias("head")), "exact-heads")
@@ -40,17 +41,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cells = write_table(cells, "exact-cells")
 
     # columns travel by number rather than in a struct, so that those that nobody asks for are never shuffled
-    names = [c for c in docs.columns if c.lower() not in ("keep_id", "group_size", "kept")]
+    names = [c for c in docs.columns if c.lower() not in ("keep_id", "group_size", "kept") and (columns is None or c in columns)]
     numbers = [f"c{k}" for k in range(len(names))]
+    body = next((k for c, k in zip(names, numbers, strict=True) if c.lower() == text_col.lower()), "text")
     rows = docs.select(
         *[column(c).alias(k) for c, k in zip(names, numbers, strict=True)],
+        *([column(text_col).alias("text")] if body == "text" else []),
         column(id_col).alias("id"),
         F.char_length(bare).alias("len"),
         F.xxhash64(F.substring(bare, 1, prefix_chars)).alias("prefix"),
         F.monotonically_increasing_id().alias("at"),
     )
     hashed = join_groups(rows, cells, ["len", "prefix"], "cell", F.col("at"))
-    text = F.coalesce(F.col(numbers[[c.lower() for c in names].index(text_col.lower())]), F.lit(""))
+    text = F.coalesce(F.col(body), F.lit(""))
     full = F.when(F.col("cell").isNotNull(), F.sha2(F.encode(F.translate(text, WHITESPACE, ""), "utf-8"), 256))
     hashed = write_table(hashed.select(*numbers, "id", "at", F.char_length(text).alias("chars"), full.alias("full")), "exact-hashed")
 

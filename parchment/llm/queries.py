@@ -30,7 +30,7 @@ def harms(labels: DataFrame) -> DataFrame:
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.encode(exact_dedup.normalised(), "utf-8"), 256).alias("text_sha256"))
-    return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_dedup(docs, columns=["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,8 @@ def test_shingles_are_those_of_plain_python():
         assert len(ours) == len(shingles(t))
 
 
+def test_columns_asked_for(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, "ab", "y"), (3, None, "z")], "doc_id long, text string, more string")
+    whole = {tuple(r) for r in exact_dedup(docs).select("doc_id", "more", "keep_id", "group_size", "kept").collect()}
+    few = exact_dedup(docs, columns=["doc_id", "more"])
+    assert few.columns == ["doc_id", "more", "keep_id", "group_size", "kept"] and {tuple(r) for r in few.collect()} == whole
