@@ -184,7 +184,7 @@ QUERIES = {
     "provider_views": (provider_views, "WITH p AS (SELECT n_regionkey AS kind, arg_min(n_name, n_nationkey) AS preset FROM nation GROUP BY 1) SELECT s_nationkey AS kind, s_suppkey AS provider_id, preset, s_acctbal > 0 AS has_key FROM supplier LEFT JOIN p ON kind = s_nationkey"),
     "valid_defaults": (valid_defaults, "SELECT DISTINCT l_suppkey AS provider_id, l_partkey % 7 AS model FROM lineitem JOIN supplier ON l_suppkey = s_suppkey AND l_partkey % 7 = s_nationkey % 7"),
     "translators_by_provider": (translators_by_provider, "SELECT o_custkey AS provider_id, arg_min(o_orderpriority, o_orderkey) AS name, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS models FROM orders GROUP BY o_custkey"),
-    "page_spine": (page_spine, "SELECT o_orderkey AS page, count(l_orderkey) AS n, coalesce(string_agg((l_linenumber * 1000000 + l_partkey)::VARCHAR, ',' ORDER BY l_linenumber, l_partkey), '') AS ords FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND o_orderkey % 3 > 0 GROUP BY o_orderkey"),
+    "page_spine": (page_spine, "SELECT o_orderkey AS page, count(l_orderkey) AS n, coalesce(string_agg((l_linenumber * 1000000 + l_partkey)::VARCHAR, ',' ORDER BY l_linenumber * 1000000 + l_partkey), '') AS ords FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND o_orderkey % 3 > 0 GROUP BY o_orderkey"),
     "kept_pages": (kept_pages, "SELECT page_id FROM pages WHERE page_id % 4 <> 1"),
     "pages_in_both": (pages_in_both, "SELECT conv_id, turn AS page FROM conversations WHERE turn < 3"),
     "boxes_by_confidence": (boxes_by_confidence, "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY conf DESC, model_ord) - 1 AS box_idx FROM (SELECT DISTINCT l_orderkey, l_discount AS conf, l_linenumber * 1000000 + l_partkey AS model_ord FROM lineitem)"),
