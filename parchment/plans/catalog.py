@@ -125,8 +125,9 @@ _MS = f"CASE WHEN started_at IS NOT NULL THEN greatest(0, epoch_ms(CASE WHEN buc
 
 
 def _bytes(n: str) -> str:
+    """Halves go up, as in toFixed(): printf alone would round 2.25 to the even 2.2."""
     return f"""CASE WHEN {n} <= 0 THEN '0 KB' WHEN floor({n} / 1024 + 0.5) < 1024 THEN greatest(1, floor({n} / 1024 + 0.5)::BIGINT) || ' KB'
-      WHEN round({n} / 1024 / 1024, 1) < 1024 THEN printf('%.1f', {n} / 1024 / 1024) || ' MB' ELSE printf('%.2f', {n} / 1024 / 1024 / 1024) || ' GB' END"""
+      WHEN round({n} / 1024 / 1024, 1) < 1024 THEN printf('%.1f', floor({n} / 1024 / 1024 * 10 + 0.5) / 10) || ' MB' ELSE printf('%.2f', floor({n} / 1024 / 1024 / 1024 * 100 + 0.5) / 100) || ' GB' END"""
 
 
 _NUMS = lambda c: f"list_transform(string_split_regex(regexp_replace({c}, '^v', ''), '[.-]'), lambda p: coalesce(try_cast(p AS INT), 0))"
