@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Bits of a weight of resampling along one axis.
 WEIGHT_BITS = 11
+#: Rows of results that are put into one batch: small groups share one.
+BATCH_ROWS = 4096
+#: Up to so many boxes, pairs are compared one by one, which takes less than the arrays of a sweep.
+FEW_BOXES = 24
 
 
 def by_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], list[tuple]], schema) -> DataFrame:
@@ -21,22 +25,27 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable[
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held, kinds = None, [], None
+        kinds = pa.schema([(f.name, _arrow(f.dataType)) for f in schema])
+        here, held, made = None, [], []
 
-        def done() -> pa.RecordBatch:
-            made = list(zip(*work(held), strict=True)) or [()] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, kinds, strict=True)], schema=kinds)
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), kinds, strict=True)], schema=kinds)
+            made.clear()
+            return out
 
         for got in batches:
-            kinds = kinds or pa.schema([(f.name, _arrow(f.dataType)) for f in schema])
             for row in zip(*(c.to_pylist() for c in got.columns), strict=True):
                 if row[:n] != here:
                     if held:
-                        yield done()
+                        made.extend(work(held))
+                        if len(made) >= BATCH_ROWS:
+                            yield flush()
                     here, held = row[:n], []
                 held.append(row)
         if held:
-            yield done()
+            made.extend(work(held))
+        if made:
+            yield flush()
 
     def _arrow(kind) -> pa.DataType:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -69,18 +78,37 @@ def overlapping(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(i, j), np.maximum(i, j)
 
 
+def few_overlapping(p: list[list[float]]) -> list[tuple[int, int]]:
+    """overlapping() for a few boxes, each pair compared."""
+    met = []
+    for i, (ax0, ay0, ax1, ay1) in enumerate(p):
+        for j in range(i + 1, len(p)):
+            bx0, by0, bx1, by1 = p[j]
+            if ax0 < bx1 and ax1 > bx0 and ay0 < by1 and ay1 > by0:
+                met.append((i, j))
+    return met
+
+
 def part_overlaps(boxes: np.ndarray) -> np.ndarray:
-    """Boxes (x0, y0, x1, y1) after the repair of overlaps, with the result of going over all pairs in order again and again.
+    """part() for an array of boxes."""
+    return np.array(part(boxes.tolist())) if len(boxes) > 1 else boxes
+
+
+def part(p: list[list[float]]) -> list[list[float]]:
+    """Boxes [x0, y0, x1, y1] after the repair of overlaps, with the result of going over all pairs in order again and again.
 
     Of a pair that overlaps, neither between the other's top and bottom, the upper box's lower edge goes a unit above the middle of the overlap,
     the lower one's upper edge a unit below. Boxes only shrink, so only pairs that overlap at first can do so later, and a pair is
-    looked at again only when one of its boxes has moved.
+    looked at again only when one of its boxes has moved. The given boxes are changed in place.
     """
-    if len(boxes) < 2:
-        return boxes
-    first, second = overlapping(boxes)
-    p, partners = boxes.tolist(), {}
-    todo = sorted((0, i, j) for i, j in zip(first.tolist(), second.tolist(), strict=True))
+    if len(p) < 2:
+        return p
+    if len(p) <= FEW_BOXES:
+        met = few_overlapping(p)
+    else:
+        first, second = overlapping(np.array(p, np.float64))
+        met = sorted(zip(first.tolist(), second.tolist(), strict=True))
+    todo, partners = [(0, i, j) for i, j in met], {}
     for _, i, j in todo:
         partners.setdefault(i, []).append(j)
         partners.setdefault(j, []).append(i)
@@ -106,7 +134,7 @@ def part_overlaps(boxes: np.ndarray) -> np.ndarray:
                 if again not in waiting:
                     waiting.add(again)
                     heapq.heappush(todo, again)
-    return np.array(p)
+    return p
 
 
 def separate_overlaps(boxes: DataFrame, page: str, box: str, stream: str | None = None) -> DataFrame:
@@ -115,11 +143,12 @@ def separate_overlaps(boxes: DataFrame, page: str, box: str, stream: str | None
     Boxes go in order of box. A null stream is a stream too. A task holds one page, or one stream of it, at a time.
     """
     keys = [page, *([stream] if stream else [])]
-    rows = boxes.select(*keys, box, "x0", "y0", "x1", "y1")
+    rows = boxes.select(*keys, box, *[F.coalesce(F.col(c).cast("double"), F.lit(math.nan)).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
     def work(held: list[tuple]) -> list[tuple]:
-        moved = part_overlaps(np.array([h[-4:] for h in held], np.float64)).tolist()
-        return [(*h[:-4], *m) for h, m in zip(held, moved, strict=True)]
+        if len(held) == 1:
+            return held
+        return [(*h[:-4], *m) for h, m in zip(held, part([list(h[-4:]) for h in held]), strict=True)]
 
     return by_group(rows, keys, [box], work, rows.schema)
 
