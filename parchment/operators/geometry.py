@@ -20,32 +20,36 @@ BATCH_ROWS = 4096
 FEW_BOXES = 24
 
 
+def group_batches(batches: Iterator[pa.RecordBatch], n: int, work: Callable[[list[tuple]], list[tuple]], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """by_group() for the batches of a task; the first n columns are the keys. Results of small groups share a batch."""
+    here, held, made = None, [], []
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), kinds, strict=True)], schema=kinds)
+        made.clear()
+        return out
+
+    for got in batches:
+        for row in zip(*(c.to_pylist() for c in got.columns), strict=True):
+            if row[:n] != here:
+                if held:
+                    made.extend(work(held))
+                    if len(made) >= BATCH_ROWS:
+                        yield flush()
+                here, held = row[:n], []
+            held.append(row)
+    if held:
+        made.extend(work(held))
+    if made:
+        yield flush()
+
+
 def by_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], list[tuple]], schema) -> DataFrame:
     """What work makes of the rows of each group, in order. Groups are dealt out and sorted; a task holds one at a time. Null is a key too."""
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([(f.name, _arrow(f.dataType)) for f in schema])
-        here, held, made = None, [], []
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), kinds, strict=True)], schema=kinds)
-            made.clear()
-            return out
-
-        for got in batches:
-            for row in zip(*(c.to_pylist() for c in got.columns), strict=True):
-                if row[:n] != here:
-                    if held:
-                        made.extend(work(held))
-                        if len(made) >= BATCH_ROWS:
-                            yield flush()
-                    here, held = row[:n], []
-                held.append(row)
-        if held:
-            made.extend(work(held))
-        if made:
-            yield flush()
+        return group_batches(batches, n, work, pa.schema([(f.name, _arrow(f.dataType)) for f in schema]))
 
     def _arrow(kind) -> pa.DataType:
         from pyspark.sql.pandas.types import to_arrow_type
