@@ -74,14 +74,12 @@ def strip_reasoning(reply: Column) -> Column:
 
 
 def clean_json_output(reply: Column) -> Column:
-    """The reply without the tags and fences that models put around JSON: each is taken off once, in this order."""
+    """The reply without the tags and fences that models put around JSON: each is taken off once, in this order.
 
-    def without(text: Column, mark: str, at_end: bool = False) -> Column:
-        rest = F.left(text, F.length(text) - len(mark)) if at_end else F.substring(text, len(mark) + 1, 1 << 30)
-        return F.when(text.endswith(mark) if at_end else text.startswith(mark), rest).otherwise(text)
-
-    marks = [("<json>", False), ("</json>", True), ("```json", False), ("```", False), ("```", True)]
-    return strip(reduce(lambda text, m: without(text, *m), marks, strip(reply)))
+    Each step names the text before it once, or the expression would double with every step.
+    """
+    marks = [r"\A<json>", r"</json>\z", r"\A```json", r"\A```", r"```\z"]
+    return strip(reduce(lambda text, m: F.regexp_replace(text, m, ""), marks, strip(reply)))
 
 
 def redact(text: Column, keys: list[str]) -> Column:

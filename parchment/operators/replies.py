@@ -41,8 +41,8 @@ def batch_items(replies: DataFrame, reply: str, expected: Column) -> DataFrame:
 
 def extracted_terms(reply: Column) -> Column:
     """The term pairs (src, tgt) of a reply: both filled, source under 100 characters, equal pairs of 3 or more."""
-    text = clean_json_output(reply)
-    items = F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), "array<struct<src:string,tgt:string>>")
+    listed = F.regexp_replace(clean_json_output(reply), r"(?s)\A(?!\[)(.*)\z", "[$1]")
+    items = F.from_json(listed, "array<struct<src:string,tgt:string>>")
     pairs = F.transform(items, lambda r: F.struct(strip(r["src"]).alias("src"), strip(r["tgt"]).alias("tgt")))
     return F.filter(pairs, lambda r: (r["src"] != "") & (r["tgt"] != "") & (F.length(r["src"]) < 100) & ~((r["src"] == r["tgt"]) & (F.length(r["src"]) < 3)))
 

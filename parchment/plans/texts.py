@@ -144,8 +144,8 @@ def reply_items(spark, d):
 
 def extracted_terms(spark, d):
     b = table(spark, d, "part").select("p_partkey", F.to_json(F.array(F.struct(F.col("p_name").alias("src"), F.upper("p_name").alias("tgt")), F.struct(F.left("p_name", F.lit(2)).alias("src"), F.left("p_name", F.lit(2)).alias("tgt")))).alias("reply"))
-    terms = replies.extracted_terms(F.col("reply"))
-    return b.select("p_partkey", F.size(terms).cast("long").alias("n"), F.get(terms, F.lit(0))["tgt"].alias("tgt"))
+    terms = F.col("terms")
+    return b.select("p_partkey", replies.extracted_terms(F.col("reply")).alias("terms")).select("p_partkey", F.size(terms).cast("long").alias("n"), F.get(terms, F.lit(0))["tgt"].alias("tgt"))
 
 
 def error_classify(spark, d):
