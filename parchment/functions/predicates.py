@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -123,6 +124,11 @@ def ends_document(kind: Column) -> Column:
     return kind.isin("user", "exhausted", "fatal", "credential")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def classify_body(lower: Column) -> Column:
     found = reduce(lambda c, p: c.when(lower.rlike(p[1]), p[0]), BODY_PATTERNS[1:], F.when(lower.rlike(BODY_PATTERNS[0][1]), BODY_PATTERNS[0][0]))
     return found.when(lower.contains("insufficient") & lower.rlike("balance|quota|credit"), "credential")
@@ -146,23 +152,29 @@ def classify_http(status: Column, body: Column) -> Column:
     whose body speaks of a rate limit, are rate limits, unless a 429 is for want of credit. Of what is left, 4xx is rejected and all else transient.
     """
     table = lambda kinds: F.create_map(*[F.lit(x) for kind, codes in kinds.items() for code in codes for x in (code, kind)])
-    lower, whole = F.lower(body), status.cast("int")
-    whole = F.when(whole == status, whole)
-    unpaid = lower.contains("insufficient") | lower.contains("exceeded your current quota")
-    limited = F.when(status == 429, ~F.coalesce(unpaid, F.lit(False))).when(status == 403, lower.contains("rate") & lower.contains("limit"))
-    unsaid = F.coalesce(F.try_element_at(table(UNSAID_KINDS), whole), F.when(status.between(200, 299), "transient"))
-    by_rule = F.when(limited, "rateLimited").when(status == 429, "credential").when(unsaid.isNotNull(), F.coalesce(classify_body(lower), unsaid))
-    return F.coalesce(F.try_element_at(table(STATUS_KINDS), whole), by_rule, F.when(status.between(400, 499), "rejected"), F.lit("transient"))
+
+    def kind_of(status: Column, lower: Column, whole: Column) -> Column:
+        unpaid = lower.contains("insufficient") | lower.contains("exceeded your current quota")
+        limited = F.when(status == 429, ~F.coalesce(unpaid, F.lit(False))).when(status == 403, lower.contains("rate") & lower.contains("limit"))
+        unsaid = F.coalesce(F.try_element_at(table(UNSAID_KINDS), whole), F.when(status.between(200, 299), "transient"))
+        by_rule = F.when(limited, "rateLimited").when(status == 429, "credential").when(unsaid.isNotNull(), F.coalesce(classify_body(lower), unsaid))
+        return F.coalesce(F.try_element_at(table(STATUS_KINDS), whole), by_rule, F.when(status.between(400, 499), "rejected"), F.lit("transient"))
+
+    given = F.struct(status.alias("status"), F.lower(body).alias("lower"))
+    return let(given, lambda g: kind_of(g["status"], g["lower"], F.when(g["status"].cast("int") == g["status"], g["status"].cast("int"))))
 
 
 def classify_reply(status: Column, body: Column) -> Column:
     """classify_http, but a success whose body has an object "error" counts as the status that is its code or status, if that is a number from 400 to 599."""
-    error = F.get_json_object(body, "$.error")
-    typed = F.from_json(error, "code double, status double")
     embedded = lambda c: F.when((c >= 400) & (c < 600), c)
-    inside = status.between(200, 299) & error.startswith("{")
-    real = F.when(inside, F.coalesce(embedded(typed["code"]), embedded(typed["status"]), F.lit(200.0))).otherwise(status.cast("double"))
-    return classify_http(real, F.when(inside, error).otherwise(body))
+    coded = lambda error: let(F.from_json(error, "code double, status double"), lambda t: F.coalesce(embedded(t["code"]), embedded(t["status"]), F.lit(200.0)))
+
+    def read(g: Column) -> Column:
+        inside = g["status"].between(200, 299) & g["error"].startswith("{")
+        return F.struct(F.when(inside, coded(g["error"])).otherwise(g["status"].cast("double")).alias("status"), F.when(inside, g["error"]).otherwise(g["body"]).alias("body"))
+
+    given = F.struct(status.alias("status"), body.alias("body"), F.get_json_object(body, "$.error").alias("error"))
+    return let(given, lambda g: let(read(g), lambda r: classify_http(r["status"], r["body"])))
 
 
 def wait_for(kind: Column, retry_after_ms: Column) -> Column:
