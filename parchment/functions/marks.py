@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parchment.functions.predicates import is_numeric, is_placeholder_only
+from parchment.functions.text import by_slices
 
 #: With more marks than this, styled text goes without.
 MOST_MARKS = 40
@@ -73,12 +74,13 @@ def marked_text(parts: Column, text: Column) -> Column:
     @F.arrow_udf(f"struct<text:string,marks:{_MARKS}>")
     def marked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for given, texts in batches:
-            yield pa.array([None if p is None else mark(p, t) for p, t in zip(given.to_pylist(), texts.to_pylist(), strict=True)], kind)
+            yield by_slices(lambda ps, ts: [None if p is None else mark(p, t) for p, t in zip(ps, ts, strict=True)], kind, given, texts)
 
+    read = F.transform(parts, lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text"), p["plain"].alias("plain")))
     sent = ~F.coalesce(is_numeric(text), F.lit(False)) & ~F.coalesce(is_placeholder_only(text), F.lit(False)) & (F.size(parts) > 0)
     whole = F.struct(text.alias("text"), F.array().cast(_MARKS).alias("marks"))
     one = F.when(F.get(parts, F.lit(0))["kind"] != "formula", whole)
-    return F.when(sent, F.when(F.size(parts) == 1, one).otherwise(marked(parts, text)))
+    return F.when(sent, F.when(F.size(parts) == 1, one).otherwise(marked(read, text)))
 
 
 def _known(marks: list[dict]) -> tuple[dict[str, dict], dict[str, dict]]:
@@ -132,7 +134,7 @@ def reply_pieces(reply: Column, marks: Column, source: Column) -> Column:
     @F.arrow_udf("array<struct<kind:string,text:string,part:int>>")
     def split(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for replies, sent, sources in batches:
-            rows = zip(replies.to_pylist(), sent.to_pylist(), sources.to_pylist(), strict=True)
-            yield pa.array([None if r is None else split_reply(r, m or [], {t[0] for t in _ANY.finditer(s or "")}) for r, m, s in rows], kind)
+            one = lambda r, m, s: None if r is None else split_reply(r, m or [], {t[0] for t in _ANY.finditer(s or "")})
+            yield by_slices(lambda *rows: list(map(one, *rows)), kind, replies, sent, sources)
 
     return split(reply, marks, source)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as whitespace, as the inside of a regular expression's class.
 SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
+#: Rows that by_slices has as Python objects at once.
+SLICE_ROWS = 64
+
 #: Most code points of a file name's stem, a title and a quoted reply.
 STEM_MAX, TITLE_MAX, SNIPPET_MAX = 120, 300, 400
 
@@ -18,6 +23,12 @@ DEFAULT_STEM = "文档"
 OUTPUT_NAMES = {"mono": "-中文译文.pdf", "dual": "-双语对照.pdf", "bundle": "-完整文件.zip", "glossary": "-术语表.csv"}
 
 
+def by_slices(work: Callable[..., list], kind: pa.DataType, *columns: pa.Array, rows: int = SLICE_ROWS) -> pa.Array:
+    """work of the values of columns, a few rows at a time, so that no more than those are Python objects at once."""
+    made = [pa.array(work(*(c.slice(at, rows).to_pylist() for c in columns)), kind) for at in range(0, len(columns[0]), rows)]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
