@@ -6,25 +6,28 @@ import json
 from collections.abc import Iterator
 from unicodedata import normalize
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parchment.functions.text import collapse_spaces
+from parchment.functions.text import by_slices, collapse_spaces
 
 FORMULA = r"\{\s*v\s*\d+\s*\}"
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition: no built-in function has it, so it runs over Arrow batches."""
+    """Compatibility composition: no built-in function has it, so it runs over Arrow batches, a few texts at a time.
 
-    @F.pandas_udf("string")
-    def composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Texts of ASCII alone are in that form, and are not sent.
+    """
+
+    @F.arrow_udf("string")
+    def composed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for got in batches:
-            yield got.map(lambda t: normalize("NFKC", t), na_action="ignore")
+            yield by_slices(lambda texts: [t if t is None else normalize("NFKC", t) for t in texts], pa.string(), got)
 
-    return composed(text)
+    more = F.octet_length(text) > F.char_length(text)
+    return F.when(more, composed(F.when(more, text))).otherwise(text)
 
 
 def normalize_spaces(text: Column) -> Column:
