@@ -4,33 +4,40 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parchment.operators import glossary
-from parchment.sources.library import decode_csv, for_language
+from parchment.sources.library import decoded_text, for_language
 
-_ROWS = "array<array<string>>"
+_ENTRY = pa.schema([("ord", pa.int32()), ("source", pa.string()), ("target", pa.string()), ("tgt_lng", pa.string())])
+#: Entries that a task holds as Python objects at once, whatever the size of a file.
+BATCH_ROWS = 4096
 
 
-def parsed_rows(text: str) -> list[list[str]]:
+def read_rows(text: str) -> Iterator[list[str]]:
     """The rows of a CSV text. Quotes count at the start of a field only and are doubled inside; CR, LF and both end rows, blank rows are none."""
     csv.field_size_limit(1 << 31)
-    return [row for row in csv.reader(io.StringIO(text, newline="")) if row]
+    return filter(None, csv.reader(io.StringIO(text, newline="")))
 
 
-def csv_rows(text: Column) -> Column:
-    """parsed_rows of a text; null for null. Rows have as many fields as they have."""
+def parsed_rows(text: str) -> list[list[str]]:
+    return list(read_rows(text))
 
-    @F.arrow_udf(_ROWS)
-    def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([None if t is None else parsed_rows(t) for t in texts.to_pylist()], pa.list_(pa.list_(pa.string())))
 
-    return parsed(text)
+def file_entries(raw: bytes | None) -> Iterator[tuple[int, str, str, str | None]] | None:
+    """ord, source, target and tgt_lng of a file's rows one after another; None if it lacks the columns source and target."""
+    rows = read_rows(decoded_text(raw) or "")
+    header = next(rows, [])
+    if "source" not in header or "target" not in header:
+        return None
+    at = [header.index(c) if c in header else -1 for c in ("source", "target", "tgt_lng")]
+    return ((n, *(None if i < 0 else row[i] if i < len(row) else "" for i in at)) for n, row in enumerate(rows, 1))
 
 
 def entries(files: DataFrame, by: list[str], language: str) -> tuple[DataFrame, DataFrame]:
@@ -39,15 +46,27 @@ def entries(files: DataFrame, by: list[str], language: str) -> tuple[DataFrame,
     Entries have the columns of by, ord, source and target. What a row lacks is empty. Those for another language go; of entries of
     one file whose sources are the same but for case and blanks, the first one stays. A file without rows lacks both columns.
     """
-    texts = decode_csv(files.select(*by, "content"))
-    rows = texts.select(*by, csv_rows(F.col("text")).alias("rows")).withColumn("header", F.coalesce(F.get("rows", F.lit(0)), F.array().cast("array<string>")))
-    place = lambda name: F.array_position("header", F.lit(name)).cast("int") - 1
-    rows = rows.select(*by, "rows", *[place(c).alias(f"at_{c}") for c in ("source", "target", "tgt_lng")])
-    whole = (F.col("at_source") >= 0) & (F.col("at_target") >= 0)
-    field = lambda c: F.when(F.col(f"at_{c}") >= 0, F.coalesce(F.get("row", F.col(f"at_{c}")), F.lit("")))
-    found = rows.filter(whole).select(*by, "at_source", "at_target", "at_tgt_lng", F.posexplode("rows").alias("ord", "row")).filter("ord > 0")
-    found = for_language(found.select(*by, "ord", *[field(c).alias(c) for c in ("source", "target", "tgt_lng")]), language).drop("tgt_lng")
-    return glossary.dedupe(found, by).select(*by, "ord", "source", "target"), rows.filter(~F.coalesce(whole, F.lit(False))).select(*by)
+    n = len(by)
+
+    def parsed(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for got in batches:
+                for i in range(got.num_rows):
+                    own, found = got.slice(i, 1), file_entries(got.column(n)[i].as_py())
+                    if not whole:
+                        yield own.select(list(range(n))).slice(0, 0 if found else 1)
+                        continue
+                    for some in itertools.batched(found or (), BATCH_ROWS):
+                        keys = [own.column(k).take(pa.array([0] * len(some))) for k in range(n)]
+                        yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, t) for c, t in zip(zip(*some, strict=True), _ENTRY.types, strict=True))], names=[*by, *_ENTRY.names])
+
+        return run
+
+    files = files.select(*by, "content")
+    keyed = files.select(*by)
+    found = files.mapInArrow(parsed(True), StructType([*keyed.schema.fields, *StructType.fromDDL("ord int, source string, target string, tgt_lng string").fields]))
+    found = for_language(found, language).drop("tgt_lng")
+    return glossary.dedupe(found, by).select(*by, "ord", "source", "target"), files.mapInArrow(parsed(False), keyed.schema)
 
 
 def load(wanted: DataFrame, known: DataFrame, files: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:

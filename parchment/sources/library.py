@@ -98,18 +98,20 @@ def for_language(entries: DataFrame, language: str) -> DataFrame:
     return kept.withColumns({"source": F.coalesce("source", F.lit("")), "target": F.coalesce("target", F.lit(""))})
 
 
+def decoded_text(raw: bytes | None) -> str | None:
+    """One file's text as decode_csv has it."""
+    try:
+        return None if raw is None else raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return raw.decode("gb18030", "replace")
+
+
 def decode_csv(files: DataFrame, column: str = "content") -> DataFrame:
     """Files with text: UTF-8 without the mark at its start, or else GB18030, in which bad bytes are replaced."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            texts = []
-            for raw in got.column(column).to_pylist():
-                try:
-                    texts.append(None if raw is None else raw.decode("utf-8-sig"))
-                except UnicodeDecodeError:
-                    texts.append(raw.decode("gb18030", "replace"))
-            yield got.append_column("text", pa.array(texts, pa.string()))
+            yield got.append_column("text", pa.array(map(decoded_text, got.column(column).to_pylist()), pa.string()))
 
     return files.mapInArrow(decoded, files.withColumn("text", F.lit("")).schema)
 
