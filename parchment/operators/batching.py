@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from parchment.functions.predicates import is_cid, is_numeric, is_placeholder_only
-from parchment.operators.machines import fold
 
 #: Tokens and paragraphs that a batch may pass before it is closed: for term extraction and for translation.
 TERMS, TRANSLATE = (600, 12), (200, 5)
@@ -159,18 +160,32 @@ def style_runs(chars: DataFrame, by: list[str], order: str, slack: float = 0.02)
     """Runs of consecutive characters of one style (kind, font, size and graphics state), which formulas break.
 
     A character goes on with a run if its size differs by less than slack from that of the run's first one. Characters are read in
-    order, with a state of that one's style.
+    order by one task, which holds the run that it is in and gives it out when it ends.
     """
-
-    def step(s: dict, c: tuple) -> tuple:
-        style = (c.kind, c.font, c.gstate)
-        if style != s["style"] or c.size is None or s["size"] is None or abs(c.size - s["size"]) >= slack:
-            s.update(style=style, size=c.size, run=s["run"] + 1)
-        return (s["run"],)
-
-    rows = chars.select(*by, order, "kind", "font", "size", "gstate")
-    numbered = fold(rows, by, [order, "kind", "font", "size", "gstate"], lambda: {"style": None, "size": None, "run": 0}, step, "run long")
-    return numbered.groupBy(*by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min_by("font", order).alias("font"), F.min_by("size", order).alias("size"), F.count("*").alias("n"))
+    n, given = len(by), dict(chars.dtypes)
+    out = StructType([*chars.select(*by).schema.fields, *StructType.fromDDL(f"run long, first {given[order]}, last {given[order]}, font string, size {given['size']}, n long").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, here, style, size, number, open_run = to_arrow_schema(out), None, None, None, 0, None
+        for got in batches:
+            made = []
+            for row in zip(*(c.to_pylist() for c in got.columns), strict=True):
+                key, at, now, wide = row[:n], row[n], row[n + 1 : n + 4], row[n + 4]
+                if key != here or now != style or wide is None or size is None or abs(wide - size) >= slack:
+                    if open_run:
+                        made.append(tuple(open_run))
+                    number = number + 1 if key == here else 1
+                    here, style, size = key, now, wide
+                    open_run = [*key, number, at, at, now[1], wide, 0]
+                open_run[n + 2] = at
+                open_run[-1] += 1
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), kinds, strict=True)], schema=kinds)
+        if open_run:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(open_run, kinds, strict=True)], schema=kinds)
+
+    rows = chars.select(*by, order, "kind", "font", "gstate", "size")
+    return rows.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, out)
 
 
 def wrap_lines(words: Column, width: int) -> Column:

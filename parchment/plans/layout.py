@@ -70,7 +70,7 @@ def scan_vote(spark, d):
 
 
 def style_runs(spark, d):
-    chars = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 1000 + F.col("l_partkey")).alias("ord"), F.col("l_returnflag").alias("font"), (F.when(F.col("l_quantity") > 45, 12.0).otherwise(10.0) + F.pmod("l_orderkey", F.lit(4)) * 0.0078125).alias("size"), F.lit(None).cast("string").alias("gstate"), F.lit("char").alias("kind")).distinct()
+    chars = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 1000 + F.col("l_partkey")).alias("ord"), F.col("l_returnflag").alias("font"), (F.when(F.col("l_quantity") > 45, 12.0).otherwise(10.0) + F.pmod("l_orderkey", F.lit(4)) * 0.0078125).alias("size"), F.lit(None).cast("string").alias("gstate"), F.lit("char").alias("kind")).repartition("l_suppkey")
     chars = chars.groupBy("l_suppkey", "ord", "gstate", "kind").agg(F.min("font").alias("font"), F.min("size").alias("size"))
     return batching.style_runs(chars, ["l_suppkey"], "ord").select("l_suppkey", F.col("run").cast("long").alias("run"), "first", "last", "font", "size", "n")
 
