@@ -19,7 +19,9 @@ from parchment.sources.scratch import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _JOB = "status string, attempts long, due long, seq long, resumed long"
-_EVENT = "t_ms long, outcome string, permanent boolean"
+_EARLY = "n array<long>, t_ms array<long>, outcome array<string>, permanent array<boolean>"
+#: Numbers that share an entry of early events: each entry that is read or written is a message between Python and Spark.
+BLOCK = 512
 
 
 def with_state(spark: SparkSession) -> SparkSession:
@@ -36,7 +38,7 @@ def _resume(job: dict, t_ms: int) -> None:
 class Jobs(StatefulProcessor):
     """The life of one job. Its events bear the numbers 1, 2, 3 and so on, and may come in any order and any batch.
 
-    State is the job (a few numbers), and those events whose predecessors haven't come yet. A job that waits for a retry has one
+    State is the job (a few numbers), and those events whose predecessors haven't come yet, in blocks of their numbers. A job that waits for a retry has one
     timer, at the time when it is due. The timer of a job that is cancelled or recovered before is deleted.
     """
 
@@ -46,12 +48,25 @@ class Jobs(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", _JOB)
-        self.early = handle.getMapState("early", "seq long", _EVENT)
+        self.early = handle.getMapState("early", "block long", _EARLY)
 
     def _load(self) -> dict:
         names = ("status", "attempts", "due", "seq", "resumed")
         return dict(zip(names, self.job.get() if self.job.exists() else ("queued", 0, 0, 0, 0), strict=True))
 
+    def _block(self, block: int, read: dict[int, dict]) -> dict[int, tuple]:
+        """The early events of a block by their numbers; each block is read once."""
+        if block not in read:
+            got = self.early.getValue((block,)) if self.early.containsKey((block,)) else ([], [], [], [])
+            read[block] = dict(zip(got[0], zip(*got[1:], strict=True), strict=True))
+        return read[block]
+
+    def _keep(self, block: int, events: dict[int, tuple]) -> None:
+        if events:
+            self.early.updateValue((block,), (list(events), *map(list, zip(*events.values(), strict=True))))
+        elif self.early.containsKey((block,)):
+            self.early.removeKey((block,))
+
     def _out(self, key: tuple, job: dict) -> pd.DataFrame:
         return pd.DataFrame({self.key: [key[0]], "seq": [job["seq"]], "status": [job["status"]], "attempts": [job["attempts"]], "resumed": [job["resumed"]]})
 
@@ -67,21 +82,17 @@ class Jobs(StatefulProcessor):
         job = self._load()
         waited = job["due"] if job["status"] == "retrying" else 0
         here = {int(e.n): (int(e.t_ms), e.outcome, bool(e.permanent)) for got in rows for e in got.itertuples(index=False) if e.n > job["seq"]}
-        stored = self.early.exists()
-        while True:
-            n = job["seq"] + 1
-            if n in here:
-                event = here.pop(n)
-            elif stored and self.early.containsKey((n,)):
-                event = self.early.getValue((n,))
-                self.early.removeKey((n,))
-            else:
-                break
+        begun, read = job["seq"], {}
+        while (n := job["seq"] + 1) in here or n in self._block(n // BLOCK, read):
+            event = here.pop(n, None) or read[n // BLOCK].pop(n)
             _resume(job, event[0])
             job_step(job, event[1], event[2], event[0])
             job["seq"] = n
+        changed = {n // BLOCK for n in here} | (set(range((begun + 1) // BLOCK, job["seq"] // BLOCK + 1)) & set(read) if job["seq"] > begun else set())
         for n, event in here.items():
-            self.early.updateValue((n,), event)
+            self._block(n // BLOCK, read)[n] = event
+        for block in changed:
+            self._keep(block, {n: e for n, e in read[block].items() if n > job["seq"]})
         self._save(job, waited)
         yield self._out(key, job)
 
