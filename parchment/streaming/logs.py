@@ -5,6 +5,7 @@ Each takes a streaming (or batch) DataFrame of events. Times must be of type tim
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -49,11 +50,13 @@ def lifecycle(events: DataFrame, key: str = "user_id", key_type: str = "long") -
     def go_on(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, attempts, due, seq = state.get if state.exists else ("queued", 0, 0, -1)
         job = {"status": status, "attempts": attempts, "due": due}
-        for e in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            if e.seq < seq:
-                raise ValueError(f"event {e.seq} of {k[0]} comes after {seq}: give the events in order (collect_in_order)")
-            job_step(job, e.outcome, bool(e.permanent), e.t_ms)
-            seq = max(seq, e.seq)
+        rows = (zip(*(b[c].tolist() for c in ("seq", "outcome", "permanent", "t_ms")), strict=True) for b in batches)
+        here = sorted(itertools.chain.from_iterable(rows), key=lambda e: e[0])
+        if here[0][0] < seq:
+            raise ValueError(f"event {here[0][0]} of {k[0]} comes after {seq}: give the events in order (collect_in_order)")
+        for _, outcome, permanent, t_ms in here:
+            job_step(job, outcome, bool(permanent), t_ms)
+        seq = here[-1][0]
         state.update((job["status"], job["attempts"], job["due"], int(seq)))
         yield pd.DataFrame({key: [k[0]], "seq": [seq], "status": [job["status"]], "attempts": [job["attempts"]]})
 
