@@ -18,6 +18,8 @@ WEIGHT_BITS = 11
 BATCH_ROWS = 4096
 #: Up to so many boxes, pairs are compared one by one, which takes less than the arrays of a sweep.
 FEW_BOXES = 24
+#: Up to so many pages, each goes by itself, which takes less than steps of arrays.
+FEW_PAGES = 8
 
 
 def group_batches(batches: Iterator[pa.RecordBatch], n: int, work: Callable[[list[tuple]], list[tuple]], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -59,6 +61,43 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable[
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def key_changes(keys: list[pa.Array]) -> np.ndarray:
+    """The places of rows, in order, whose keys are not those of the row before. Null is a key too."""
+    changed = np.zeros(max(len(keys[0]) - 1, 0), bool)
+    for c in keys:
+        codes = c.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        changed |= codes[1:] != codes[:-1]
+    return np.flatnonzero(changed) + 1
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of sorted batches as batches of whole groups, and where the groups begin in them; the first n columns are the keys.
+
+    What is held is a batch and the group that reaches into it.
+    """
+    held: list[pa.RecordBatch] = []
+    key = lambda batch, at: [c[at].as_py() for c in batch.columns[:n]]
+
+    def joined(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        whole = pa.concat_batches(parts)
+        return whole, np.concatenate([[0], key_changes(whole.columns[:n])])
+
+    for got in batches:
+        if not len(got):
+            continue
+        if held and key(held[-1], -1) != key(got, 0):
+            yield joined(held)
+            held = []
+        last = key_changes(got.columns[:n])[-1:]
+        if len(last):
+            yield joined([*held, got.slice(0, last[0])])
+            held = []
+            got = got.slice(last[0])
+        held.append(got)
+    if held:
+        yield joined(held)
+
+
 def overlapping(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs i < j of boxes (x0, y0, x1, y1) whose insides meet, by a sweep along the axis that fewer of them share."""
     best = None
@@ -98,12 +137,12 @@ def part_overlaps(boxes: np.ndarray) -> np.ndarray:
     return np.array(part(boxes.tolist())) if len(boxes) > 1 else boxes
 
 
-def part(p: list[list[float]]) -> list[list[float]]:
+def part(p: list[list[float]], turn: int = 0) -> list[list[float]]:
     """Boxes [x0, y0, x1, y1] after the repair of overlaps, with the result of going over all pairs in order again and again.
 
     Of a pair that overlaps, neither between the other's top and bottom, the upper box's lower edge goes a unit above the middle of the overlap,
     the lower one's upper edge a unit below. Boxes only shrink, so only pairs that overlap at first can do so later, and a pair is
-    looked at again only when one of its boxes has moved. The given boxes are changed in place.
+    looked at again only when one of its boxes has moved. The given boxes are changed in place. turn is how often all pairs were gone over before.
     """
     if len(p) < 2:
         return p
@@ -112,7 +151,7 @@ def part(p: list[list[float]]) -> list[list[float]]:
     else:
         first, second = overlapping(np.array(p, np.float64))
         met = sorted(zip(first.tolist(), second.tolist(), strict=True))
-    todo, partners = [(0, i, j) for i, j in met], {}
+    todo, partners = [(turn, i, j) for i, j in met], {}
     for _, i, j in todo:
         partners.setdefault(i, []).append(j)
         partners.setdefault(j, []).append(i)
@@ -141,20 +180,79 @@ def part(p: list[list[float]]) -> list[list[float]]:
     return p
 
 
+def part_pages(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """part() for the boxes of many pages, one after another, which begin at starts. The given boxes are changed in place.
+
+    Small pages go together: the first pair of each page, then the second of each, and so on. So a step is one of arrays, and a page takes part
+    while its pairs still move. Large pages, and the last few of the small ones, go one by one.
+    """
+    ends = np.append(starts[1:], len(p))
+    sizes = ends - starts
+    for a, b in zip(starts[sizes > FEW_BOXES], ends[sizes > FEW_BOXES], strict=True):
+        p[a:b] = part(p[a:b].tolist())
+    page = np.repeat(np.arange(len(starts)), sizes)
+    upto = np.where(sizes > FEW_BOXES, starts, ends)[page]
+    firsts, seconds = [], []
+    left = np.arange(len(p))
+    for apart in range(1, FEW_BOXES):
+        left = left[left + apart < upto[left]]
+        a, b = p[left], p[left + apart]
+        met = (a[:, 0] < b[:, 2]) & (a[:, 2] > b[:, 0]) & (a[:, 1] < b[:, 3]) & (a[:, 3] > b[:, 1])
+        firsts.append(left[met])
+        seconds.append(left[met] + apart)
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    x0, y0, x1, y1 = (p[:, c] for c in range(4))
+    with np.errstate(invalid="ignore"):
+        beside = np.minimum(x1[i], x1[j]) - np.maximum(x0[i], x0[j]) > 1e-6
+    i, j = i[beside], j[beside]
+    of = page[i]
+    turn = 0
+    while len(i):
+        begun = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        if len(begun) <= FEW_PAGES:
+            for at in of[begun]:
+                a, b = starts[at], ends[at]
+                p[a:b] = part(p[a:b].tolist(), turn)
+            break
+        place = np.arange(len(i)) - np.repeat(begun, np.diff(np.append(begun, len(i))))
+        moved = np.zeros(len(starts), bool)
+        step = np.argsort(place, kind="stable")
+        for at in np.split(step, np.cumsum(np.bincount(place))[:-1]):
+            a, b = i[at], j[at]
+            ay0, ay1, by0, by1 = y0[a], y1[a], y0[b], y1[b]
+            bottom, top = np.maximum(ay0, by0), np.minimum(ay1, by1)
+            with np.errstate(invalid="ignore"):
+                middle, height = (bottom + top) / 2, top - bottom
+            under = ay1 < by1
+            low, high = np.where(under, a, b), np.where(under, b, a)
+            within = ((ay0 >= by0) & (ay1 <= by1)) | ((by0 >= ay0) & (by1 <= ay1))
+            hit = ~within & (height > 1e-6) & (np.where(under, by0, ay0) < middle) & (middle < np.where(under, ay1, by1))
+            y0[high[hit]], y1[low[hit]] = middle[hit] + 1, middle[hit] - 1
+            moved[of[at[hit]]] = True
+        turn += 1
+        again = (moved & (turn < sizes**2))[of]
+        i, j, of = i[again], j[again], of[again]
+    return p
+
+
 def separate_overlaps(boxes: DataFrame, page: str, box: str, stream: str | None = None) -> DataFrame:
     """Boxes of which overlapping ones of a page (and stream, if it is given) are parted: see part_overlaps.
 
-    Boxes go in order of box. A null stream is a stream too. A task holds one page, or one stream of it, at a time.
+    Boxes go in order of box. A null stream is a stream too. A task holds a batch of boxes and one page, or one stream of it, at a time; coordinates
+    are arrays of numbers there, all else stays as Arrow has it.
     """
-    keys = [page, *([stream] if stream else [])]
-    rows = boxes.select(*keys, box, *[F.coalesce(F.col(c).cast("double"), F.lit(math.nan)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    keys, sides = [page, *([stream] if stream else [])], ("x0", "y0", "x1", "y1")
+    rows = boxes.select(*keys, box, *[F.coalesce(F.col(c).cast("double"), F.lit(math.nan)).alias(c) for c in sides])
+    n = len(keys)
 
-    def work(held: list[tuple]) -> list[tuple]:
-        if len(held) == 1:
-            return held
-        return [(*h[:-4], *m) for h, m in zip(held, part([list(h[-4:]) for h in held]), strict=True)]
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got, starts in whole_groups(batches, n):
+            p = part_pages(np.stack([got.column(c).to_numpy(zero_copy_only=False) for c in sides], axis=1), starts)
+            yield pa.RecordBatch.from_arrays([*got.columns[:-4], *(pa.array(p[:, c]) for c in range(4))], got.schema.names)
 
-    return by_group(rows, keys, [box], work, rows.schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, box).mapInArrow(parted, rows.schema)
 
 
 def match_starts(starts: list[tuple], operators: list[tuple], near: float) -> list[tuple]:
