@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parchment.functions.predicates import is_numeric, is_placeholder_only
-from parchment.functions.text import by_slices
+from parchment.functions.text import SPACE, by_slices
 
 #: With more marks than this, styled text goes without.
 MOST_MARKS = 40
@@ -67,20 +67,41 @@ def marked_text(parts: Column, text: Column) -> Column:
     parts (kind "formula" or "run", text, plain: whether a run has the paragraph's own style, see plain_style) make up the paragraph, text is all of it. Formulas take one number,
     styled runs two. A number that the paragraph's text itself begins with is passed over. Where there would be more than
     MOST_MARKS, only formulas are marked. null for paragraphs that aren't sent: those without parts, with a single formula, and those of a number or bare placeholders.
-    Time is in proportion to the parts.
+    Time is in proportion to the parts, and nothing is sent to Python; mark() tells the rules in one pass.
     """
-    kind = pa.struct([("text", pa.string()), ("marks", pa.list_(pa.struct([("kind", pa.string()), ("id", pa.int32()), ("part", pa.int32()), ("text", pa.string())])))])
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    begin = lambda shape: F.coalesce(F.regexp_extract(F.coalesce(text, F.lit("")), "(?iu)^" + shape.replace(r"\s", f"[{SPACE}]"), 1).try_cast("int"), F.lit(-1))
+    begins = F.struct(begin(FORMULA_MARK).alias("formula"), begin(OPEN_MARK).alias("run"))
+    said = lambda p: F.coalesce(p["text"], F.lit(""))
+
+    def numbers(found: Column, first: Column) -> Column:
+        # with styles there are few marks, which a fold numbers; formulas alone take one number each
+        def following(s: Column, m: Column) -> Column:
+            number = s["next"] + F.when(s["next"] == F.when(m["formula"], first["formula"]).otherwise(first["run"]), 1).otherwise(0)
+            return F.struct((number + F.when(m["formula"], 1).otherwise(2)).alias("next"), F.array_append(s["ids"], number).alias("ids"))
+
+        folded = F.aggregate(found, F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("ids")), following, lambda s: s["ids"])
+        return F.when(F.size(found) <= MOST_MARKS, folded).otherwise(F.transform(found, lambda m, k: k + 1 + F.when((first["formula"] > 0) & (k + 1 >= first["formula"]), 1).otherwise(0)))
+
+    def mended(found: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(found, k - 1)["part"]).otherwise(-1)
+        between = lambda after, upto: F.array_join(F.transform(F.slice(parts, after + 2, upto - after - 1), said), "")
+        shown = lambda m: F.when(m["kind"] == "formula", F.concat(F.lit("{v"), m["id"], F.lit("}"))).otherwise(F.concat(F.lit("<style id='"), m["id"], F.lit("'>"), said(m), F.lit(CLOSE)))
+        pieces = F.transform(found, lambda m, k: F.concat(between(before(k), m["part"]), shown(m)))
+        whole = F.concat(F.array_join(pieces, ""), between(before(F.size(found)), F.size(parts)))
+        return F.struct(whole.alias("text"), found.alias("marks"))
+
+    every = F.transform(parts, lambda p, i: F.struct(i.alias("part"), F.coalesce(p["kind"] == "formula", F.lit(False)).alias("formula"), p["text"].alias("text"), F.coalesce(p["plain"], F.lit(False)).alias("plain")))
+    styled = F.filter(every, lambda p: p["formula"] | ~p["plain"])
+    used = once(styled, lambda some: F.when(F.size(some) <= MOST_MARKS, some).otherwise(F.filter(some, lambda p: p["formula"])))
+    kind = lambda m: F.when(m["formula"], "formula").otherwise("run").alias("kind")
+    found = once(F.struct(used.alias("used"), begins.alias("begins")), lambda v: once(F.struct(v["used"].alias("used"), numbers(v["used"], v["begins"]).alias("ids")), lambda u: F.transform(u["used"], lambda m, k: F.struct(kind(m), F.get(u["ids"], k).alias("id"), m["part"].alias("part"), m["text"].alias("text")))))
+    marked = once(found, mended).cast(f"struct<text:string,marks:{_MARKS}>")
 
-    @F.arrow_udf(f"struct<text:string,marks:{_MARKS}>")
-    def marked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for given, texts in batches:
-            yield by_slices(lambda ps, ts: [None if p is None else mark(p, t) for p, t in zip(ps, ts, strict=True)], kind, given, texts)
-
-    read = F.transform(parts, lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text"), p["plain"].alias("plain")))
     sent = ~F.coalesce(is_numeric(text), F.lit(False)) & ~F.coalesce(is_placeholder_only(text), F.lit(False)) & (F.size(parts) > 0)
     whole = F.struct(text.alias("text"), F.array().cast(_MARKS).alias("marks"))
     one = F.when(F.get(parts, F.lit(0))["kind"] != "formula", whole)
-    return F.when(sent, F.when(F.size(parts) == 1, one).otherwise(marked(read, text)))
+    return F.when(sent, F.when(F.size(parts) == 1, one).otherwise(marked))
 
 
 def _known(marks: list[dict]) -> tuple[dict[str, dict], dict[str, dict]]:
