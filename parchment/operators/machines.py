@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import namedtuple
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +18,13 @@ from pyspark.sql.types import StructType
 COOLDOWN_MS, BENCH_MS, MAX_ATTEMPTS, RETRY_BASE_S, REJECTED_LIMIT, SUBMIT_ATTEMPTS = 10_000, 600_000, 3, 20, 6, 8
 
 
+def values(column: pa.Array) -> list:
+    """to_pylist(), by way of numpy where that gives the same objects, which is several times as fast."""
+    kind = column.type
+    plain = pa.types.is_string(kind) or (column.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)))
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
 def fold(events: DataFrame, key: str | list[str], order: list[str], start: Callable[[], dict], step: Callable[[dict, tuple], tuple], out: str) -> DataFrame:
     """Rows key, order and the results of step (named and typed by out) for each event, the state starting anew for each key.
 
@@ -25,15 +33,15 @@ def fold(events: DataFrame, key: str | list[str], order: list[str], start: Calla
     """
     keys = [key] if isinstance(key, str) else key
     through, made = [*keys, *order], StructType.fromDDL(out)
-    kinds, at = to_arrow_schema(made), [events.columns.index(k) for k in keys]
+    kinds, key_of = to_arrow_schema(made), itemgetter(*[events.columns.index(k) for k in keys])
     Event = namedtuple("Event", events.columns, rename=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, state = None, start()
         for got in batches:
             rows = []
-            for e in map(Event._make, zip(*(c.to_pylist() for c in got.columns), strict=True)):
-                if (now := [e[k] for k in at]) != here:
+            for e in map(Event._make, zip(*map(values, got.columns), strict=True)):
+                if (now := key_of(e)) != here:
                     here, state = now, start()
                 rows.append(step(state, e))
             results = list(zip(*rows, strict=True)) or [()] * len(kinds)

@@ -28,6 +28,9 @@ def looks_like_formula(text: Column, formula_font: Column, vertical: Column) ->
 
 def _grow(s: dict, piece: str) -> None:
     """Append to the paragraph's text, of which only the length without outer blanks is kept."""
+    if piece.isalnum():
+        s["core"], s["tail"], s["empty"] = s["core"] + s["tail"] + len(piece), 0, False
+        return
     s["empty"] = s["empty"] and not piece
     piece = piece if s["core"] else piece.lstrip()
     solid = piece.rstrip()
@@ -93,14 +96,14 @@ def mark_characters(chars: DataFrame, by: list[str], order: str, width: float, s
             if not s["held"]:
                 piece += f"{{v{s['formulas']}}}"
                 s.update(low=e.y0, reach=e.x0, fix=e.y0 - s["y0"] if goes_on and e.x0 > s["x0"] else 0.0)
-            s.update(held=s["held"] + 1, reach=max(s["reach"], e.x0))
+            s["held"], s["reach"] = s["held"] + 1, max(s["reach"], e.x0)
         else:
             if not blank and (e.size > s["size"] or s["core"] == 1):
-                s.update(y=s["y"] - (e.size - s["size"]), size=e.size)
+                s["y"], s["size"] = s["y"] - (e.size - s["size"]), e.size
             piece += e.text
             _grow(s, e.text)
-            s.update(gstate=e.gstate if not s["styled"] or s["gstate"] == e.gstate else None, styled=True)
-        s.update(cls=cls, x0=e.x0, x1=e.x1, y0=e.y0)
+            s["gstate"], s["styled"] = e.gstate if not s["styled"] or s["gstate"] == e.gstate else None, True
+        s["cls"], s["x0"], s["x1"], s["y0"] = cls, e.x0, e.x1, e.y0
         return s["para"], s["formulas"] if formula else None, piece, e.x0, e.y0, e.x1, e.y1, blank and not strict, False, s["size"], s["y"], s["brk"], s["gstate"], s["fix"], *shut
 
     text = F.coalesce("text", F.lit(""))
