@@ -34,6 +34,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As np.unique gives them of keys of 0 and more: each once in order, where it is first, the number of each key, and counts.
+
+    Keys and places are sorted as one number, which takes a fraction of an argsort. Low bits of the key that have no room
+    there are looked at afterwards, and if they are out of order, keys are sorted the usual way.
+    """
+    n = len(keys)
+    place = np.uint64(max(n - 1, 0).bit_length())
+    drop = np.uint64(max(0, int(keys.max()).bit_length() + int(place) - 64) if n else 0)
+    both = keys.astype(np.uint64)
+    both >>= drop
+    both <<= place
+    both |= np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << int(place)) - 1)).astype(np.int32 if n < 1 << 31 else np.int64)
+    there = keys[order] if drop else (both >> place).astype(keys.dtype)
+    del both
+    if drop and (there[1:] < there[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        there = keys[order]
+    new = np.ones(n, bool)
+    np.not_equal(there[1:], there[:-1], out=new[1:])
+    number = np.empty(n, order.dtype)
+    number[order] = np.cumsum(new, dtype=order.dtype) - 1
+    begins = np.flatnonzero(new)
+    return there[begins], order[begins], number, np.diff(begins, append=n)
+
+
 def word_hashes(texts: list[bytes], classes: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Hashes of the words of all texts, and for each text the index of its first word (one entry more at the end).
 
